@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contract_queries, fold_queries, preprocess_queries  # noqa: F401
+from . import augment_queries, contract_queries, fold_queries, metric_queries, preprocess_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 

@@ -199,7 +199,7 @@ def id1(spark, sf_dir):
 
 def _content_sql(m, names):
     text = ",".join(names)
-    return f"""SELECT '{m}' AS modality, '{text}' AS names, sha256(sample_id || '|' || array_to_string(list_transform({m}, lambda v: coalesce(round(v * 1000000.0)::BIGINT::VARCHAR, 'null')), ',')) AS d FROM cohort"""
+    return f"""SELECT '{m}' AS modality, '{text}' AS names, sha256(sample_id || '|' || array_to_string(list_transform({m}, lambda v: coalesce(round(v * 1000000000.0)::BIGINT::VARCHAR, 'null')), ',')) AS d FROM cohort"""
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import array_sum
 from ..operators import folds as D, metrics as M, preprocess as P
 from ..sources.cohorts import MODALITIES, ORDERS_FEATURES, modality_cells, orders_cohort
+from ..session import cut_lineage
 from .registry import CELLS_SQL, COHORT_SQL, FIT_SQL, MEMBERS_SQL, folds_sql, query
 
 BASE_SQL = f"WITH {COHORT_SQL}, {CELLS_SQL}, {folds_sql()}, {MEMBERS_SQL}, {FIT_SQL}"
@@ -22,7 +23,8 @@ z AS (
 
 def orders_with_folds(spark, sf_dir):
     cohort = orders_cohort(spark, sf_dir)
-    return P.attach_folds(cohort, D.fold_arrays(D.repeated_kfold(cohort)))
+    # Fit reads the cohort twice and transform once more: build it once.
+    return cut_lineage(P.attach_folds(cohort, D.fold_arrays(D.repeated_kfold(cohort))))
 
 
 def held_out(spark, sf_dir):
@@ -40,8 +42,8 @@ def pre1(spark, sf_dir):
 
 @query(
     "pre2_standard_scaler_fit",
-    f"""{BASE_SQL} SELECT repeat_id, fold_id, modality, pos::INT AS pos, n_train, n_missing, round(mean, 5) AS mean, round(variance, 4) AS variance,
- round(CASE WHEN variance < 1e-20 THEN 1 ELSE sqrt(variance) END, 5) AS scale FROM fitted""",
+    f"""{BASE_SQL} SELECT repeat_id, fold_id, modality, pos::INT AS pos, n_train, n_missing, mean::FLOAT::DOUBLE AS mean, variance::FLOAT::DOUBLE AS variance,
+ (CASE WHEN variance < 1e-20 THEN 1 ELSE sqrt(variance) END)::FLOAT::DOUBLE AS scale FROM fitted""",
 )
 def pre2(spark, sf_dir):
     state = P.fit(orders_with_folds(spark, sf_dir))
@@ -52,9 +54,7 @@ def pre2(spark, sf_dir):
         "pos",
         "n_train",
         "n_missing",
-        F.round("mean", 5).alias("mean"),
-        F.round("variance", 4).alias("variance"),
-        F.round("scale", 5).alias("scale"),
+        *[F.col(c).cast("float").cast("double").alias(c) for c in ("mean", "variance", "scale")],
     )
 
 

@@ -25,13 +25,13 @@ def query(name: str, sql: str | None = None):
 MODALITY_SQL = """
 line_feat AS (
   SELECT l_orderkey AS o_orderkey,
-         [round(sum(l_quantity), 6), round(avg(l_quantity), 6), round(min(l_quantity), 6), round(max(l_quantity), 6),
-          round(sum(l_extendedprice) / 1000, 6), round(avg(l_extendedprice) / 1000, 6), round(avg(l_discount), 6),
-          round(max(l_discount), 6), round(avg(l_tax), 6), count(*)::DOUBLE] AS features
+         [round(sum(l_quantity), 9), round(avg(l_quantity), 9), round(min(l_quantity), 9), round(max(l_quantity), 9),
+          round(sum(l_extendedprice) / 1000, 9), round(avg(l_extendedprice) / 1000, 9), round(avg(l_discount), 9),
+          round(max(l_discount), 9), round(avg(l_tax), 9), count(*)::DOUBLE] AS features
   FROM lineitem GROUP BY l_orderkey),
 cust_feat AS (
   SELECT c_custkey,
-         [round(c_acctbal / 1000, 6), round(abs(c_acctbal) / 1000, 6),
+         [round(c_acctbal / 1000, 9), round(abs(c_acctbal) / 1000, 9),
           list_position(['AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY'], c_mktsegment)::DOUBLE,
           c_nationkey::DOUBLE, n_regionkey::DOUBLE] AS features
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -42,7 +42,7 @@ keyed AS (
 t_mge AS (SELECT sample_id, label_raw, features FROM keyed JOIN line_feat USING (o_orderkey)),
 t_mdm AS (
   SELECT sample_id, label_raw,
-         [round(o_totalprice / 1000, 6), year(o_orderdate)::DOUBLE, month(o_orderdate)::DOUBLE, day(o_orderdate)::DOUBLE,
+         [round(o_totalprice / 1000, 9), year(o_orderdate)::DOUBLE, month(o_orderdate)::DOUBLE, day(o_orderdate)::DOUBLE,
           substr(o_orderpriority, 1, 1)::DOUBLE, isodow(o_orderdate)::DOUBLE] AS features
   FROM keyed),
 t_mcna AS (SELECT sample_id, label_raw, features FROM keyed JOIN cust_feat ON o_custkey = c_custkey)"""

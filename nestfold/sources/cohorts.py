@@ -36,8 +36,8 @@ def modality_cells(cohort: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def _r6(x) -> Column:
-    return F.round(x, 6)
+def _r9(x) -> Column:
+    return F.round(x, 9)
 
 
 def orders_modalities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -57,15 +57,15 @@ def orders_modalities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.array(
-            _r6(F.sum("l_quantity")),
-            _r6(F.avg("l_quantity")),
-            _r6(F.min("l_quantity")),
-            _r6(F.max("l_quantity")),
-            _r6(F.sum("l_extendedprice") / 1000),
-            _r6(F.avg("l_extendedprice") / 1000),
-            _r6(F.avg("l_discount")),
-            _r6(F.max("l_discount")),
-            _r6(F.avg("l_tax")),
+            _r9(F.sum("l_quantity")),
+            _r9(F.avg("l_quantity")),
+            _r9(F.min("l_quantity")),
+            _r9(F.max("l_quantity")),
+            _r9(F.sum("l_extendedprice") / 1000),
+            _r9(F.avg("l_extendedprice") / 1000),
+            _r9(F.avg("l_discount")),
+            _r9(F.max("l_discount")),
+            _r9(F.avg("l_tax")),
             F.count(F.lit(1)).cast("double"),
         ).alias("features")
     )
@@ -73,7 +73,7 @@ def orders_modalities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     mdm = keyed.withColumn(
         "features",
         F.array(
-            _r6(F.col("o_totalprice") / 1000),
+            _r9(F.col("o_totalprice") / 1000),
             F.year("o_orderdate").cast("double"),
             F.month("o_orderdate").cast("double"),
             F.dayofmonth("o_orderdate").cast("double"),
@@ -85,8 +85,8 @@ def orders_modalities(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     per_customer = customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
         F.col("c_custkey").alias("o_custkey"),
         F.array(
-            _r6(F.col("c_acctbal") / 1000),
-            _r6(F.abs(F.col("c_acctbal")) / 1000),
+            _r9(F.col("c_acctbal") / 1000),
+            _r9(F.abs(F.col("c_acctbal")) / 1000),
             segment,
             F.col("c_nationkey").cast("double"),
             F.col("n_regionkey").cast("double"),
@@ -147,5 +147,5 @@ def document_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source"),
         F.array(size.cast("double"), letters.cast("double"), digits.cast("double")).alias("mge"),
         F.array(spaces.cast("double"), lines.cast("double")).alias("mdm"),
-        F.array(_r6(F.try_divide(letters, size)), _r6(F.try_divide(digits, size))).alias("mcna"),
+        F.array(_r9(F.try_divide(letters, size)), _r9(F.try_divide(digits, size))).alias("mcna"),
     )
