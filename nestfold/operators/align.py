@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from ..sources.tables import ContractError
 
 
@@ -28,24 +29,18 @@ def id_set_differences(tables: Mapping[str, DataFrame], reference: str) -> DataF
 
 
 def difference_report(diff: DataFrame, top: int = 10) -> DataFrame:
-    """Count and the first ids of each difference kind; keeps ``top`` ids per group while merging.
-
-    Ids are cut into 64 hash slices and each slice keeps its own first ids, so
-    no task gathers a whole group.
-    """
+    """Count and the first ids of each (modality, kind); the first ids come from a per-task top-k."""
     keys = ["modality", "kind"]
-    from pyspark.sql import Window as W
-
-    sliced = diff.withColumn("_s", F.pmod(F.xxhash64("sample_id"), F.lit(64)))
-    ranked = sliced.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "_s").orderBy("sample_id")))
-    per_slice = ranked.groupBy(*keys, "_s").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.collect_list(F.when(F.col("_r") <= top, F.col("sample_id"))).alias("ids"),
-    )
-    return per_slice.groupBy(*keys).agg(
-        F.sum("n").alias("n_ids"),
-        F.array_join(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, top), ",").alias("first_ids"),
-    )
+    diff = cut_lineage(diff)
+    counts = diff.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_ids"))
+    first = None
+    for r in counts.select(*keys).collect():  # two kinds per modality
+        part = diff.filter((F.col("modality") == r["modality"]) & (F.col("kind") == r["kind"])).orderBy("sample_id").limit(top)
+        first = part if first is None else first.unionByName(part)
+    if first is None:
+        return counts.withColumn("first_ids", F.lit(None).cast("string"))
+    listed = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("sample_id")), ",").alias("first_ids"))
+    return counts.join(listed, keys)
 
 
 def align(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -106,3 +101,13 @@ def union_synthetic(real: DataFrame, synthetic: DataFrame) -> DataFrame:
 def exact_copies(rows: DataFrame, reference: DataFrame, vector: str = "z") -> DataFrame:
     """Rows whose 32-bit vector occurs in the reference (semi join on the array)."""
     return rows.join(reference.select(vector).distinct(), vector, "left_semi")
+
+
+def copy_counts(rows: DataFrame, reference: DataFrame, keys, vector: str = "z") -> DataFrame:
+    """Rows and copies per key; equal vectors are counted before the join, so a mass of copies is one row."""
+    keys = list(keys)
+    counted = rows.groupBy(*keys, vector).agg(F.count(F.lit(1)).alias("_n"))
+    known = reference.select(vector).distinct().withColumn("_hit", F.lit(1))
+    return counted.join(known, vector, "left").groupBy(*keys).agg(
+        F.sum("_n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("_hit") == 1, F.col("_n"))), F.lit(0)).alias("n_copies")
+    )

@@ -31,6 +31,16 @@ def block_sums(design: np.ndarray, y: np.ndarray, weight: np.ndarray | None, w:
     return np.concatenate([[loss.sum()], design.T @ r, hess[np.triu_indices(len(w))]])
 
 
+def partial_frame(sums: dict) -> pd.DataFrame:
+    """Partial sums as rows; typed so that a task without rows yields a valid empty frame."""
+    return pd.DataFrame(
+        {
+            "key": pd.Series(list(sums), dtype=object),
+            "v": pd.Series([np.asarray(v, dtype=float).ravel().tolist() for v in sums.values()], dtype=object),
+        }
+    )
+
+
 def sum_partials(parts: DataFrame) -> dict[str, np.ndarray]:
     """Add the arrays of equal keys element by element."""
     summed = parts.select("key", F.posexplode("v").alias("i", "x")).groupBy("key", "i").agg(F.sum("x").alias("x"))
@@ -125,7 +135,7 @@ def fit_rows(
                         if k in shared.value:
                             s = block_sums(x, y, wt, shared.value[k])
                             sums[k] = sums[k] + s if k in sums else s
-            yield pd.DataFrame({"key": list(sums), "v": [v.tolist() for v in sums.values()]})
+            yield partial_frame(sums)
 
         return used.mapInPandas(partial, SUM_SCHEMA)
 

@@ -48,7 +48,8 @@ def centred_gram(rows: DataFrame, keys: Sequence[str], vector: str = "z") -> Dat
                 old = sums.get(key)
                 sums[key] = (g if old is None else old[0] + g, part["n"].iloc[0])
         out = [[*key, g[np.triu_indices(len(g))].tolist(), n, len(g)] for key, (g, n) in sums.items()]
-        yield pd.DataFrame(out, columns=[*keys, "tri", "n", "d"])
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, "tri", "n", "d"])
 
     parts = joined.mapInPandas(partial, f"{types}tri array<double>, n bigint, d int")
     summed = parts.select(*keys, "n", "d", F.posexplode("tri").alias("t", "v")).groupBy(*keys, "t").agg(

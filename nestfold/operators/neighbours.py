@@ -1,5 +1,8 @@
 """Exact k-nearest-neighbour join without a cross join.
 
+A reference whose counted size fits the broadcast bound goes to every task as
+one matrix.  Beyond the bound:
+
 Reference rows are cut into blocks of bounded size: each row goes to its
 closest pivot, and a pivot's rows are cut into rings by distance to it.  For a
 query row, the block table gives an upper bound on its k-th neighbour distance
@@ -27,6 +30,7 @@ N_PIVOTS = 64
 MAX_BLOCKS = 4096
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 4096
+BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -51,6 +55,7 @@ def knn_join(
     k: int = 1,
     by: Sequence[str] = (),
     exclude_self: bool = True,
+    broadcast_cells: int = BROADCAST_CELLS,
 ) -> DataFrame:
     """``(by..., sample_id, neighbour_id, distance, rank)`` for ranks 1..k.
 
@@ -65,6 +70,9 @@ def knn_join(
     head = f"{key_types}, " if by else ""
     reference = reference.select(*by, "sample_id", F.col("z").cast("array<double>").alias("z"))
     queries = queries.select(*by, "sample_id", F.col("z").cast("array<double>").alias("z"))
+    size = reference.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("z")).alias("d")).first()
+    if size["n"] * (size["d"] or 0) <= broadcast_cells:
+        return _broadcast_join(queries, reference, k, by, exclude_self, head, id_type)
     pivots = spark.sparkContext.broadcast(_pivots(reference, by))
 
     def assign(batches):
@@ -148,33 +156,14 @@ def knn_join(
     meet = [*group, "chunk", "slice"]
     out_schema = f"{head}sample_id {id_type}, neighbour_id {id_type}, distance double"
 
+    cols = [*by, "sample_id", "neighbour_id", "distance"]
+
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = [*by, "sample_id", "neighbour_id", "distance"]
         if not len(a) or not len(b):
             return pd.DataFrame({c: [] for c in cols})
-        za, zb = _matrix(a["z"]), _matrix(b["z"])
-        ids_a, ids_b = a["sample_id"].to_numpy(), b["sample_id"].to_numpy()
-        step = max(1, 4_000_000 // max(1, len(zb)))
-        pieces = []
-        for s in range(0, len(za), step):
-            d = _distances(za[s : s + step], zb)
-            if exclude_self:
-                d[ids_a[s : s + step, None] == ids_b[None, :]] = np.inf
-            take = min(k + 4, d.shape[1])
-            near = np.argpartition(d, take - 1, axis=1)[:, :take]
-            i = np.repeat(np.arange(d.shape[0]), take)
-            j = near.ravel()
-            keep = np.isfinite(d[i, j])
-            i, j = i[keep], j[keep]
-            exact = np.sqrt(((za[s + i] - zb[j]) ** 2).sum(1))
-            order = np.lexsort((ids_b[j], exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-            top = rank < k
-            piece = {b_: a[b_].iloc[0] for b_ in by}
-            piece.update(sample_id=ids_a[s + i[top]], neighbour_id=ids_b[j[top]], distance=exact[top])
-            pieces.append(pd.DataFrame(piece))
-        return pd.concat(pieces)[cols]
+        pieces = _nearest(a["sample_id"].to_numpy(), _matrix(a["z"]), b["sample_id"].to_numpy(), _matrix(b["z"]), k, exclude_self)
+        near = pd.DataFrame(pieces, columns=["sample_id", "neighbour_id", "distance"])
+        return near.assign(**{c: a[c].iloc[0] for c in by})[cols]
 
     found = left.groupBy(*meet).cogroup(right.groupBy(*meet)).applyInPandas(best, out_schema)
     # At most k rows per visited block meet here.
@@ -187,6 +176,58 @@ def knn_join(
     )
 
 
+def _nearest(ids_a, za, ids_b, zb, k: int, exclude_self: bool) -> dict:
+    """Best k of one block per row, ordered by (distance, id); exact distances for the short list."""
+    step = max(1, 4_000_000 // max(1, len(zb)))
+    out = {"sample_id": [], "neighbour_id": [], "distance": []}
+    for s in range(0, len(za), step):
+        d = _distances(za[s : s + step], zb)
+        if exclude_self:
+            d[ids_a[s : s + step, None] == ids_b[None, :]] = np.inf
+        take = min(k + 4, d.shape[1])
+        near = np.argpartition(d, take - 1, axis=1)[:, :take]
+        i = np.repeat(np.arange(d.shape[0]), take)
+        j = near.ravel()
+        keep = np.isfinite(d[i, j])
+        i, j = i[keep], j[keep]
+        exact = np.sqrt(((za[s + i] - zb[j]) ** 2).sum(1))
+        order = np.lexsort((ids_b[j], exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        top = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k
+        out["sample_id"].append(ids_a[s + i[top]])
+        out["neighbour_id"].append(ids_b[j[top]])
+        out["distance"].append(exact[top])
+    return {c: np.concatenate(v) if v else np.array([]) for c, v in out.items()}
+
+
+def _broadcast_join(queries, reference, k, by, exclude_self, head, id_type) -> DataFrame:
+    """Small reference (its size was checked): one matrix per key in every task."""
+    table = reference.toPandas()
+    groups = table.groupby(by, sort=False) if by else [((), table)]
+    packed = {}
+    for key, part in groups:
+        packed[key if isinstance(key, tuple) else (key,)] = (part["sample_id"].to_numpy(), _matrix(part["z"]))
+    shared = queries.sparkSession.sparkContext.broadcast(packed)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            for key, part in pdf.groupby(by, sort=False) if by else [((), pdf)]:
+                key = key if isinstance(key, tuple) else (key,)
+                ids, z = shared.value.get(key, (None, None))
+                if ids is None:
+                    continue
+                near = pd.DataFrame(_nearest(part["sample_id"].to_numpy(), _matrix(part["z"]), ids, z, k, exclude_self))
+                near["rank"] = near.groupby("sample_id", sort=False).cumcount() + 1
+                for b, v in zip(by, key):
+                    near[b] = v
+                yield near[[*by, "sample_id", "neighbour_id", "distance", "rank"]]
+
+    schema = f"{head}sample_id {id_type}, neighbour_id {id_type}, distance double, rank int"
+    return queries.mapInPandas(run, schema)
+
+
 def nearest_distance(queries: DataFrame, reference: DataFrame, by: Sequence[str] = (), exclude_self: bool = True) -> DataFrame:
     """``(by..., sample_id, distance)`` to the closest reference row."""
     return knn_join(queries, reference, 1, by, exclude_self).select(*by, "sample_id", "distance")

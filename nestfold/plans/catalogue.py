@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import augment_queries, contract_queries, fold_queries, metric_queries, preprocess_queries  # noqa: F401
+from . import (  # noqa: F401
+    augment_queries,
+    contract_queries,
+    explain_queries,
+    fold_queries,
+    metric_queries,
+    model_queries,
+    preprocess_queries,
+    report_queries,
+)
 from .registry import QUERIES, SQL
 
 

@@ -397,6 +397,4 @@ SELECT y, count(*) AS n_rows, count(*) FILTER (WHERE z IN (SELECT z FROM f WHERE
 )
 def joi9(spark, sf_dir):
     rows = orders_cohort(spark, sf_dir).select("sample_id", "y", F.col("mcna").cast("array<float>").alias("z"))
-    copies = A.exact_copies(rows, rows.filter("y = 1")).groupBy("y").agg(F.count(F.lit(1)).alias("n_copies"))
-    sizes = rows.groupBy("y").agg(F.count(F.lit(1)).alias("n_rows"))
-    return sizes.join(copies, "y", "left").select("y", "n_rows", F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+    return A.copy_counts(rows, rows.filter("y = 1"), ["y"])

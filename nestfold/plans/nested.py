@@ -138,13 +138,26 @@ def set_seed(layout: Layout, s, component: str) -> int:
     return zlib.crc32(f"{layout.seed}|{set_name(s)}|{component}".encode())
 
 
-def study_table(cohort: DataFrame, layout: Layout | None = None) -> DataFrame:
+def study_table(cohort: DataFrame) -> DataFrame:
     """Cohort rows with ``fold_of`` and ``inner_of`` arrays, written once for all passes."""
     outer = cut_lineage(D.repeated_kfold(cohort))
-    inner = D.inner_arrays(D.inner_folds(outer))
-    return cut_lineage(
-        cohort.select("sample_id", "y", F.concat(*MODALITIES).alias("x")).join(D.fold_arrays(outer), "sample_id").join(inner, "sample_id")
-    )
+    return _with_arrays(cohort, outer, D.inner_folds(outer))
+
+
+def stop_table(cohort: DataFrame, seed: int = 7) -> DataFrame:
+    """As ``study_table`` with the fit/stop split in place of inner folds (0 = stop, 1 = fit)."""
+    outer = cut_lineage(D.repeated_kfold(cohort))
+    train = D.membership(outer).filter("role = 'train'").drop("role")
+    split = D.shuffle_split(train, KEYS, seed)
+    return _with_arrays(cohort, outer, split.withColumn("inner_fold_id", F.when(F.col("part") == "stop", 0).otherwise(1)))
+
+
+def _with_arrays(cohort: DataFrame, outer: DataFrame, inner: DataFrame) -> DataFrame:
+    rows = cohort.select("sample_id", "y", F.concat(*MODALITIES).alias("x"))
+    joined = rows.join(D.fold_arrays(outer), "sample_id").join(D.inner_arrays(inner), "sample_id")
+    # The passes are heavy per row: keep the full width even when the bytes are few.
+    width = int(cohort.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(joined.repartition(width, "sample_id"))
 
 
 def _ints(series: pd.Series) -> np.ndarray:
@@ -165,7 +178,7 @@ def _pass(table: DataFrame, fold_batch, columns=("y", "x", "fold_of", "inner_of"
                 args = (stack(pdf["x"]), pdf["y"].to_numpy(), _ints(pdf["fold_of"]), _ints(pdf["inner_of"]))
                 for key, v in fold_batch(*args):
                     sums[key] = sums[key] + v if key in sums else v
-        yield pd.DataFrame({"key": list(sums), "v": [np.asarray(v, dtype=float).ravel().tolist() for v in sums.values()]})
+        yield L.partial_frame(sums)
 
     return _sum_arrays(table.select(*columns).mapInPandas(run, L.SUM_SCHEMA))
 
@@ -199,7 +212,8 @@ def set_medians(table: DataFrame, layout: Layout, features: list[int]) -> dict:
             for (j, p), g in pdf.groupby(["feature", "part"]):
                 c = members(g).sum(0)
                 sums[(j, p)] = sums[(j, p)] + c if (j, p) in sums else c
-        yield pd.DataFrame([(j, p, v.tolist()) for (j, p), v in sums.items()], columns=["feature", "part", "n"])
+        if sums:
+            yield pd.DataFrame([(j, p, v.tolist()) for (j, p), v in sums.items()], columns=["feature", "part", "n"])
 
     counts = ordered.mapInPandas(count, "feature int, part int, n array<bigint>").collect()  # (features + partitions) rows
     before, totals = {}, {}
@@ -235,8 +249,13 @@ def set_medians(table: DataFrame, layout: Layout, features: list[int]) -> dict:
     return out
 
 
-def fit_sets(table: DataFrame, layout: Layout) -> dict:
-    """Preprocessing, encoder and sampler of all training sets."""
+def fit_sets(table: DataFrame, layout: Layout, errors: list | None = None) -> dict:
+    """Preprocessing, encoder and sampler of all training sets.
+
+    With ``errors`` a list, the reconstruction error of the train and of the
+    held-out rows is appended per (set, modality, ratio); it follows from the
+    same Gram matrices without another pass.
+    """
     d = layout.n_features
     facts = table.agg(
         *[F.count_if(F.col("x")[j].isNull()).alias(f"m{j}") for j in range(d)],
@@ -280,17 +299,43 @@ def fit_sets(table: DataFrame, layout: Layout) -> dict:
             g = total[label] - held[((r, f, -1), label)]
             by_label[label] = g if i < 0 else g - held[(s, label)]
         models[s] = _fit_set(layout, by_label, medians[s], gaps, shift, unit)
+        if errors is not None:
+            for part, gram in (("train", by_label[0] + by_label[1]), ("held", held[(s, 0)] + held[(s, 1)])):
+                errors.extend(_reconstruction(layout, models[s], s, part, gram, medians[s], gaps, shift, unit))
     return models
 
 
-def _fit_set(layout: Layout, gram_by_label: dict, medians: dict, gaps: list[int], shift, unit) -> SetModel:
-    d = layout.n_features
-    fill = np.zeros(d)
+def _filled_map(d: int, medians: dict, gaps: list[int], shift, unit) -> np.ndarray:
+    """Matrix taking ``[1, x, missing]`` to the median-filled vector (shifted units)."""
     to_filled = np.zeros((d, 1 + d + len(gaps)))
     to_filled[:, 1 : 1 + d] = np.eye(d)
     for c, j in enumerate(gaps):
-        fill[j] = (medians[j] - shift[j]) / unit[j]
-        to_filled[j, 1 + d + c] = fill[j]
+        to_filled[j, 1 + d + c] = (medians[j] - shift[j]) / unit[j]
+    return to_filled
+
+
+def _reconstruction(layout: Layout, model: SetModel, s, part: str, gram, medians, gaps, shift, unit):
+    """Mean squared error per cell after encoding and decoding with each ratio's width."""
+    n = gram[0, 0]
+    if n == 0:
+        return
+    to_filled = _filled_map(layout.n_features, medians, gaps, shift, unit)
+    mean, scale = (model.mean - shift) / unit, model.scale / unit
+    first = to_filled @ gram[:, 0]
+    second = to_filled @ gram @ to_filled.T - np.outer(mean, first) - np.outer(first, mean) + n * np.outer(mean, mean)
+    second = second / np.outer(scale, scale) / n
+    for name, sl, (start, _) in zip(MODALITIES, layout.slices, layout.latent):
+        block = second[sl, sl]
+        d = block.shape[0]
+        for ratio in layout.ratios:
+            k = S.latent_width(d, ratio)
+            w = model.loadings[sl, start : start + k]
+            yield (*s, part, name, float(ratio), int(k), int(round(n)), float((np.trace(block) - np.trace(w.T @ block @ w)) / d))
+
+
+def _fit_set(layout: Layout, gram_by_label: dict, medians: dict, gaps: list[int], shift, unit) -> SetModel:
+    d = layout.n_features
+    to_filled = _filled_map(d, medians, gaps, shift, unit)
     gram = gram_by_label[0] + gram_by_label[1]
     n = gram[0, 0]
     mean = to_filled @ gram[:, 0] / n
@@ -373,7 +418,7 @@ def _synthetic_pass(blocks: DataFrame, layout: Layout, shared, fold_block) -> Da
                 z = model.draw(set_seed(layout, s, "sampler"), int(block), SYNTHETIC_BLOCK)[:size]
                 for name, v in fold_block(s, model, z):
                     sums[name] = sums[name] + v if name in sums else v
-        yield pd.DataFrame({"key": list(sums), "v": [np.asarray(v, dtype=float).ravel().tolist() for v in sums.values()]})
+        yield L.partial_frame(sums)
 
     return blocks.mapInPandas(run, L.SUM_SCHEMA)
 
@@ -436,7 +481,7 @@ def fit_classifiers(table: DataFrame, layout: Layout, models: dict, wanted: list
                     keep = layout.train(fold_of, inner_of, s)
                     for name, v in sums_of(s, shared.value[s], shared.value[s].encode(x[keep]), y[keep]):
                         sums[name] = sums[name] + v if name in sums else v
-            yield pd.DataFrame({"key": list(sums), "v": [v.tolist() for v in sums.values()]})
+            yield L.partial_frame(sums)
 
         drawn = _synthetic_pass(
             blocks, layout, shared, lambda s, m, z: sums_of(s, m, z, np.full(len(z), float(m.minority))) if s in live else []
@@ -446,6 +491,26 @@ def fit_classifiers(table: DataFrame, layout: Layout, models: dict, wanted: list
     return L.newton(step, widths, cs, max_iter, tol=1e-6)
 
 
+def encoded_rows(table: DataFrame, layout: Layout, models: dict) -> DataFrame:
+    """Latents of the held-out rows of every given set: ``(repeat_id, fold_id, inner_fold_id, sample_id, z)``."""
+    shared = table.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, ids = stack(pdf["x"]), pdf["sample_id"].to_numpy()
+            fold_of, inner_of = _ints(pdf["fold_of"]), _ints(pdf["inner_of"])
+            for s, m in shared.value.items():
+                keep = layout.held(fold_of, inner_of, s)
+                if keep.any():
+                    z = m.encode(x[keep]).astype(np.float32)
+                    yield pd.DataFrame({"repeat_id": s[0], "fold_id": s[1], "inner_fold_id": s[2], "sample_id": ids[keep], "z": list(z)})
+
+    schema = "repeat_id int, fold_id int, inner_fold_id int, sample_id string, z array<float>"
+    return table.select("sample_id", "x", "fold_of", "inner_of").mapInPandas(run, schema)
+
+
 def held_out_scores(table: DataFrame, layout: Layout, models: dict, weights: dict, plan: dict) -> DataFrame:
     """Scores of held-out rows: ``plan`` maps a set to its candidates ``[(number, ratio, C)]``.
 
