@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -182,21 +184,22 @@ def normal_scores(rows: DataFrame, grid: dict[int, np.ndarray]) -> DataFrame:
     return rows.select("z").mapInPandas(apply, "z array<double>")
 
 
-def norm_ppf(p: np.ndarray) -> np.ndarray:
-    """Standard normal quantile by bisection on erf (vectorised, double accuracy)."""
-    from math import erf, sqrt
+@lru_cache(maxsize=None)
+def _normal_table(limit: float, points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Standard normal CDF on an even grid, built once per worker."""
+    knots = np.linspace(-limit, limit, points)
+    return knots, np.array([0.5 * (1.0 + math.erf(t / math.sqrt(2.0))) for t in knots])
+
 
-    cdf = np.vectorize(lambda t: 0.5 * (1.0 + erf(t / sqrt(2.0))), otypes=[float])
-    knots = np.linspace(-4.5, 4.5, 3601)
-    return np.interp(p, cdf(knots), knots)
+def norm_ppf(p: np.ndarray) -> np.ndarray:
+    """Standard normal quantile by interpolation of the CDF table."""
+    knots, cdf = _normal_table(4.5, 3601)
+    return np.interp(p, cdf, knots)
 
 
 def norm_cdf(x: np.ndarray) -> np.ndarray:
-    from math import erf, sqrt
-
-    knots = np.linspace(-6.0, 6.0, 4801)
-    table = np.array([0.5 * (1.0 + erf(t / sqrt(2.0))) for t in knots])
-    return np.interp(x, knots, table)
+    knots, cdf = _normal_table(6.0, 4801)
+    return np.interp(x, knots, cdf)
 
 
 class CopulaModel:

@@ -60,7 +60,7 @@ def rep2(spark, sf_dir):
 
 def stop_errors(spark, sf_dir):
     """Reconstruction error on fit and stop rows of every outer train part, for each ratio."""
-    layout = N.Layout(ORDERS_LAYOUT.widths, n_inner=1)
+    layout = N.Layout(ORDERS_LAYOUT.widths, n_inner=2)  # the parts stop and fit
     table = N.stop_table(orders_cohort(spark, sf_dir))
     errors: list = []
     N.fit_sets(table, layout, errors)

@@ -6,8 +6,8 @@ each Arrow batch into small sums per training set:
 
 1. medians of features with missing cells, for all 100 training sets, from one
    sort of their values;
-2. Gram matrices of ``[1, x, missing]`` per held-out cell and class; the train
-   matrix of a set is total minus held-out, whatever its medians are;
+2. moments of ``[x, missing]`` per held-out cell and class; a training set's
+   moments are the merge of its cells, whatever its medians are;
 3. on the driver, per set: mean, scale and principal directions (the linear
    encoder), and the minority's latent mean and covariance;
 4. minority marginals (histograms), giving the copula sampler;
@@ -145,7 +145,7 @@ def study_table(cohort: DataFrame) -> DataFrame:
 
 
 def stop_table(cohort: DataFrame, seed: int = 7) -> DataFrame:
-    """As ``study_table`` with the fit/stop split in place of inner folds (0 = stop, 1 = fit)."""
+    """As ``study_table`` with the fit/stop split as two inner parts (0 = stop, 1 = fit)."""
     outer = cut_lineage(D.repeated_kfold(cohort))
     train = D.membership(outer).filter("role = 'train'").drop("role")
     split = D.shuffle_split(train, KEYS, seed)
@@ -249,99 +249,126 @@ def set_medians(table: DataFrame, layout: Layout, features: list[int]) -> dict:
     return out
 
 
-def fit_sets(table: DataFrame, layout: Layout, errors: list | None = None) -> dict:
-    """Preprocessing, encoder and sampler of all training sets.
+@dataclass
+class Moments:
+    """Count, mean and sum of centred cross products of the vector ``[x or 0, missing]``."""
 
-    With ``errors`` a list, the reconstruction error of the train and of the
-    held-out rows is appended per (set, modality, ratio); it follows from the
-    same Gram matrices without another pass.
-    """
-    d = layout.n_features
-    facts = table.agg(
-        *[F.count_if(F.col("x")[j].isNull()).alias(f"m{j}") for j in range(d)],
-        *[F.avg(F.col("x")[j]).alias(f"g{j}") for j in range(d)],
-        *[F.stddev_pop(F.col("x")[j]).alias(f"s{j}") for j in range(d)],
-    ).first()
-    shift = np.array([facts[f"g{j}"] if facts[f"g{j}"] is not None else 0.0 for j in range(d)])
-    unit = np.array([facts[f"s{j}"] or 1.0 for j in range(d)])
-    gaps = [j for j in range(d) if facts[f"m{j}"]]
-    medians = set_medians(table, layout, gaps)
-    w = 1 + d + len(gaps)
+    n: float
+    mean: np.ndarray
+    gram: np.ndarray
+
+
+def merge(parts: list[Moments]) -> Moments:
+    """Moments of a union of disjoint cells; nothing is ever subtracted."""
+    n = sum(p.n for p in parts)
+    mean = sum(p.n * p.mean for p in parts) / max(n, 1.0)
+    gram = sum(p.gram + p.n * np.outer(p.mean - mean, p.mean - mean) for p in parts)
+    return Moments(n, mean, gram)
+
+
+def cell_moments(table: DataFrame, layout: Layout, gaps: list[int]) -> dict:
+    """Moments of every held-out cell and class, in two passes (means, then centred products)."""
     cells = list(layout.sets())
-    if len(cells) * 2 * w * (w + 1) // 2 > MAX_STATE:
-        raise ValueError(f"{d} features: the Gram state of {len(cells)} sets exceeds {MAX_STATE} numbers")
+    w = layout.n_features + len(gaps)
+    if len(cells) * w * (w + 1) > MAX_STATE:
+        raise ValueError(f"{layout.n_features} features: the state of {len(cells)} sets exceeds {MAX_STATE} numbers")
     tri = np.triu_indices(w)
 
-    def grams(x, y, fold_of, inner_of):
-        z = (x - shift) / unit
-        missing = np.isnan(z)[:, gaps].astype(float)
-        u = np.column_stack([np.ones(len(z)), np.nan_to_num(z), missing])
+    def extended(x):
+        return np.column_stack([np.nan_to_num(x), np.isnan(x)[:, gaps].astype(float)])
+
+    def parts(u, y, fold_of, inner_of):
         for s in cells:
             h = layout.held(fold_of, inner_of, s)
             for label in (0, 1):
-                part = u[h & (y == label)]
-                yield f"{set_name(s)}/{label}", (part.T @ part)[tri]
-
-    def full(v):
-        g = np.zeros((w, w))
-        g[tri] = v
-        return g + np.triu(g, 1).T
-
-    sums = {k: full(v) for k, v in _pass(table, grams).items()}
-    zero = np.zeros((w, w))
-    held = {(s, label): sums.get(f"{set_name(s)}/{label}", zero) for s in cells for label in (0, 1)}
-    total = {label: sum(held[((0, f, -1), label)] for f in range(layout.n_splits)) for label in (0, 1)}
-    models = {}
+                yield f"{set_name(s)}/{label}", u[h & (y == label)]
+
+    def totals(x, y, fold_of, inner_of):
+        for key, part in parts(extended(x), y, fold_of, inner_of):
+            yield key, np.concatenate([[len(part)], part.sum(0)])
+
+    sums = _pass(table, totals)
+    means = {k: v[1:] / max(v[0], 1.0) for k, v in sums.items()}
+    shared = table.sparkSession.sparkContext.broadcast(means)
+
+    def products(x, y, fold_of, inner_of):
+        for key, part in parts(extended(x), y, fold_of, inner_of):
+            c = part - shared.value[key]
+            yield key, (c.T @ c)[tri]
+
+    grams = _pass(table, products)
+    out = {}
     for s in cells:
-        r, f, i = s
-        by_label = {}
         for label in (0, 1):
-            g = total[label] - held[((r, f, -1), label)]
-            by_label[label] = g if i < 0 else g - held[(s, label)]
-        models[s] = _fit_set(layout, by_label, medians[s], gaps, shift, unit)
+            key = f"{set_name(s)}/{label}"
+            g = np.zeros((w, w))
+            g[tri] = grams[key]
+            out[(s, label)] = Moments(float(sums[key][0]), means[key], g + np.triu(g, 1).T)
+    return out
+
+
+def fit_sets(table: DataFrame, layout: Layout, errors: list | None = None) -> dict:
+    """Preprocessing, encoder and sampler of all training sets.
+
+    A training set's moments are the merge of the cells it is made of, so
+    held-out rows, however extreme, have no part in them.  With ``errors`` a
+    list, the reconstruction error of the train and of the held-out rows is
+    appended per (set, modality, ratio); it follows from the same moments.
+    """
+    d = layout.n_features
+    facts = table.agg(*[F.count_if(F.col("x")[j].isNull()).alias(f"m{j}") for j in range(d)]).first()
+    gaps = [j for j in range(d) if facts[f"m{j}"]]
+    medians = set_medians(table, layout, gaps)
+    held = cell_moments(table, layout, gaps)
+    models = {}
+    for s in layout.sets():
+        r, f, i = s
+        if i < 0:
+            train = [(r, g, -1) for g in range(layout.n_splits) if g != f]
+        else:
+            train = [(r, f, h) for h in range(layout.n_inner) if h != i]
+        by_label = {label: merge([held[(c, label)] for c in train]) for label in (0, 1)}
+        models[s] = _fit_set(layout, by_label, medians[s], gaps)
         if errors is not None:
-            for part, gram in (("train", by_label[0] + by_label[1]), ("held", held[(s, 0)] + held[(s, 1)])):
-                errors.extend(_reconstruction(layout, models[s], s, part, gram, medians[s], gaps, shift, unit))
+            own = merge([held[(s, 0)], held[(s, 1)]])
+            for part, moments in (("train", merge(list(by_label.values()))), ("held", own)):
+                errors.extend(_reconstruction(layout, models[s], s, part, moments, medians[s], gaps))
     return models
 
 
-def _filled_map(d: int, medians: dict, gaps: list[int], shift, unit) -> np.ndarray:
-    """Matrix taking ``[1, x, missing]`` to the median-filled vector (shifted units)."""
-    to_filled = np.zeros((d, 1 + d + len(gaps)))
-    to_filled[:, 1 : 1 + d] = np.eye(d)
+def _fill_map(d: int, medians: dict, gaps: list[int]) -> np.ndarray:
+    """Matrix taking ``[x or 0, missing]`` to the median-filled vector."""
+    to_filled = np.zeros((d, d + len(gaps)))
+    to_filled[:, :d] = np.eye(d)
     for c, j in enumerate(gaps):
-        to_filled[j, 1 + d + c] = (medians[j] - shift[j]) / unit[j]
+        to_filled[j, d + c] = medians[j]
     return to_filled
 
 
-def _reconstruction(layout: Layout, model: SetModel, s, part: str, gram, medians, gaps, shift, unit):
+def _reconstruction(layout: Layout, model: SetModel, s, part: str, moments: Moments, medians: dict, gaps: list[int]):
     """Mean squared error per cell after encoding and decoding with each ratio's width."""
-    n = gram[0, 0]
-    if n == 0:
+    if not moments.n:
         return
-    to_filled = _filled_map(layout.n_features, medians, gaps, shift, unit)
-    mean, scale = (model.mean - shift) / unit, model.scale / unit
-    first = to_filled @ gram[:, 0]
-    second = to_filled @ gram @ to_filled.T - np.outer(mean, first) - np.outer(first, mean) + n * np.outer(mean, mean)
-    second = second / np.outer(scale, scale) / n
+    to_filled = _fill_map(layout.n_features, medians, gaps)
+    off = to_filled @ moments.mean - model.mean
+    second = (to_filled @ moments.gram @ to_filled.T + moments.n * np.outer(off, off)) / np.outer(model.scale, model.scale) / moments.n
     for name, sl, (start, _) in zip(MODALITIES, layout.slices, layout.latent):
         block = second[sl, sl]
         d = block.shape[0]
         for ratio in layout.ratios:
             k = S.latent_width(d, ratio)
             w = model.loadings[sl, start : start + k]
-            yield (*s, part, name, float(ratio), int(k), int(round(n)), float((np.trace(block) - np.trace(w.T @ block @ w)) / d))
+            yield (*s, part, name, float(ratio), int(k), int(round(moments.n)), float((np.trace(block) - np.trace(w.T @ block @ w)) / d))
 
 
-def _fit_set(layout: Layout, gram_by_label: dict, medians: dict, gaps: list[int], shift, unit) -> SetModel:
+def _fit_set(layout: Layout, by_label: dict, medians: dict, gaps: list[int]) -> SetModel:
     d = layout.n_features
-    to_filled = _filled_map(d, medians, gaps, shift, unit)
-    gram = gram_by_label[0] + gram_by_label[1]
-    n = gram[0, 0]
-    mean = to_filled @ gram[:, 0] / n
-    cov = to_filled @ gram @ to_filled.T / n - np.outer(mean, mean)
+    to_filled = _fill_map(d, medians, gaps)
+    both = merge([by_label[0], by_label[1]])
+    mean = to_filled @ both.mean
+    cov = to_filled @ both.gram @ to_filled.T / both.n
     var = np.maximum(np.diag(cov), 0.0)
-    scale = np.where(var < 1e-14, 1.0, np.sqrt(var))
+    scale = np.where(var < 1e-20, 1.0, np.sqrt(var))
     corr = cov / np.outer(scale, scale)
     loadings = np.zeros((d, layout.n_latent))
     eigen = np.zeros(layout.n_latent)
@@ -352,18 +379,13 @@ def _fit_set(layout: Layout, gram_by_label: dict, medians: dict, gaps: list[int]
         signs = np.sign(vectors[np.abs(vectors).argmax(0), np.arange(k)])
         loadings[part, start : start + k] = vectors * signs
         eigen[start : start + k] = values[order]
-    counts = {label: gram_by_label[label][0, 0] for label in (0, 1)}
-    minority = 1 if counts[1] < counts[0] else 0
-    g = gram_by_label[minority]
-    raw_median = np.array([medians.get(j, 0.0) for j in range(d)])
-    model = SetModel(raw_median, mean * unit + shift, scale * unit, loadings, eigen, int(round(n)))
-    model.minority = minority
-    model.needed = int(round(abs(counts[0] - counts[1])))
-    m = to_filled @ g[:, 0] / counts[minority]
-    c = to_filled @ g @ to_filled.T / counts[minority] - np.outer(m, m)
+    model = SetModel(np.array([medians.get(j, 0.0) for j in range(d)]), mean, scale, loadings, eigen, int(round(both.n)))
+    model.minority = 1 if by_label[1].n < by_label[0].n else 0
+    model.needed = int(round(abs(by_label[0].n - by_label[1].n)))
+    small = by_label[model.minority]
     project = loadings / scale[:, None]
-    model.minority_mean = (m - mean) @ project
-    latent_cov = project.T @ c @ project
+    model.minority_mean = (to_filled @ small.mean - mean) @ project
+    latent_cov = project.T @ (to_filled @ small.gram @ to_filled.T / max(small.n, 1.0)) @ project
     model.minority_sd = np.sqrt(np.maximum(np.diag(latent_cov), 1e-18))
     r = latent_cov / np.outer(model.minority_sd, model.minority_sd)
     np.fill_diagonal(r, 1.0)
