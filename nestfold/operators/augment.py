@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -12,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_float_array, hash_normal, hash_uniform, hash_word, key_hash
-from .moments import covariance_matrix
+from .moments import centred_gram, stack
 from .neighbours import knn_join
 from .preprocess import fit_dense, standardise
 from .ranking import exact_quantiles, hash_rank, quantile_label
@@ -112,16 +113,23 @@ def smote(rows: DataFrame, keys: Sequence[str] = (), seed: int = 11, k: int = SM
 def standardised_smote(rows: DataFrame, keys: Sequence[str] = (), seed: int = 11) -> DataFrame:
     """Scale the train rows, draw in that space, scale only the new rows back."""
     keys = list(keys)
-    on = keys or ["_one"]
-    tagged = rows if keys else rows.withColumn("_one", F.lit(1))
-    scaler = fit_dense(tagged, on)
-    joined = tagged.join(F.broadcast(scaler), on)  # one row per key
-    scaled = joined.select(*keys, "sample_id", "y", as_float_array(standardise(F.col("z"), F.col("mean"), F.col("scale"))).alias("z"))
-    drawn = smote(scaled, keys, seed, namespace="SSMOTE")
-    back = drawn if keys else drawn.withColumn("_one", F.lit(1))
+    scaler = fit_dense(rows, keys)
+    if keys:
+
+        def attach(df: DataFrame) -> DataFrame:
+            return df.join(F.broadcast(scaler), keys)  # one row per key
+
+    else:
+        one = scaler.first()  # two vectors
+
+        def attach(df: DataFrame) -> DataFrame:
+            return df.withColumns({c: F.lit(list(one[c])) for c in ("mean", "scale")})
+
+    z = as_float_array(standardise(F.col("z"), F.col("mean"), F.col("scale")))
+    drawn = smote(attach(rows).select(*keys, "sample_id", "y", z.alias("z")), keys, seed, namespace="SSMOTE")
     zipped = F.arrays_zip(F.col("z").alias("x"), F.col("mean").alias("m"), F.col("scale").alias("s"))
     raw = F.transform(zipped, lambda t: t["x"].cast("double") * t["s"] + t["m"])
-    return back.join(F.broadcast(scaler), on).select(*keys, "sample_id", "y", as_float_array(raw).alias("z"))
+    return attach(drawn).select(*keys, "sample_id", "y", as_float_array(raw).alias("z"))
 
 
 def resampled_minority(rows: DataFrame, keys: Sequence[str] = (), seed: int = 13, jitter: float = 0.0, namespace: str = "RESAMPLE") -> DataFrame:
@@ -166,22 +174,7 @@ def balance_report(augmented: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- copula samplers ----------------------------------------------------------
 
-
-def normal_scores(rows: DataFrame, grid: dict[int, np.ndarray]) -> DataFrame:
-    """Map each value to the normal score of its position in the feature's quantile grid."""
-
-    def apply(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.vstack(pdf["z"].to_numpy()).astype(np.float64)
-            out = np.empty_like(x)
-            for j in range(x.shape[1]):
-                u = np.interp(x[:, j], grid[j], QUANTILE_GRID)
-                out[:, j] = norm_ppf(np.clip(u, 1e-4, 1 - 1e-4))
-            yield pd.DataFrame({"z": list(out)})
-
-    return rows.select("z").mapInPandas(apply, "z array<double>")
+MAX_MODEL_NUMBERS = 20_000_000  # keys x features x (features + grid) doubles on the driver
 
 
 @lru_cache(maxsize=None)
@@ -217,57 +210,106 @@ class CopulaModel:
         return np.column_stack([np.interp(u[:, j], QUANTILE_GRID, self.grid[j]) for j in range(u.shape[1])])
 
 
-def marginal_grid(rows: DataFrame) -> np.ndarray:
-    """Exact quantile grid of each vector element (21 numbers per feature reach the driver)."""
-    cells = rows.select(F.posexplode("z").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    table = exact_quantiles(cells, ["pos"], "x", QUANTILE_GRID).orderBy("pos").collect()
-    return np.array([[r[quantile_label(p)] for p in QUANTILE_GRID] for r in table])
+def _key_of(row, keys) -> tuple:
+    return tuple(row[k] for k in keys)
 
 
-def fit_copula(rows: DataFrame, correlation_rows: DataFrame | None = None) -> CopulaModel:
-    """Fit on ``rows``; the correlation may come from a wider set (class-conditional form)."""
-    grid = marginal_grid(rows)
-    source = rows if correlation_rows is None else correlation_rows
-    wide = grid if correlation_rows is None else marginal_grid(correlation_rows)
-    _, gram, _ = covariance_matrix(normal_scores(source, dict(enumerate(wide))))
-    sd = np.sqrt(np.maximum(np.diag(gram), 1e-12))
-    corr = gram / np.outer(sd, sd)
-    np.fill_diagonal(corr, 1.0)
-    values, vectors = np.linalg.eigh(corr)
-    return CopulaModel(grid, vectors * np.sqrt(np.maximum(values, 0.0)))
+def marginal_grids(rows: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
+    """Exact quantile grid of each vector element per key (21 numbers per key and feature)."""
+    keys = list(keys)
+    cells = rows.select(*keys, F.posexplode("z").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    table = exact_quantiles(cells, [*keys, "pos"], "x", QUANTILE_GRID).orderBy(*keys, "pos").collect()
+    out: dict = {}
+    for r in table:
+        out.setdefault(_key_of(r, keys), []).append([r[quantile_label(p)] for p in QUANTILE_GRID])
+    return {k: np.array(v) for k, v in out.items()}
 
 
-def sample_copula(spark, model: CopulaModel, needed: int, seed: int, block: int = 4096) -> DataFrame:
-    """``(draw, z ARRAY<FLOAT>)``: blocks of draws generated in parallel, the same on any cluster."""
-    shared = spark.sparkContext.broadcast(model)
-    n_blocks = -(-needed // block)
+def normal_scores(rows: DataFrame, keys: Sequence[str], grids: dict[tuple, np.ndarray]) -> DataFrame:
+    """Replace each value by the normal score of its position in its key's quantile grid."""
+    keys = list(keys)
+    shared = rows.sparkSession.sparkContext.broadcast(grids)
+    types = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
+
+    def apply(batches):
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
+                if not len(part):
+                    continue
+                grid = shared.value[key if isinstance(key, tuple) else (key,)]
+                x = stack(part["z"])
+                u = np.column_stack([np.interp(x[:, j], grid[j], QUANTILE_GRID) for j in range(x.shape[1])])
+                yield part.assign(z=list(norm_ppf(np.clip(u, 1e-4, 1 - 1e-4))))
+
+    return rows.select(*keys, "z").mapInPandas(apply, f"{types}z array<double>")
+
+
+def fit_copulas(
+    rows: DataFrame, keys: Sequence[str] = (), correlation_rows: DataFrame | None = None, grids: dict | None = None
+) -> dict[tuple, CopulaModel]:
+    """One sampler per key, fitted on ``rows``; the correlation may come from a wider set of rows."""
+    keys = list(keys)
+    grids = grids or marginal_grids(rows, keys)
+    width = max(len(g) for g in grids.values())
+    if len(grids) * width * (width + len(QUANTILE_GRID)) > MAX_MODEL_NUMBERS:
+        raise ValueError("too many keys or too wide vectors for driver-side samplers")
+    source = rows if correlation_rows is None else correlation_rows
+    wide = grids if correlation_rows is None else marginal_grids(correlation_rows, keys)
+    grams = {k: np.zeros((len(g), len(g))) for k, g in grids.items()}
+    for r in centred_gram(normal_scores(source, keys, wide), keys).collect():
+        g = grams[_key_of(r, keys)]
+        g[r["i"], r["j"]] = g[r["j"], r["i"]] = r["s"]
+    models = {}
+    for key, gram in grams.items():
+        sd = np.sqrt(np.maximum(np.diag(gram), 1e-12))
+        corr = gram / np.outer(sd, sd)
+        np.fill_diagonal(corr, 1.0)
+        values, vectors = np.linalg.eigh(corr)
+        models[key] = CopulaModel(grids[key], vectors * np.sqrt(np.maximum(values, 0.0)))
+    return models
+
+
+def sample_copulas(sizing: DataFrame, keys: Sequence[str], models: dict[tuple, CopulaModel], seed: int, block: int = 4096) -> DataFrame:
+    """``(keys, minority_label, draw, z)``: blocks of draws made in parallel, the same on any cluster."""
+    keys = list(keys)
+    shared = sizing.sparkSession.sparkContext.broadcast(models)
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("needed") - 1) / block)))
+    blocks = sizing.select(*keys, "minority_label", "needed", number.alias("block")).repartition(*keys, "block")
+    types = "".join(f"{k} {sizing.schema[k].dataType.simpleString()}, " for k in keys)
 
     def draw(batches):
         for pdf in batches:
-            for b in pdf["id"]:
-                start = int(b) * block
-                size = min(block, needed - start)
-                z = shared.value.sample(seed, int(b), block)[:size].astype(np.float32)
-                yield pd.DataFrame({"draw": np.arange(start, start + size), "z": list(z)})
+            for row in pdf.to_dict("records"):
+                key = _key_of(row, keys)
+                start = int(row["block"]) * block
+                size = min(block, int(row["needed"]) - start)
+                own = zlib.crc32("|".join(str(v) for v in (seed, *key)).encode())
+                z = shared.value[key].sample(own, int(row["block"]), block)[:size].astype(np.float32)
+                out = pd.DataFrame({"draw": np.arange(start, start + size), "z": list(z)})
+                yield out.assign(minority_label=row["minority_label"], **{k: row[k] for k in keys})[[*keys, "minority_label", "draw", "z"]]
 
-    return spark.range(n_blocks).mapInPandas(draw, "draw bigint, z array<float>")
+    return blocks.mapInPandas(draw, f"{types}minority_label int, draw bigint, z array<float>")
 
 
-def minority_synthesiser(rows: DataFrame, seed: int = 17, namespace: str = "MINORITY") -> DataFrame:
-    """Sampler fitted on the minority train rows only."""
-    size = minority_sizing(rows, []).first()
-    model = fit_copula(rows.filter(F.col("y") == size["minority_label"]))
-    return _labelled(rows.sparkSession, model, size, seed, namespace)
+def _synthesise(rows: DataFrame, keys: Sequence[str], seed: int, namespace: str, conditional: bool, grids) -> DataFrame:
+    keys = list(keys)
+    sizing = minority_sizing(rows, keys)
+    small = minority_rows(rows, sizing, keys).select(*keys, "sample_id", "y", "z")
+    models = fit_copulas(small, keys, rows if conditional else None, grids)
+    drawn = sample_copulas(sizing, keys, models, seed)
+    label = F.col("minority_label")
+    return drawn.select(*keys, synthetic_id(namespace, keys, label, F.col("draw")).alias("sample_id"), label.alias("y"), "z")
 
 
-def conditional_synthesiser(rows: DataFrame, seed: int = 19, namespace: str = "CONDITIONAL") -> DataFrame:
-    """Sampler fitted on all train rows (shared dependence), drawn with the minority's marginals."""
-    size = minority_sizing(rows, []).first()
-    model = fit_copula(rows.filter(F.col("y") == size["minority_label"]), correlation_rows=rows)
-    return _labelled(rows.sparkSession, model, size, seed, namespace)
+def minority_synthesiser(
+    rows: DataFrame, keys: Sequence[str] = (), seed: int = 17, namespace: str = "MINORITY", grids: dict | None = None
+) -> DataFrame:
+    """Gaussian-copula sampler fitted on each key's minority rows only."""
+    return _synthesise(rows, keys, seed, namespace, False, grids)
 
 
-def _labelled(spark, model, size, seed, namespace) -> DataFrame:
-    label = F.lit(size["minority_label"])
-    drawn = sample_copula(spark, model, size["needed"], seed)
-    return drawn.select(synthetic_id(namespace, [], label, F.col("draw")).alias("sample_id"), label.alias("y"), "z")
+def conditional_synthesiser(
+    rows: DataFrame, keys: Sequence[str] = (), seed: int = 19, namespace: str = "CONDITIONAL", grids: dict | None = None
+) -> DataFrame:
+    """Sampler with the dependence of all rows of a key, drawn with the minority's marginals."""
+    return _synthesise(rows, keys, seed, namespace, True, grids)

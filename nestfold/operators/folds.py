@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import hash_word, key_hash
+from ..session import cut_lineage
 from .ranking import hash_rank
 
 OUTER_SPLITS = 5
@@ -76,7 +77,8 @@ def inner_folds(
     seed_base: int = INNER_SEED_BASE,
 ) -> DataFrame:
     """Inner validation fold of every outer-train row, seed = base + repeat*100 + fold."""
-    train = membership(folds, n_splits).filter("role = 'train'").drop("role")
+    # The ranking reads its input twice; without the cut the outer deal would run twice too.
+    train = membership(cut_lineage(folds), n_splits).filter("role = 'train'").drop("role")
     seed = F.lit(seed_base) + F.col("repeat_id") * 100 + F.col("fold_id")
     hashed = train.withColumn("_h", key_hash(seed, F.col("sample_id")))
     dealt = _deal(hashed, ["repeat_id", "fold_id"], "_h", n_inner, "inner_fold_id", "y")

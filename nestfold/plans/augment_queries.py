@@ -150,11 +150,13 @@ def strategy_relation(train, keys):
     base = train.select(*keys, "sample_id", "y", "z", F.lit(False).alias("is_synthetic"), F.lit(1.0).alias("weight"))
     weights = G.class_weights(train, keys).select(*keys, "y", "weight")
     weighted = base.drop("weight").join(F.broadcast(weights), [*keys, "y"])
+    small = G.minority_rows(train, G.minority_sizing(train, keys), keys)
+    grids = G.marginal_grids(small, keys)  # both samplers share the minority's marginals
     parts = [("real_only", base), ("balanced_class_weight", weighted)]
     for name, drawn in (
         ("smote_latent", G.standardised_smote(train, keys)),
-        ("minority_only_ctgan", G.resampled_minority(train, keys, seed=17, jitter=G.JITTER_SD, namespace="MINORITY")),
-        ("conditional_ctgan", G.resampled_minority(train, keys, seed=19, jitter=G.JITTER_SD, namespace="CONDITIONAL")),
+        ("minority_only_ctgan", G.minority_synthesiser(train, keys, grids=grids)),
+        ("conditional_ctgan", G.conditional_synthesiser(train, keys, grids=grids)),
     ):
         extra = drawn.select(*keys, "sample_id", "y", "z", F.lit(True).alias("is_synthetic"), F.lit(1.0).alias("weight"))
         parts.append((name, base.unionByName(extra)))

@@ -140,7 +140,7 @@ def set_seed(layout: Layout, s, component: str) -> int:
 
 def study_table(cohort: DataFrame) -> DataFrame:
     """Cohort rows with ``fold_of`` and ``inner_of`` arrays, written once for all passes."""
-    outer = cut_lineage(D.repeated_kfold(cohort))
+    outer = D.repeated_kfold(cohort)
     return _with_arrays(cohort, outer, D.inner_folds(outer))
 
 

@@ -37,6 +37,10 @@ def rows_of(columns, rows):
 def compare(spark, con, sf_dir: str, name: str, query, sql: str | None) -> tuple[bool, str]:
     t0 = time.time()
     df = query(spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if bad in plan:
+            return False, f"plan holds {bad}"
     got_cols, got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
     if sql is None:

@@ -97,9 +97,13 @@ def test_synthesisers_follow_the_minority(spark, maker):
 
 
 def test_copula_draws_do_not_depend_on_partitions(spark):
-    model = G.CopulaModel(np.tile(np.linspace(0, 1, 21), (2, 1)), np.eye(2))
-    a = {r["draw"]: tuple(r["z"]) for r in G.sample_copula(spark, model, 300, 5, block=64).collect()}
-    b = {r["draw"]: tuple(r["z"]) for r in G.sample_copula(spark, model, 200, 5, block=64).collect()}
+    models = {(): G.CopulaModel(np.tile(np.linspace(0, 1, 21), (2, 1)), np.eye(2))}
+
+    def draw(needed):
+        sizing = spark.createDataFrame([(1, needed)], "minority_label int, needed bigint")
+        return {r["draw"]: tuple(r["z"]) for r in G.sample_copulas(sizing, [], models, 5, block=64).collect()}
+
+    a, b = draw(300), draw(200)
     assert len(a) == 300 and all(a[i] == b[i] for i in b)
 
 
