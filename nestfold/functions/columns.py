@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # A 32-bit word of a SHA-256 digest is uniform on [0, 2^32).
 WORD_RANGE = 4294967296.0
@@ -58,6 +58,12 @@ def as_float_array(values: Column) -> Column:
     return values.cast("array<float>")
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Columns of a one-row table as literals of ``df``: no join, also on a stream."""
+    row = one.first()
+    return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) for f in one.schema.fields})
+
+
 def missing_to_null(x: Column) -> Column:
     """NaN is 'missing' in the data contract, so it becomes null once, at ingest."""
     return F.nullif(x.cast("double"), F.lit(float("nan")))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_float_array, hash_normal, hash_uniform, hash_word, key_hash
+from ..functions.columns import as_float_array, attach_row, hash_normal, hash_uniform, hash_word, key_hash
 from .moments import centred_gram, stack
 from .neighbours import knn_join
 from .preprocess import fit_dense, standardise
@@ -158,7 +158,7 @@ def class_weights(rows: DataFrame, keys: Sequence[str] = (), label: str = "y") -
     """Balanced weights n / (2 n_c) per key and class."""
     counts = rows.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n_class"))
     totals = counts.groupBy(*keys).agg(F.sum("n_class").alias("_n"))
-    joined = counts.join(totals, list(keys)) if keys else counts.withColumn("_1", F.lit(1)).join(totals.withColumn("_1", F.lit(1)), "_1").drop("_1")
+    joined = counts.join(totals, list(keys)) if keys else attach_row(counts, totals)
     return joined.select(*keys, label, "n_class", (F.col("_n") / (2.0 * F.col("n_class"))).alias("weight"))
 
 

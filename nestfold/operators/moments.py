@@ -12,6 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import attach_row
+
 MAX_WIDTH = 2048  # a d x d matrix of doubles stays below 32 MB
 
 
@@ -32,7 +34,7 @@ def centred_gram(rows: DataFrame, keys: Sequence[str], vector: str = "z") -> Dat
     if keys:
         joined = rows.select(*keys, vector).join(packed, keys)
     else:
-        joined = rows.select(vector, F.lit(1).alias("_k")).join(F.broadcast(packed.withColumn("_k", F.lit(1))), "_k").drop("_k")
+        joined = attach_row(rows.select(vector), packed)
     types = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys)
 
     def partial(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import sigmoid
+from ..functions.columns import attach_row, sigmoid
 from ..operators import contract as C, explain as E, families as Z, folds as D, frozen as Fz, preprocess as P, reliability as L, report as R
 from ..operators.ranking import exact_quantiles
 from ..session import cut_lineage
@@ -48,12 +48,10 @@ def linear_rows(spark, sf_dir):
     full = stats.join(exact_quantiles(cells, ["pos"], "x", (0.5,)), "pos")
     packed = F.sort_array(F.collect_list(F.struct("pos", "m", "s", "w", ((F.col("q50") - F.col("m")) / F.col("s")).alias("b"))))
     model = full.agg(packed.alias("_a")).select(
-        F.lit(1).alias("_k"),
         *[F.transform("_a", fn).alias(n) for n, fn in (("mean", lambda p: p["m"]), ("scale", lambda p: p["s"]), ("coef", lambda p: p["w"]), ("background", lambda p: p["b"]))],
         F.lit(INTERCEPT).alias("intercept"),
     )
-    joined = rows.withColumn("_k", F.lit(1)).join(F.broadcast(model), "_k")  # one row
-    return joined.select("sample_id", "y", "part", P.standardise(F.col("z"), F.col("mean"), F.col("scale")).alias("z"), "coef", "background", "intercept")
+    return attach_row(rows, model).select("sample_id", "y", "part", P.standardise(F.col("z"), F.col("mean"), F.col("scale")).alias("z"), "coef", "background", "intercept")
 
 
 @query("mod2_linear_score", f"WITH {LIN_SQL} SELECT sample_id, round(score, 6) AS score, round(1 / (1 + exp(-score)), 6) AS raw_prob FROM lin")
@@ -101,8 +99,7 @@ def frozen_state(spark, sf_dir):
     arrays = P.stats_arrays(stats, ["model_id"])
     order = F.when(F.col("modality") == "mge", 0).when(F.col("modality") == "mdm", 1).otherwise(2)
     coef = stats.groupBy("model_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "pos", "w"))), lambda p: p["w"]).alias("coef"))
-    rate = train.agg(F.avg("y").alias("r")).withColumn("model_id", F.lit(0))
-    return arrays.join(coef, "model_id").join(rate, "model_id").select(
+    return attach_row(arrays.join(coef, "model_id"), train.agg(F.avg("y").alias("r"))).select(
         *arrays.columns, "coef", F.lit(0.0).alias("intercept"), F.lit(1.0).alias("a"), F.log(F.col("r") / (1 - F.col("r"))).alias("b"), F.round("r", 9).alias("threshold")
     )
 
@@ -286,11 +283,10 @@ def status_rows(spark, sf_dir):
     cohort = orders_cohort(spark, sf_dir)
     price, prio = F.col("mdm")[0], F.col("mdm")[4]
     base = cohort.select("sample_id", price.alias("price"), F.round((price - 250) / 100 + 0.2 * prio, 9).alias("score"), C.completeness().alias("completeness"))
-    g = base.agg(F.avg("price").alias("m"), F.var_samp("price").alias("v")).withColumn("_k", F.lit(1))
-    rows = base.withColumn("_k", F.lit(1)).join(F.broadcast(g), "_k").withColumn("distance", F.round(F.abs(F.col("price") - F.col("m")) / F.sqrt(F.col("v") + 1e-6), 6))
-    rows = cut_lineage(rows.select("_k", "sample_id", "score", "completeness", "distance"))
-    limit = exact_quantiles(rows, ["_k"], "distance", (0.95,)).select("_k", F.round("q95", 6).alias("th"))
-    rows = rows.join(F.broadcast(limit), "_k").drop("_k")  # one row
+    spread_of = base.agg(F.avg("price").alias("m"), F.var_samp("price").alias("v"))
+    rows = attach_row(base, spread_of).withColumn("distance", F.round(F.abs(F.col("price") - F.col("m")) / F.sqrt(F.col("v") + 1e-6), 6))
+    rows = cut_lineage(rows.select("sample_id", "score", "completeness", "distance"))
+    rows = attach_row(rows, exact_quantiles(rows, [], "distance", (0.95,)).select(F.round("q95", 6).alias("th")))
     probs = F.array(*[sigmoid(F.col("score") * k) for k in (0.6, 0.8, 1.0, 1.2, 1.4)])
     mean = F.aggregate(probs, F.lit(0.0), lambda a, x: a + x) / 5
     spread = F.sqrt(F.aggregate(probs, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / 5)

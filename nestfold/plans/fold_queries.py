@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import hash_word, key_hash
+from ..functions.columns import attach_row, hash_word, key_hash
 from ..operators import align as A, folds as D, identity as I
 from ..sources.cohorts import MODALITIES, ORDERS_FEATURES, orders_cohort, table
 from .registry import COHORT_SQL, INNER_SQL, MEMBERS_SQL, folds_sql, query, words_sql
@@ -222,7 +222,7 @@ def run_provenance(cohort):
     labels = cohort.select(F.concat_ws("|", "sample_id", "y").alias("t"))
     bound = I.set_identity(labels.withColumn("_one", F.lit(1)), ["_one"], "t", "label_sha256")
     protocol = key_hash(D.OUTER_SPLITS, D.OUTER_REPEATS, D.INNER_SPLITS, D.OUTER_SEED, D.INNER_SEED_BASE)
-    joined = one.withColumn("_one", F.lit(1)).join(bound, "_one").drop("_one").withColumn("protocol_sha256", protocol)
+    joined = attach_row(one, bound.drop("_one")).withColumn("protocol_sha256", protocol)
     return joined.withColumn("run_sha256", key_hash(*[F.col(c) for c in joined.columns]))
 
 
@@ -231,11 +231,11 @@ def id3(spark, sf_dir):
     """The record computed twice from the tables, compared field by field."""
     first = run_provenance(orders_cohort(spark, sf_dir))
     again = run_provenance(orders_cohort(spark, sf_dir).repartition(13, "sample_id"))
+    paired = attach_row(first, again.select(*[F.col(c).alias(f"_{c}") for c in first.columns]))
     same = F.lit(True)
     for c in first.columns:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    paired = first.withColumn("_k", F.lit(1)).alias("a").join(again.withColumn("_k", F.lit(1)).alias("b"), "_k")
-    return paired.select(*[F.col(f"a.{c}").alias(c) for c in first.columns], same.alias("recomputed_equal"))
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return paired.select(*first.columns, same.alias("recomputed_equal"))
 
 
 @query(

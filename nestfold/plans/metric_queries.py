@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import sigmoid
+from ..functions.columns import attach_row, sigmoid
 from ..operators import align as A, folds as D, metrics as M, report as R, selection as S, threshold as T
 from ..operators.ranking import exact_quantiles
 from ..session import cut_lineage
@@ -350,8 +350,8 @@ def sel1(spark, sf_dir):
     sizes = cohort.agg(F.count(F.lit(1)).alias("_n"), *[F.max(F.size(m)).alias(m) for m in ORDERS_FEATURES])
     counts = R.unpivot(sizes, ["_n"], list(ORDERS_FEATURES), "modality", "n_features")
     grid = S.candidate_grid(counts.drop("_n"))
-    total = sizes.select((F.col("_n") * D.OUTER_REPEATS).alias("n_oof_rows"), F.lit(1).alias("_k"))
-    return grid.withColumn("_k", F.lit(1)).join(total, "_k").select("candidate_id", "ratio", "c", "fused_width", "n_oof_rows")
+    total = sizes.select((F.col("_n") * D.OUTER_REPEATS).alias("n_oof_rows"))
+    return attach_row(grid, total).select("candidate_id", "ratio", "c", "fused_width", "n_oof_rows")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import array_sum
+from ..functions.columns import array_sum, attach_row
 from ..operators import align as A, augment as G, calibrate as K, explain as E, families as Z, folds as D, linear as L, metrics as M, preprocess as P, selection as S
 from ..session import cut_lineage
 from ..sources.cohorts import EMBEDDING_SLICES, MODALITIES, ORDERS_FEATURES, embedding_cohort, embedding_latents, orders_cohort
@@ -315,8 +315,7 @@ def rel8(spark, sf_dir):
     streamed = spark.read.parquet(out).select("sample_id", F.col("prob").alias("stream_prob"))
     batch = frozen_score(raw, state)
     names = F.array(*[F.lit(f"{m}:{n}") for m in MODALITIES for n in ORDERS_FEATURES[m]])
-    coef = state.select(F.col("coef").alias("_w"), F.lit(0).alias("model_id"))
-    told = batch.join(F.broadcast(coef), "model_id").withColumn("c", F.zip_with("z", "_w", lambda a, b: a.cast("double") * b))
+    told = attach_row(batch, state.select(F.col("coef").alias("_w"))).withColumn("c", F.zip_with("z", "_w", lambda a, b: a.cast("double") * b))
     edges = {"mge": (0, 10), "mdm": (10, 16), "mcna": (16, 21)}
     rows = told.join(raw.select("sample_id", C.completeness().alias("completeness")), "sample_id").select(
         "sample_id",

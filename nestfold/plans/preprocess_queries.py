@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import array_sum
+from ..functions.columns import array_sum, attach_row
 from ..operators import folds as D, metrics as M, preprocess as P
 from ..sources.cohorts import MODALITIES, ORDERS_FEATURES, modality_cells, orders_cohort
 from ..session import cut_lineage
@@ -173,7 +173,7 @@ def pre8(spark, sf_dir):
     rows = embedding_latents(spark, sf_dir).withColumn("_k", F.lit(1))
     scaler = P.fit_dense(rows, ["_k"])
     z = P.standardise(F.col("z"), F.col("mean"), F.col("scale"))
-    return rows.join(F.broadcast(scaler), "_k").select(  # one row
+    return attach_row(rows, scaler.drop("_k")).select(
         "sample_id", F.round(array_sum(z), 4).alias("total"), F.round(F.array_max(z), 4).alias("peak")
     )
 
