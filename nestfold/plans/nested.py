@@ -155,8 +155,11 @@ def stop_table(cohort: DataFrame, seed: int = 7) -> DataFrame:
 def _with_arrays(cohort: DataFrame, outer: DataFrame, inner: DataFrame) -> DataFrame:
     rows = cohort.select("sample_id", "y", F.concat(*MODALITIES).alias("x"))
     joined = rows.join(D.fold_arrays(outer), "sample_id").join(D.inner_arrays(inner), "sample_id")
-    # The passes are heavy per row: keep the full width even when the bytes are few.
-    width = int(cohort.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The passes are heavy per row: keep every core busy even when the bytes are few.
+    sc = cohort.sparkSession.sparkContext
+    width = sc.defaultParallelism
+    if not sc.master.startswith("local"):
+        width = max(width, int(cohort.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return cut_lineage(joined.repartition(width, "sample_id"))
 
 
