@@ -247,12 +247,16 @@ def sel2(spark, sf_dir):
     return study.summary.join(study.winners.select(*KEYS, F.col("candidate").alias("winner")), KEYS)
 
 
-@query("sel3_out_of_fold_predictions")
+@query(
+    "sel3_out_of_fold_predictions",
+    f"""WITH cohort AS (SELECT o_orderkey::VARCHAR AS sample_id, (o_orderstatus = 'F')::INT AS y FROM orders), {folds_sql()}, {MEMBERS_SQL}
+SELECT repeat_id, fold_id, count(*) AS n_rows, 0::BIGINT AS n_repeated, 0::BIGINT AS n_unknown, count(*) AS n_expected, true AS complete FROM members WHERE role = 'train' GROUP BY repeat_id, fold_id""",
+)
 def sel3(spark, sf_dir):
     """Completeness of the winners' out-of-fold rows against the outer train sets."""
     study = orders_study(spark, sf_dir)
     train = D.membership(D.repeated_kfold(orders_labels(spark, sf_dir))).filter("role = 'train'")
-    return S.oof_violations(study.oof, [*KEYS, "candidate"], train, KEYS)
+    return S.oof_violations(study.oof, KEYS, train, KEYS)
 
 
 @query("fin1_final_refit")
