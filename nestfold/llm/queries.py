@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, ngram_join, token_blocks
+from . import bpe, embedding_join, ngram_join, token_blocks
 from .common import table
 
 QUERIES: dict = {}
@@ -49,3 +49,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_ngram_jaccard_join")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
+@query("op7_embedding_range_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_join.embedding_range_join(table(spark, sf_dir, "embeddings"), cosine=0.9)
