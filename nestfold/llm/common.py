@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import cut_lineage
 from ..sources.sinks import scratch_path
 
 
@@ -16,7 +15,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -27,15 +35,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the smallest one" with "every smaller neighbour points to the smallest one"
     until the edges no longer change.  Minima are pre-aggregated per task, the
     joins are plain sort-merge joins that adaptive execution may split at hot
-    nodes, and each round is cut with a reliable checkpoint.  Nodes that have no
-    edge to another node are not returned.
+    nodes, and each round is a written table.  Nodes that have no edge to another
+    node are not returned.
     """
-    cur = (
+    cur = stored(
         edges.where("a is not null and b is not null and a <> b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
+        .distinct(),
+        "edges",
     )
-    cur = cut_lineage(cur)
     seen = None
     for _ in range(max_rounds):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -44,8 +52,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # ``large`` holds (larger, smaller) only: point the smaller neighbours of each node to the smallest
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = cut_lineage(small.union(down.select("u", F.col("m").alias("v"))).distinct())
+        nxt = stored(small.union(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         facts = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(cur)
         cur = nxt
         if tuple(facts) == seen:
             break

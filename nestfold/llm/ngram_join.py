@@ -380,9 +380,9 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sized = sized.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))
     total = sized.where("blocks = 1").agg(F.sum("tokens")).first()[0] or 0
     bins = max(1, -(-total // BLOCK_TOKENS) * 2)
+    sized_members = members.join(sized.select("cluster", "blocks"), "cluster").withColumnRenamed("rep", "doc_id")
     placed = (
-        sets.join(members.withColumnRenamed("rep", "doc_id"), ["doc_id", "sid"])
-        .join(sized.select("cluster", "blocks"), "cluster")
+        sets.join(sized_members, ["doc_id", "sid"])
         .withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks").cast("long")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_join, ngram_join, token_blocks
+from . import bpe, embedding_join, ngram_join, token_blocks, toxicity
 from .common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_embedding_range_join")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.embedding_range_join(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
