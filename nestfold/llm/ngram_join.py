@@ -5,15 +5,17 @@
    only classes are compared.
 2. Tokens are ordered by the level of their bucket (0: a count that chance explains,
    then by powers of two), then by hash.  Two sets of similarity ``t`` share a token of their
-   prefixes (``n - ceil(t n) + 1`` tokens).  If the shared ones are rare (level 0), one
+   prefixes (``p = n - ceil(t n) + 1`` tokens).  If the shared ones are rare (level 0), one
    is indexed as a single token.  Otherwise both sets hold fewer rare tokens than a prefix and share
    none of them; then their prefixes, longer by ``g``, share ``g + 1`` frequent
    tokens, of which two fall into one of ``g`` token classes: all 2-token combinations within a class
    are indexed.  ``g`` follows the size level, so the combinations of a set grow
    linearly with its prefix.
-3. Rows of an index key are linked to the key's smallest set only (a star), which
-   keeps the candidate graph linear; combination keys are salted and their stars joined
-   in a second step.  Its connected components are clusters: no similar pair crosses two of them.
+3. Single tokens of prefixes extended to ``2 p`` are counted as well: similar sets share
+   more than half of them, so a set with too few tokens that any other set has drops out
+   (this removes texts that only share a passage).  Each remaining key links its sets to the
+   smallest one (a star), which keeps the candidate graph linear.  Its connected
+   components are clusters: no similar pair crosses two of them.
 4. Each cluster is verified exactly: small ones many to a task, large ones in
    blocks against blocks.  A task emits the links of each set to one neighbour of its
    local component, never all pairs.
@@ -39,6 +41,8 @@ SLICE = 4096
 LEVEL_SHIFT = np.uint64(58)
 CLASS_TOKENS = 5
 SALTS = 16
+# Bits of an index row: its salt (0: single token), whether it belongs to the prefix proper, then the count it needs.
+SALT_MASK, HEAD = 31, 32
 BITMAP_BITS = 24
 BLOCK_SETS = 512
 BLOCK_TOKENS = 1_000_000
@@ -88,24 +92,33 @@ def class_count(level: int, num: int, den: int) -> int:
     return g if needed(least, num, den) >= g + 1 else 0
 
 
-def index_keys(tokens: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Single keys and combination keys of one set."""
+def shared_in_prefix(n: int, num: int, den: int) -> int:
+    """Tokens that the extended prefixes of two similar sets share, if the smaller has ``n`` tokens."""
+    p = n - needed(n, num, den) + 1
+    return min(n, 2 * p) - p + 1
+
+
+def index_keys(tokens: np.ndarray, levels: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Single keys of the prefix, single keys of its extension, combination keys, and the single keys that others must have."""
     n = len(tokens)
     level = levels[tokens >> np.uint64(64 - BUCKET_BITS)].astype(np.uint64)
     order = (level << LEVEL_SHIFT) | (tokens >> np.uint64(64 - int(LEVEL_SHIFT)))
     p = n - needed(n, num, den) + 1
-    rare_in_set = int((level == 0).sum())
-    if rare_in_set >= p:
-        return (np.partition(order, p - 1)[:p] if p < n else order), order[:0]
+    long = min(n, 2 * p)
+    rare = int((level == 0).sum())
+    need = shared_in_prefix(needed(n, num, den), num, den) - max(0, long - rare)
+    if rare >= p:
+        first = np.partition(order, sorted({p - 1, long - 1}))[:long]
+        return first[:p], first[p : min(long, rare)] if rare >= long else np.sort(first)[p:rare], order[:0], need
     order.sort()
-    singles, combos = [order[:rare_in_set]], []
+    combos: list[np.ndarray] = []
     at = size_level(n, num, den)
     for tag in (at, at + 1):
         g = class_count(tag, num, den)
         if not g:
-            singles.append(order[rare_in_set:p])
+            combos.append(order[rare:p])
             continue
-        frequent = order[rare_in_set : p + g]
+        frequent = order[rare : p + g]
         group = (chars.mix(frequent) % np.uint64(g)).astype(np.int64)
         by = np.argsort(group, kind="stable")
         frequent, group = frequent[by], group[by]
@@ -115,7 +128,7 @@ def index_keys(tokens: np.ndarray, levels: np.ndarray, num: int, den: int) -> tu
             if not same.any():
                 break
             combos.append(chars.mix(chars.mix(frequent[:-lag][same] ^ salt) + frequent[lag:][same]))
-    return np.unique(np.concatenate(singles)), np.unique(np.concatenate(combos)) if combos else order[:0]
+    return order[:rare], order[:0], np.unique(np.concatenate(combos)) if combos else order[:0], need
 
 
 # ---------------------------------------------------------------- passes over the texts
@@ -174,60 +187,55 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, leve
     seen: set[int] = set()
     table = levels.value
 
-    def out(keys: list[np.ndarray], sids: list[int], salts: list[np.ndarray]) -> pa.RecordBatch:
+    def out(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(keys).view(np.int64)),
-                pa.array(np.concatenate(salts)),
-                pa.array(np.repeat(np.array(sids, np.int64), [len(x) for x in keys])),
+                pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)),
+                pa.array(np.concatenate([r[1] for r in rows])),
+                pa.array(np.repeat(np.array([r[2] for r in rows], np.int64), [len(r[0]) for r in rows])),
             ],
-            names=["key", "salt", "sid"],
+            names=["key", "meta", "sid"],
         )
 
     for batch in batches:
-        keys, sids, salts, size = [], [], [], 0
+        rows, size = [], 0
         texts = [t for t, d in zip(batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), strict=True) if t and d is not None]
         for s in shingle_sets(texts, k):
             if len(s) < 2 or (sid := set_id(s)) in seen:  # a set of one token is only similar to itself
                 continue
             seen.add(sid)
-            single, combined = index_keys(s, table, num, den)
-            keys.append(np.concatenate([single, combined]))
-            salts.append(np.concatenate([np.zeros(len(single), np.int32), np.full(len(combined), 1 + (sid & (SALTS - 1)), np.int32)]))
-            sids.append(sid)
-            size += len(keys[-1])
+            first, more, combined, need = index_keys(s, table, num, den)
+            meta = np.full(len(first) + len(more) + len(combined), max(0, need) << 6, np.int32)
+            meta[: len(first)] |= HEAD
+            meta[len(first) + len(more) :] |= HEAD | (1 + (sid & (SALTS - 1)))
+            rows.append((np.concatenate([first, more, combined]), meta, sid))
+            size += len(meta)
             if size > 1 << 18:
-                yield out(keys, sids, salts)
-                keys, sids, salts, size = [], [], [], 0
-        if keys:
-            yield out(keys, sids, salts)
+                yield out(rows)
+                rows, size = [], 0
+        if rows:
+            yield out(rows)
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, salt, sid) to (sid, smallest sid of the key and salt), and the stars of salted keys."""
-    key, salt, first = None, None, 0
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by key and salt, whose key another row has too; salted rows all pass."""
+    held = None
     for batch in batches:
-        k, s, sid = (np.asarray(batch.column(c)) for c in range(3))
-        if not len(k):
-            continue
-        start = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
-        if (k[0], s[0]) == (key, salt):
-            start[0] = False
-        run = np.cumsum(start)
-        heads = np.append(first, sid[start])
-        lead = heads[run]
-        key, salt, first = k[-1], s[-1], lead[-1]
-        edge = sid != lead
-        salted = start & (s > 0)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.append(np.zeros(edge.sum(), np.int64), k[salted])),
-                pa.array(np.append(np.zeros(edge.sum(), bool), np.ones(salted.sum(), bool))),
-                pa.array(np.append(sid[edge], sid[salted])),
-                pa.array(np.append(lead[edge], sid[salted])),
-            ],
-            names=["key", "again", "a", "b"],
-        )
+        key, meta, sid = (np.asarray(batch.column(c)) for c in range(3))
+        if held is not None:
+            key, meta, sid = np.append(held[0], key), np.append(held[1], meta), np.append(held[2], sid)
+        same = key[1:] == key[:-1]
+        keep = (meta & SALT_MASK) > 0
+        keep[1:] |= same
+        keep[:-1] |= same
+        # the last row waits for the next batch, together with the news that its key was there before
+        last = len(key) - 1
+        if held is not None and held[3]:
+            keep[0] = True
+        held = (key[last:], meta[last:], sid[last:], bool(keep[last]))
+        yield pa.RecordBatch.from_arrays([pa.array(x[:last][keep[:last]]) for x in (key, meta, sid)], names=["key", "meta", "sid"])
+    if held is not None and held[3]:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:3]], names=["key", "meta", "sid"])
 
 
 def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, bitmap) -> Iterator[pa.RecordBatch]:
@@ -352,19 +360,14 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows = profile.where("slice is null").select("doc_id", "n_shingles", "sid")
     levels = spark.sparkContext.broadcast(bucket_levels(profile))
 
-    entries = docs.mapInArrow(partial(_entries, k=k, num=num, den=den, levels=levels), "key long, salt int, sid long")
-    stars = stored(
-        entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "sid").mapInArrow(_stars, "key long, again boolean, a long, b long"),
-        "stars",
-    )
-    second = (
-        stars.where("again")
-        .select("key", F.lit(0).alias("salt"), F.col("a").alias("sid"))
-        .repartition("key")
-        .sortWithinPartitions("key", "sid")
-        .mapInArrow(_stars, "key long, again boolean, a long, b long")
-    )
-    candidates = stars.where("not again").select("a", "b").union(second.select("a", "b"))
+    entries = docs.mapInArrow(partial(_entries, k=k, num=num, den=den, levels=levels), "key long, meta int, sid long").withColumn("salt", F.expr(f"meta & {SALT_MASK}"))
+    shared = entries.repartition("key", "salt").sortWithinPartitions("key").select("key", "meta", "sid").mapInArrow(_shared, "key long, meta int, sid long")
+    shared = stored(shared, "shared")
+    single = F.expr(f"int(meta & {SALT_MASK} = 0)")
+    alive = shared.groupBy("sid").agg(F.sum(single).alias("have"), F.max(F.shiftright("meta", 6)).alias("need")).where("have >= need").select("sid")
+    keys = stored(shared.where(f"meta & {HEAD} > 0").select("key", "sid").distinct().join(alive, "sid", "left_semi"), "keys")
+    leaders = keys.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).where("b <> top").select("key", "b")
+    candidates = keys.join(leaders, "key").select(F.col("sid").alias("a"), "b")
     clusters = components(candidates).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
 
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
