@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embedding_join, ngram_join, token_blocks, toxicity
+from . import bpe, embedding_join, ngram_join, token_blocks, toxicity, url_cascade, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -59,3 +59,53 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+# The rules of the URL query: fixed values.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+OP9_SQL = f"""
+WITH rules(rh, rp, v) AS (VALUES {_RULE_ROWS}),
+cut AS (
+  SELECT page_id, row_number() OVER () AS rn,
+         CASE WHEN coalesce(position('://' IN url), 0) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS rest
+  FROM pages),
+parts AS (
+  SELECT page_id, rn, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut)
+SELECT page_id, host, path, rh || rp AS rule, coalesce(v, 'allow') AS verdict
+FROM parts LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
+QUALIFY row_number() OVER (PARTITION BY rn ORDER BY length(rh || rp) DESC NULLS LAST) = 1
+"""
+
+
+@query("op9_url_cascade", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP2_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS payload_bytes,
+         min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31))::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
+@query("op2_warc_archive", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
