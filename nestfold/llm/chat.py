@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import running_sum, stored
 
 START, SEP, END = "<|start|>", "<|sep|>", "<|end|>"
 PLACEHOLDERS = {"image": "<|image|>", "audio": "<|audio|>", "document": "<|document|>"}
@@ -92,7 +92,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     chats = chats.select("conv_id", "t", F.transform("t", piece).alias("pieces"))
     # starts of all turns in one sweep
     sizes = F.transform("pieces", lambda p: F.length(p).cast("long"))
-    chats = chats.withColumn("starts", _running(sizes))
+    chats = chats.withColumn("starts", running_sum(sizes))
     spans = F.zip_with(
         "t",
         "starts",
@@ -107,17 +107,6 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return chats.select("conv_id", F.array_join("pieces", "").alias("formatted"), loss.alias("loss"), attachments.alias("attachments"))
 
 
-def _running(sizes: Column) -> Column:
-    """Sum of the elements before each one: within chunks of 64, plus the sum of the chunks before."""
-    zero = F.lit(0).cast("long")
-    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
-    size = 64
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / size).cast("int")), lambda c: F.slice(sizes, c * size + 1, F.lit(size)))
-    sums = F.transform(chunks, total)
-    inner = F.transform(chunks, lambda chunk, c: F.transform(chunk, lambda _, i: total(F.slice(chunk, F.lit(1), i)) + total(F.slice(sums, F.lit(1), c))))
-    return F.flatten(inner)
-
-
 def read_chats(chats: DataFrame) -> DataFrame:
     """Turns and learned texts as they stand in the formatted rows, unescaped.
 

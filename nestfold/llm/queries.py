@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embedding_join, ngram_join, token_blocks, toxicity, url_cascade, warc
+from . import bpe, chat, embedding_join, ngram_join, secret_scan, token_blocks, toxicity, url_cascade, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -142,3 +142,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(learned, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op10_secret_scan")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secret_scan.train(secret_scan.labelled_findings(spark))
+    return secret_scan.scan(table(spark, sf_dir, "documents"), model)
