@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.sinks import scratch_path
@@ -27,6 +28,18 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bitmap(df: DataFrame, value: str, bits: int) -> np.ndarray:
+    """Bit ``value`` (a long expression from 0 to ``2**bits - 1``) of every row, as bytes.
+
+    At most ``2**bits / 8`` small rows reach the driver, whatever the table's size.
+    """
+    parts = df.select(F.expr(f"int(({value}) div 8)").alias("byte"), F.expr(f"shiftleft(1, int(({value}) % 8))").alias("mask"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in parts.groupBy("byte").agg(F.bit_or("mask").alias("mask")).toLocalIterator():
+        out[r["byte"]] = r["mask"]
+    return out
+
+
 def running_sum(sizes: Column) -> Column:
     """Sum of the elements before each one: within chunks of 64, plus the sum of the chunks before."""
     zero = F.lit(0).cast("long")

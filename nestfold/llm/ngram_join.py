@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import chars
-from .common import components, stored
+from .common import bitmap, components, stored
 
 BUCKET_BITS = 18
 SLICE = 4096
@@ -238,8 +238,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:3]], names=["key", "meta", "sid"])
 
 
-def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, bitmap) -> Iterator[pa.RecordBatch]:
-    bits = bitmap.value
+def _candidate_sets(batches: Iterator[pa.RecordBatch], k: int, marked) -> Iterator[pa.RecordBatch]:
+    bits = marked.value
     for batch in batches:
         texts = batch.column("text").to_pylist()
         docs = batch.column("doc_id").to_pylist()
@@ -372,12 +372,8 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
     members = stored(clusters.join(classes, "sid"), "members")
-    bitmap = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
-    bit = F.pmod("rep", F.lit(1 << BITMAP_BITS))
-    bits = members.select((bit / 8).cast("int").alias("byte"), F.expr(f"shiftleft(1, cast(pmod(rep, {1 << BITMAP_BITS}) % 8 as int))").alias("mask"))
-    for r in bits.groupBy("byte").agg(F.bit_or("mask").alias("mask")).toLocalIterator():  # at most 2**21 rows
-        bitmap[r["byte"]] = r["mask"]
-    sets = docs.mapInArrow(partial(_candidate_sets, k=k, bitmap=spark.sparkContext.broadcast(bitmap)), "doc_id long, sid long, tokens binary")
+    marked = spark.sparkContext.broadcast(bitmap(members, f"pmod(rep, {1 << BITMAP_BITS})", BITMAP_BITS))
+    sets = docs.mapInArrow(partial(_candidate_sets, k=k, marked=marked), "doc_id long, sid long, tokens binary")
 
     sized = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("tokens"))
     sized = sized.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, embedding_join, ngram_join, secret_scan, token_blocks, toxicity, url_cascade, warc
+from . import bpe, chat, decontaminate, embedding_join, ngram_join, secret_scan, token_blocks, toxicity, url_cascade, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -148,3 +148,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = secret_scan.train(secret_scan.labelled_findings(spark))
     return secret_scan.scan(table(spark, sf_dir, "documents"), model)
+
+
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
