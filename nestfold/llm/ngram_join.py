@@ -14,7 +14,9 @@
 3. Single tokens of prefixes extended to ``2 p`` are counted as well: similar sets share
    more than half of them, so a set with too few tokens that any other set has drops out
    (this removes texts that only share a passage).  Each remaining key links its sets to the
-   smallest one (a star), which keeps the candidate graph linear.  Its connected
+   smallest one (a star), which keeps the candidate graph linear; a set forgets the links
+   that few keys support, less than half of what similar sets share, so that any two still
+   keep a key in common.  The graph's connected
    components are clusters: no similar pair crosses two of them.
 4. Each cluster is verified exactly: small ones many to a task, large ones in
    blocks against blocks.  A task emits the links of each set to one neighbour of its
@@ -31,7 +33,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import chars
 from .common import bitmap, components, stored
@@ -218,20 +220,25 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int, leve
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by key and salt, whose key another row has too; salted rows all pass."""
+    """Rows, sorted by key and set, whose key another set has too; repeats go, salted rows all pass."""
     held = None
     for batch in batches:
         key, meta, sid = (np.asarray(batch.column(c)) for c in range(3))
+        seen_before = False
         if held is not None:
             key, meta, sid = np.append(held[0], key), np.append(held[1], meta), np.append(held[2], sid)
+            seen_before = held[3]
+        new = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
+        key, meta, sid = key[new], meta[new], sid[new]
         same = key[1:] == key[:-1]
         keep = (meta & SALT_MASK) > 0
         keep[1:] |= same
         keep[:-1] |= same
-        # the last row waits for the next batch, together with the news that its key was there before
+        keep[:1] |= seen_before
+        # the last row waits for the next batch, together with the news that its key is shared already
         last = len(key) - 1
-        if held is not None and held[3]:
-            keep[0] = True
+        if last < 0:
+            continue
         held = (key[last:], meta[last:], sid[last:], bool(keep[last]))
         yield pa.RecordBatch.from_arrays([pa.array(x[:last][keep[:last]]) for x in (key, meta, sid)], names=["key", "meta", "sid"])
     if held is not None and held[3]:
@@ -361,13 +368,18 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     levels = spark.sparkContext.broadcast(bucket_levels(profile))
 
     entries = docs.mapInArrow(partial(_entries, k=k, num=num, den=den, levels=levels), "key long, meta int, sid long").withColumn("salt", F.expr(f"meta & {SALT_MASK}"))
-    shared = entries.repartition("key", "salt").sortWithinPartitions("key").select("key", "meta", "sid").mapInArrow(_shared, "key long, meta int, sid long")
+    shared = entries.repartition("key", "salt").sortWithinPartitions("key", "sid").select("key", "meta", "sid").mapInArrow(_shared, "key long, meta int, sid long")
     shared = stored(shared, "shared")
-    single = F.expr(f"int(meta & {SALT_MASK} = 0)")
-    alive = shared.groupBy("sid").agg(F.sum(single).alias("have"), F.max(F.shiftright("meta", 6)).alias("need")).where("have >= need").select("sid")
-    keys = stored(shared.where(f"meta & {HEAD} > 0").select("key", "sid").distinct().join(alive, "sid", "left_semi"), "keys")
+    single = F.expr(f"meta & {SALT_MASK} = 0")
+    alive = shared.groupBy("sid").agg(F.count_if(single).alias("have"), F.max(F.shiftright("meta", 6)).alias("need")).where("have >= need")
+    keys = stored(shared.select("key", "sid", single.alias("single")).join(alive.select("sid", "need"), "sid"), "keys")
     leaders = keys.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).where("b <> top").select("key", "b")
-    candidates = keys.join(leaders, "key").select(F.col("sid").alias("a"), "b")
+    stars = keys.join(leaders, "key").where("sid <> b").select(F.col("sid").alias("a"), "b", "single", "need")
+    # similar sets share ``need`` single keys, so each may forget less than half as many: the keys whose smallest set it meets least
+    pairs = stars.groupBy("a", "b").agg(F.count_if("single").alias("singles"), F.count_if(~F.col("single")).alias("combined"), F.max("need").alias("need"))
+    order = Window.partitionBy("a").orderBy("singles", "b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = pairs.withColumn("forgotten", F.sum("singles").over(order))
+    candidates = pairs.where("combined > 0 or forgotten > (need - 1) div 2").select("a", "b")
     clusters = components(candidates).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
 
     classes = rows.where("doc_id is not null and n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
