@@ -133,15 +133,10 @@ def validate_text_table(raw: DataFrame, modality: str) -> None:
     """Raise on the first broken rule of a raw (all-string) modality table; one aggregate job."""
     features = [c for c in raw.columns if c not in FORBIDDEN_COLUMNS]
     label = F.expr("try_cast(CLASS as double)")
-    checks = [
+    found = raw.agg(
         F.count_if(is_blank("SAMPLE_ID")).alias("blank_ids"),
         F.count_if(~F.coalesce(label.isin(1.0, 2.0), F.lit(False))).alias("bad_labels"),
-    ]
-    for i, name in enumerate(features):
-        text = F.col(f"`{name}`")
-        checks.append(F.count_if(unparsable(text)).alias(f"text_{i}"))
-        checks.append(F.count_if(F.coalesce(is_infinite(text.try_cast("double")), F.lit(False))).alias(f"inf_{i}"))
-    found = raw.agg(*checks).first()
+    ).first()
     if found["blank_ids"]:
         raise ContractError(f"{modality}: {found['blank_ids']} null or blank ids")
     repeated = duplicate_ids(raw, "SAMPLE_ID").orderBy("SAMPLE_ID").limit(10).collect()
@@ -149,8 +144,11 @@ def validate_text_table(raw: DataFrame, modality: str) -> None:
         raise ContractError(f"{modality}: duplicate ids {[r[0] for r in repeated]}")
     if found["bad_labels"]:
         raise ContractError(f"{modality}: {found['bad_labels']} labels outside 1 and 2")
-    for i, name in enumerate(features):
-        if found[f"text_{i}"]:
-            raise ContractError(f"{modality}: feature {name!r} holds non-numeric values")
-        if found[f"inf_{i}"]:
-            raise ContractError(f"{modality}: feature {name!r} holds infinite values")
+    # one array per row instead of two aggregates per feature: the plan does not grow with the width
+    cells = raw.select(F.posexplode(F.array(*[F.col(f"`{n}`") for n in features])).alias("i", "text"))
+    infinite = F.coalesce(is_infinite(F.col("text").try_cast("double")), F.lit(False))
+    broken = cells.groupBy("i").agg(F.count_if(unparsable(F.col("text"))).alias("texts"), F.count_if(infinite).alias("infs"))
+    first = broken.where("texts > 0 or infs > 0").orderBy("i").first()
+    if first:
+        kind = "non-numeric" if first["texts"] else "infinite"
+        raise ContractError(f"{modality}: feature {features[first['i']]!r} holds {kind} values")

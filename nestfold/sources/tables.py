@@ -3,32 +3,31 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+import json
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import missing_to_null
 
 ID_COLUMN = "SAMPLE_ID"
 LABEL_COLUMN = "CLASS"
-STREAM_ID = "_raw"
+BAD_ROW = "_bad_row"
+
+
+NOT_SPACE = re.compile(r"[^ \t\r\n]")
 
 
 class ContractError(ValueError):
     """The input breaks the data contract."""
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Header names of a CSV file (one line is read); duplicates and absences are errors.
-
-    Spark's CSV reader renames duplicate columns silently, so the raw line is
-    checked before the typed read.
-    """
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0].lstrip("﻿") if first else ""
-    if not line.strip():
+def header_of(line: str, path: str) -> list[str]:
+    names = next(csv.reader([line.lstrip("\ufeff")]), [])
+    if not "".join(names).strip():
         raise ContractError(f"{path}: empty file or no header")
-    names = next(csv.reader([line]))
     repeated = sorted({n for n in names if names.count(n) > 1})
     if repeated:
         raise ContractError(f"{path}: duplicate columns {repeated}")
@@ -40,27 +39,94 @@ def read_header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """Header names that all CSV files below ``path`` share; duplicates, absences and differing files are errors.
+
+    Spark's CSV reader renames duplicate columns silently and reads later files by
+    position, so the raw first line of every file is checked before the typed read.
+    """
+    lines = (
+        spark.read.text(path)
+        .select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+        .where("file_block_start = 0")
+        .groupBy("file_path")
+        .agg(F.min_by("value", "at").alias("line"))
+    )
+    firsts = [r["line"] for r in lines.groupBy("line").count().orderBy("line").limit(2).collect()]
+    if not firsts:
+        raise ContractError(f"{path}: empty file or no header")
+    names = header_of(firsts[0], path)
+    if len(firsts) > 1 and header_of(firsts[1], path) != names:
+        raise ContractError(f"{path}: files with different headers {firsts}")
+    return names
+
+
 def read_modality_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, for the contract checks; header must be valid."""
+    """All columns as strings, for the contract checks; header must be valid.
+
+    A short row ends in missing cells; a row with more cells than the header stops the job.
+    """
     names = read_header(spark, path)
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.csv(path, header=True, schema=schema, enforceSchema=True)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, BAD_ROW]])
+    # without column pruning the length of a row is checked whatever columns are used
+    options = {"header": True, "enforceSchema": True, "columnNameOfCorruptRecord": BAD_ROW, "mode": "PERMISSIVE", "quote": "\"", "escape": "\"", "columnPruning": False}
+    rows = spark.read.options(**options).schema(schema).csv(path)
+    # only rows of an unexpected length carry their text; cells are counted outside quotes
+    bare = F.regexp_replace(BAD_ROW, '"([^"]|"")*"', "")
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+    long = F.coalesce(cells > len(names), F.lit(False))
+    message = F.concat(F.lit(f"{path}: more than {len(names)} cells in the row of "), F.coalesce(ID_COLUMN, F.lit("")), F.lit(": "), F.col(BAD_ROW))
+    return rows.where(F.when(long, F.raise_error(message).cast("boolean")).otherwise(True)).select(*[f"`{n}`" for n in names])
 
 
 def parse_modality(raw: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """``(sample_id, label_raw, features ARRAY<DOUBLE>)``; names go into column metadata."""
+    """``(sample_id, label_raw, features ARRAY<DOUBLE>)``; names go into column metadata.
+
+    A label that is not a whole number is missing, never rounded.
+    """
     names = list(features) if features else [c for c in raw.columns if c not in (ID_COLUMN, LABEL_COLUMN)]
     packed = F.array(*[missing_to_null(F.expr(f"try_cast(`{n}` as double)")) for n in names])
     return raw.select(
         F.col(ID_COLUMN).alias("sample_id"),
-        F.expr(f"try_cast(try_cast({LABEL_COLUMN} as double) as int)").alias("label_raw"),
+        F.expr(f"if(try_cast({LABEL_COLUMN} as double) = floor(try_cast({LABEL_COLUMN} as double)), try_cast(try_cast({LABEL_COLUMN} as double) as int), null)").alias("label_raw"),
         packed.alias("features", metadata={"names": names}),
     )
 
 
 def read_modality(spark: SparkSession, path: str) -> DataFrame:
-    """Scan one modality CSV with explicit types (id string, label, double features)."""
-    return parse_modality(read_modality_text(spark, path))
+    """Scan one modality CSV with explicit types (id string, label, double features); a broken contract raises."""
+    from ..operators.contract import validate_text_table
+
+    raw = read_modality_text(spark, path)
+    validate_text_table(raw, path)
+    return parse_modality(raw)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record of files that hold concatenated objects or arrays of them, as compact text."""
+    decoder = json.JSONDecoder()
+    for batch in batches:
+        for name, text in zip(batch.column("file").to_pylist(), batch.column("value").to_pylist(), strict=True):
+            text, held = text.lstrip("\ufeff"), []
+            at = _skip(text, 0)
+            while at < len(text):
+                try:
+                    value, at = decoder.raw_decode(text, at)
+                except json.JSONDecodeError as error:
+                    raise ContractError(f"{name}: not a JSON record at character {at}: {error.msg}") from error
+                held += value if isinstance(value, list) else [value]
+                at = _skip(text, at)
+                if len(held) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array([json.dumps(v) for v in held])], names=["value"])
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array([json.dumps(v) for v in held])], names=["value"])
+
+
+def _skip(text: str, at: int) -> int:
+    """Position of the next character that is no white space."""
+    found = NOT_SPACE.search(text, at)
+    return found.start() if found else len(text)
 
 
 def read_records(
@@ -71,8 +137,17 @@ def read_records(
     unique_key: Sequence[str] = (),
     pretty: bool = False,
 ) -> DataFrame:
-    """JSON-lines (or pretty JSON) records; malformed, empty, miscounted or repeated keys fail."""
-    rows = spark.read.schema(schema).json(path, mode="FAILFAST", multiLine=pretty)
+    """JSON-lines (or pretty JSON) records; malformed, empty, miscounted or repeated keys fail.
+
+    A pretty file holds objects one after the other, or arrays of them; all are read, and text that is
+    no record stops the job.
+    """
+    if pretty:
+        files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+        texts = files.mapInArrow(_decoded, "value string")
+        rows = texts.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    else:
+        rows = spark.read.schema(schema).json(path, mode="FAILFAST")
     key = list(unique_key)
     facts = [F.count(F.lit(1)).alias("n")]
     if key:

@@ -51,6 +51,45 @@ def test_broken_tables_are_rejected(spark, tmp_path, body, word):
         C.validate_text_table(raw, "mGE")
 
 
+def test_long_rows_stop_and_short_rows_end_in_missing_cells(spark, tmp_path):
+    short = S.read_modality(spark, write(tmp_path, "s", "SAMPLE_ID,CLASS,f,g\nA,1,2\nB,2,3,4\n"))
+    assert {r["sample_id"]: r["features"] for r in short.collect()} == {"A": [2.0, None], "B": [3.0, 4.0]}
+    for body in ("A,1,2,9\nB,2,3\n", "A,1,2,\nB,2,3\n", "A,1,2,,\nB,2,3\n", 'A,1,"2",9\nB,2,3\n'):
+        with pytest.raises(Exception, match="more than 3 cells"):
+            S.read_modality(spark, write(tmp_path, "l", "SAMPLE_ID,CLASS,f\n" + body)).collect()
+        with pytest.raises(Exception, match="more than 3 cells"):
+            S.read_modality_text(spark, write(tmp_path, "l", "SAMPLE_ID,CLASS,f\n" + body)).select("CLASS").collect()
+    quoted = S.read_modality(spark, write(tmp_path, "q", 'SAMPLE_ID,CLASS,f\n"A,""x""",1,2\nB,2,3\n'))
+    assert {r["sample_id"] for r in quoted.collect()} == {'A,"x"', "B"}
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many" / "a.csv").write_text("SAMPLE_ID,CLASS,f1,f2\nA,1,1,2\n")
+    (tmp_path / "many" / "b.csv").write_text("SAMPLE_ID,CLASS,f2,f1\nB,2,1,2\n")
+    with pytest.raises(ContractError, match="different headers"):
+        S.read_modality(spark, str(tmp_path / "many"))
+    (tmp_path / "many" / "b.csv").write_text("SAMPLE_ID,CLASS,f1,f2\nB,2,1,2\n")
+    assert S.read_modality(spark, str(tmp_path / "many")).count() == 2
+
+
+def test_fractional_label_is_refused(spark, tmp_path):
+    path = write(tmp_path, "c", "SAMPLE_ID,CLASS,f\nA,1.9,1\nB,2,2\n")
+    with pytest.raises(ContractError, match="labels"):
+        S.read_modality(spark, path)
+    assert {r["label_raw"] for r in S.parse_modality(S.read_modality_text(spark, path)).collect()} == {None, 2}
+
+
+def test_concatenated_records_are_all_read(spark, tmp_path):
+    path = tmp_path / "many.json"
+    path.write_text('{\n "id": 1}\n{"id": 2}  [{"id": 3},\n {"id": 4}]\n')
+    assert sorted(r["id"] for r in S.read_records(spark, str(path), "id int", 4, ["id"], pretty=True).collect()) == [1, 2, 3, 4]
+    for tail in ("tail", "{", "}"):
+        path.write_text('{"id": 1}\n' + tail)
+        with pytest.raises(Exception, match="not a JSON record"):
+            S.read_records(spark, str(path), "id int", pretty=True)
+
+
 def test_good_table_passes(spark, tmp_path):
     C.validate_text_table(S.read_modality_text(spark, write(tmp_path, "g", GOOD)), "mGE")
 
