@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_sum, attach_row, is_infinite, missing_to_null
@@ -109,8 +110,8 @@ def snk3(spark, sf_dir):
     try:
         sinks.publish_all(folds, root, "orders", "scoring")
         refused = False
-    except Exception as error:  # the second write must fail on the existing folder
-        refused = "PATH_ALREADY_EXISTS" in str(error)
+    except AnalysisException as error:  # the second write must fail on the existing folder
+        refused = error.getCondition() == "PATH_ALREADY_EXISTS"
     return spark.read.parquet(path).groupBy("repeat_id", "fold_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.lit(refused).alias("second_write_refused")
     )

@@ -209,7 +209,8 @@ g AS (SELECT modality, names, count(*) AS row_count, {words_sql("d")} AS content
 SELECT modality, row_count, len(string_split(names, ','))::INT AS feature_count, sha256(names) AS schema_sha256, sha256(names || '|' || row_count || '|' || content) AS content_sha256 FROM g""",
 )
 def id2(spark, sf_dir):
-    return I.matrix_identity(orders_cohort(spark, sf_dir), MODALITIES, ORDERS_FEATURES)
+    # the cohort's features are defined to nine decimals
+    return I.matrix_identity(orders_cohort(spark, sf_dir), MODALITIES, ORDERS_FEATURES, digits=9)
 
 
 def run_provenance(cohort):

@@ -301,6 +301,28 @@ def cal4(spark, sf_dir):
     return rounded(M.probability_losses(calibrated_orders(spark, sf_dir), KEYS), 7)
 
 
+def reliability_state(spark, sf_dir, state):
+    """What a saved model needs to judge its own predictions, as one row.
+
+    Mean, inverse covariance and distance limit of the training rows in the model's
+    scaled space, and the weights of five classifiers fitted on bootstrap draws of them.
+    """
+    from ..operators import reliability as Rl
+    from ..operators.frozen import frozen_score
+
+    cohort = orders_cohort(spark, sf_dir)
+    fit_ids = D.shuffle_split(cohort.select("sample_id", "y"), [], seed=42).filter("part = 'fit'").select("sample_id")
+    train = cohort.join(fit_ids, "sample_id", "left_semi")
+    z = frozen_score(train.drop("y"), state).select("sample_id", F.col("z").cast("array<double>").alias("z"))
+    rows = cut_lineage(z.join(train.select("sample_id", "y"), "sample_id"))
+    n, samples = rows.count(), None
+    for b in range(5):
+        drawn = D.bootstrap(rows, n, seed=100 + b).select(F.lit(b).alias("model_id"), "y", "z")
+        samples = drawn if samples is None else samples.unionByName(drawn)
+    weights, _ = L.fit_rows(cut_lineage(samples), ["model_id"])
+    return Rl.distance_state(rows, [[float(v) for v in w] for _, w in sorted(weights.items())])
+
+
 @query("rel8_batch_inference")
 def rel8(spark, sf_dir):
     """Saved state read back, raw rows scored in batch and as a file stream; both results are compared."""
@@ -313,6 +335,9 @@ def rel8(spark, sf_dir):
     state_path, raw_path, out, mark = (sinks.scratch_path(spark, n) for n in ("state", "raw", "out", "mark"))
     frozen_state(spark, sf_dir).write.parquet(state_path)
     state = spark.read.parquet(state_path)
+    trust_path = sinks.scratch_path(spark, "trust")
+    reliability_state(spark, sf_dir, state).write.parquet(trust_path)
+    trust = spark.read.parquet(trust_path)
     orders_cohort(spark, sf_dir).drop("y").write.parquet(raw_path)
     raw = spark.read.parquet(raw_path)
     start_scoring(stream_rows(spark, raw_path, raw.schema), state, out, mark).awaitTermination()
@@ -320,14 +345,15 @@ def rel8(spark, sf_dir):
     batch = frozen_score(raw, state)
     names = F.array(*[F.lit(f"{m}:{n}") for m in MODALITIES for n in ORDERS_FEATURES[m]])
     told = attach_row(batch, state.select(F.col("coef").alias("_w"))).withColumn("c", F.zip_with("z", "_w", lambda a, b: a.cast("double") * b))
+    told = Rl.with_saved_reliability(told, trust)
     edges = {"mge": (0, 10), "mdm": (10, 16), "mcna": (16, 21)}
     rows = told.join(raw.select("sample_id", C.completeness().alias("completeness")), "sample_id").select(
         "sample_id",
         "prob",
         "completeness",
         C.missingness_band(F.col("completeness")).alias("quality"),
-        F.lit("low").alias("ood_risk"),
-        F.lit(0.0).alias("disagreement"),
+        "ood_risk",
+        "disagreement",
         E.top_absolute(F.col("c"), names).alias("top_signals"),
         F.transform(E.modality_totals(F.col("c"), edges), lambda t: t["modality"]).alias("dominant"),
     )

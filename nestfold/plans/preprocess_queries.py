@@ -95,17 +95,30 @@ def pre4(spark, sf_dir):
 
 @query(
     "pre5_zero_variance_report",
-    f"{BASE_SQL} SELECT repeat_id, fold_id, modality, pos::INT AS pos, round(variance, 4) AS variance, variance < 1e-8 AS zero_variance FROM fitted",
+    f"""{BASE_SQL},
+exact AS (SELECT m.repeat_id, m.fold_id, c.modality, c.pos, count(c.x) AS n_present, sum(c.x::DECIMAL(18,9))::VARCHAR AS total,
+  sum(c.x::DECIMAL(18,9) * c.x::DECIMAL(18,9))::VARCHAR AS total_of_squares
+  FROM members m JOIN cells c ON m.sample_id = c.sample_id WHERE m.role = 'train' GROUP BY ALL)
+SELECT repeat_id, fold_id, modality, pos::INT AS pos, n_present, n_missing, total, total_of_squares, variance < 1e-8 AS zero_variance
+FROM fitted JOIN exact USING (repeat_id, fold_id, modality, pos)""",
 )
 def pre5(spark, sf_dir):
-    return P.fit(orders_with_folds(spark, sf_dir)).select(
-        "repeat_id",
-        "fold_id",
-        "modality",
-        "pos",
-        F.round("variance", 4).alias("variance"),
-        (F.col("variance") < P.ZERO_VARIANCE).alias("zero_variance"),
+    """Zero-variance flags beside the exact sums they rest on (a rounded variance can sit on an edge)."""
+    cohort = orders_with_folds(spark, sf_dir)
+    x = F.col("x").cast("decimal(18,9)")
+    own = modality_cells(cohort, "fold_of").select(F.posexplode("fold_of").alias("repeat_id", "_own"), "modality", "pos", x.alias("x"))
+    cell = own.groupBy("repeat_id", "modality", "pos", "_own").agg(
+        F.count("x").alias("n_present"), F.sum("x").alias("total"), F.sum(F.col("x") * F.col("x")).cast("decimal(38,18)").alias("squares")
+    )
+    fold = F.explode(F.sequence(F.lit(0), F.lit(D.OUTER_SPLITS - 1))).alias("fold_id")
+    keys = ["repeat_id", "fold_id", "modality", "pos"]
+    exact = cell.select("*", fold).filter("fold_id <> _own").groupBy(*keys).agg(
+        F.sum("n_present").alias("n_present"),
+        F.sum("total").cast("decimal(38,9)").cast("string").alias("total"),
+        F.sum("squares").cast("decimal(38,18)").cast("string").alias("total_of_squares"),
     )
+    state = P.fit(cohort).select(*keys, "n_missing", (F.col("variance") < P.ZERO_VARIANCE).alias("zero_variance"))
+    return exact.join(state, keys).select(*keys, "n_present", "n_missing", "total", "total_of_squares", "zero_variance")
 
 
 @query(

@@ -169,3 +169,20 @@ def test_differences_report_changed_rows(spark):
     a = spark.createDataFrame([(1, 0.5), (2, 0.25)], "k int, v double")
     b = spark.createDataFrame([(1, 0.5), (2, 0.75)], "k int, v double")
     assert differences(a, a, KEY).count() == 0 and differences(a, b, KEY).count() == 2
+
+
+def test_number_text_is_exact_and_never_overflows(spark):
+    import math
+
+    from nestfold.operators.identity import number_text
+
+    values = [0.0, -0.0, 1.0, 2.0, 0.5, 3.0, 1e-12, 1e-12 + 2e-28, 2e10, 2e10 + 4e-6, 9.3e9, -1.5, 1e300, 5e-324, 2.0**52, 2.0**53 - 1, 8.0, 0.1, 1 / 3, 2.0**-1022]
+    values += [math.nextafter(2.0**k, d) for k in range(-30, 31) for d in (0, math.inf)]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", number_text(F.col("x")).alias("t")).collect()
+    assert len({r.t for r in rows}) == len(set(values))
+    for r in rows:
+        if r.x:
+            m, e = r.t.split("b")
+            assert 2**52 <= abs(int(m)) < 2**53 and math.ldexp(int(m), int(e) - 52) == r.x
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(number_text(F.col("x")).alias("t"))
+    assert [r.t for r in odd.collect()] == ["null", "NaN", "Infinity"]
