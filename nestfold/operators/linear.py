@@ -155,14 +155,22 @@ def log_frame(spark: SparkSession, log: list[tuple]) -> DataFrame:
     return spark.createDataFrame(log, "key string, step int, objective double, grad_norm double")
 
 
+def unconverged(log: list[tuple], tol: float = 1e-6) -> list[str]:
+    """Keys whose last step left a gradient above the tolerance (relative to the objective)."""
+    last = {k: (objective, norm) for k, _, objective, norm in log}
+    return sorted(k for k, (objective, norm) in last.items() if norm > tol * max(1.0, abs(objective)))
+
+
 def convergence(log: DataFrame, tol: float = 1e-6, max_iter: int = 50) -> DataFrame:
-    """Steps taken, final objective and gradient, and whether the iteration limit was hit."""
+    """Steps taken, final objective and gradient, and how each key ended.
+
+    ``converged``: the last gradient is within the tolerance, in whatever step;
+    ``iteration_limit``: it is not after ``max_iter`` steps; ``stalled``: the step length vanished before.
+    """
     last = F.max_by(F.struct("objective", "grad_norm"), "step")
-    return log.groupBy("key").agg((F.max("step") + 1).alias("n_steps"), last.alias("_l")).select(
-        "key",
-        "n_steps",
-        "_l.objective",
-        "_l.grad_norm",
-        (F.col("n_steps") >= max_iter).alias("hit_limit"),
-        F.when(F.col("n_steps") < max_iter, "converged").otherwise("iteration_limit").alias("status"),
+    done = F.col("grad_norm") <= tol * F.greatest(F.lit(1.0), F.abs("objective"))
+    return log.groupBy("key").agg((F.max("step") + 1).alias("n_steps"), last.alias("_l")).select("key", "n_steps", "_l.objective", "_l.grad_norm").select(
+        "*",
+        (~done & (F.col("n_steps") >= max_iter)).alias("hit_limit"),
+        F.when(done, "converged").when(F.col("n_steps") >= max_iter, "iteration_limit").otherwise("stalled").alias("status"),
     )

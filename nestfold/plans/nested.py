@@ -383,6 +383,8 @@ def _fit_set(layout: Layout, by_label: dict, medians: dict, gaps: list[int]) ->
         loadings[part, start : start + k] = vectors * signs
         eigen[start : start + k] = values[order]
     model = SetModel(np.array([medians.get(j, 0.0) for j in range(d)]), mean, scale, loadings, eigen, int(round(both.n)))
+    if by_label[1].n == by_label[0].n:
+        raise ValueError("the classes of a training set are equally large: there is no minority to augment")
     model.minority = 1 if by_label[1].n < by_label[0].n else 0
     model.needed = int(round(abs(by_label[0].n - by_label[1].n)))
     small = by_label[model.minority]
@@ -468,7 +470,7 @@ def candidate_name(s, ratio: float, c: float) -> str:
     return f"{set_name(s)}#{ratio}#{c}"
 
 
-def fit_classifiers(table: DataFrame, layout: Layout, models: dict, wanted: list[tuple], max_iter: int = 25):
+def fit_classifiers(table: DataFrame, layout: Layout, models: dict, wanted: list[tuple], max_iter: int = 50):
     """Newton for all ``(set, ratio, C)`` in ``wanted`` together; returns weights and the fit log."""
     spark = table.sparkSession
     used = {s: models[s] for s in {w[0] for w in wanted}}
@@ -513,7 +515,10 @@ def fit_classifiers(table: DataFrame, layout: Layout, models: dict, wanted: list
         )
         return table.select("y", "x", "fold_of", "inner_of").mapInPandas(real, L.SUM_SCHEMA).unionByName(drawn)
 
-    return L.newton(step, widths, cs, max_iter, tol=1e-6)
+    weights, log = L.newton(step, widths, cs, max_iter, tol=1e-6)
+    if unfinished := L.unconverged(log):
+        raise RuntimeError(f"{len(unfinished)} of {len(widths)} classifiers did not converge in {max_iter} steps, the first is {unfinished[0]}")
+    return weights, log
 
 
 def encoded_rows(table: DataFrame, layout: Layout, models: dict) -> DataFrame:

@@ -165,6 +165,19 @@ def test_logistic_matches_a_direct_solution_for_all_keys(spark):
     assert all(r["status"] == "converged" for r in states)
 
 
+def test_unfinished_fits_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, int(v > 0.3), [float(v), float(w)]) for v, w in rng.normal(size=(80, 2))]
+    df = spark.createDataFrame(rows, "k int, y int, z array<double>")
+    for steps, state in ((1, "iteration_limit"), (2, "iteration_limit"), (50, "converged")):
+        _, log = L.fit_rows(df, KEY, (10.0,), max_iter=steps)
+        found = L.convergence(L.log_frame(spark, log), max_iter=steps).first()
+        assert found["status"] == state and found["hit_limit"] == (state == "iteration_limit")
+        assert bool(L.unconverged(log)) == (state != "converged")
+    last_step = len(log)
+    assert L.convergence(L.log_frame(spark, log), max_iter=last_step).first()["status"] == "converged"
+
+
 def test_differences_report_changed_rows(spark):
     a = spark.createDataFrame([(1, 0.5), (2, 0.25)], "k int, v double")
     b = spark.createDataFrame([(1, 0.5), (2, 0.75)], "k int, v double")
