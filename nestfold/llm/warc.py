@@ -59,7 +59,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> Archive:
     rows = pages.select("page_id", F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), payload.alias("payload"))
     facts = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("size"))
     # narrow rows only; minima are pre-aggregated, so a payload that most rows share is one row per task
-    first = facts.groupBy("address").agg(F.min("page_id").alias("first"), F.count_if(F.col("page_id").isNull()).alias("nameless"))
+    first = facts.groupBy("address").agg(F.min("page_id").alias("first"))
     known = facts.join(first, "address")
     revisit = (F.col("size") >= min_bytes) & (F.col("page_id") != F.col("first"))
     revisit = F.coalesce(revisit, F.lit(False))
@@ -87,14 +87,10 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> Archive:
         F.lit(CRLF * 2),
         block,
     )
-    known.select("address", F.encode(header, "UTF-8").alias("header")).write.parquet(f"{path}/headers")
-    # the bytes of each payload once: those of the smallest page_id; repeated and nameless rows are settled by the last grouping
-    owner = first.where("first is not null").select("address", F.col("first").alias("page_id"))
-    addressed = rows.select("page_id", F.sha2("payload", 256).alias("address"), "payload")
-    owned = addressed.join(owner, ["page_id", "address"], "left_semi")
-    nameless = addressed.where("page_id is null").join(first.where("first is null"), "address", "left_semi")
-    one = owned.unionByName(nameless).groupBy("address").agg(F.first("payload").alias("payload"))
-    one.write.parquet(f"{path}/payloads")
+    known.select("address", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    # the bytes of each payload once; every task first keeps one copy of its own
+    once = rows.select(F.sha2("payload", 256).alias("address"), "payload").groupBy("address").agg(F.first("payload").alias("payload"))
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return Archive(path)
 
 
