@@ -39,16 +39,19 @@ def l1_logistic(c: float = 0.5, n_weight: float = 1.0, max_iter: int = 500) -> L
     )
 
 
-def estimator(family: str, parameter: float, width: int, seed: int = 42):
-    """Spark ML estimator of a family at one point of its grid."""
+def estimator(family: str, parameter: float, width: int, n_rows: int, seed: int = 42, forest_depth: int = 8, net_steps: int = 50):
+    """Spark ML estimator of a family at one point of its grid, for ``n_rows`` training rows.
+
+    The SVC's C weighs the sum of the losses, Spark's penalty their mean: the penalty is 1 / (C n).
+    """
     if family == "rbf_svc_decision":
-        return LinearSVC(regParam=1.0 / (2.0 * max(parameter, 1e-6) * 1000.0), maxIter=100, standardization=False)
+        return LinearSVC(regParam=1.0 / (max(parameter, 1e-6) * max(1, n_rows)), maxIter=100, standardization=False)
     if family == "random_forest_bagged":
-        return RandomForestClassifier(numTrees=200, featureSubsetStrategy="sqrt", minInstancesPerNode=int(parameter), maxDepth=8, seed=seed)
+        return RandomForestClassifier(numTrees=200, featureSubsetStrategy="sqrt", minInstancesPerNode=int(parameter), maxDepth=forest_depth, seed=seed)
     if family == "hist_gradient_boosting":
         return GBTClassifier(maxIter=100, stepSize=0.05, maxDepth=4, minInstancesPerNode=10, minInfoGain=parameter * 1e-4, seed=seed)
     if family == "dense_net":
-        return MultilayerPerceptronClassifier(layers=[width, 128, 2], maxIter=50, seed=seed)
+        return MultilayerPerceptronClassifier(layers=[width, 128, 2], maxIter=net_steps, seed=seed)
     raise ValueError(f"unknown family {family!r}")
 
 
@@ -78,7 +81,7 @@ def fit_score(train: DataFrame, held: DataFrame, family: str, parameter: float,
     if family == "rbf_svc_decision":
         variance = train.select(F.explode("z").alias("x")).agg(F.var_pop(F.col("x").cast("double"))).first()[0]
         train, held = (fourier_features(df.select("sample_id", "y", "z"), width, variance, seed) for df in (train, held))
-    model = estimator(family, parameter, width, seed).fit(as_vectors(train).withColumn("label", F.col("y").cast("double")))
+    model = estimator(family, parameter, width, train.count(), seed).fit(as_vectors(train).withColumn("label", F.col("y").cast("double")))
     out = model.transform(as_vectors(held))
     if family == "rbf_svc_decision":
         score, kind = vector_to_array("rawPrediction")[1], "decision"

@@ -30,6 +30,7 @@ N_PIVOTS = 64
 MAX_BLOCKS = 4096
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 4096
+EXACT_ROWS = 1 << 16
 BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
 
 
@@ -38,9 +39,12 @@ def _matrix(series: pd.Series) -> np.ndarray:
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Fast approximate distances through one matrix product."""
-    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(sq, 0.0))
+    """Distances to a few rows ``b`` (the pivots), from differences: no cancellation at any offset."""
+    out = np.empty((len(a), len(b)))
+    for j, row in enumerate(b):
+        gap = a - row
+        out[:, j] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
 
 
 def _pivots(reference: DataFrame, by: Sequence[str]) -> np.ndarray:
@@ -177,20 +181,31 @@ def knn_join(
 
 
 def _nearest(ids_a, za, ids_b, zb, k: int, exclude_self: bool) -> dict:
-    """Best k of one block per row, ordered by (distance, id); exact distances for the short list."""
+    """Best k of one block per row, ordered by (distance, id).
+
+    A matrix product of the centred vectors gives squared distances with a known
+    error bound.  Every row within that bound of the k-th is kept, however
+    many there are, and decided by its distance from differences.
+    """
     step = max(1, 4_000_000 // max(1, len(zb)))
     out = {"sample_id": [], "neighbour_id": [], "distance": []}
+    centre = zb.mean(0) if len(zb) else 0.0
+    cb = zb - centre
+    sq_b = np.einsum("ij,ij->i", cb, cb)
     for s in range(0, len(za), step):
-        d = _distances(za[s : s + step], zb)
+        ca = za[s : s + step] - centre
+        sq_a = np.einsum("ij,ij->i", ca, ca)
+        d = sq_a[:, None] + sq_b[None, :] - 2.0 * (ca @ cb.T)
+        error = 8.0 * (zb.shape[1] + 4) * np.finfo(float).eps * (sq_a + sq_b.max(initial=0.0))
         if exclude_self:
             d[ids_a[s : s + step, None] == ids_b[None, :]] = np.inf
-        take = min(k + 4, d.shape[1])
-        near = np.argpartition(d, take - 1, axis=1)[:, :take]
-        i = np.repeat(np.arange(d.shape[0]), take)
-        j = near.ravel()
-        keep = np.isfinite(d[i, j])
-        i, j = i[keep], j[keep]
-        exact = np.sqrt(((za[s + i] - zb[j]) ** 2).sum(1))
+        take = min(k, d.shape[1])
+        kth = np.partition(d, take - 1, axis=1)[:, take - 1]
+        i, j = np.nonzero((d <= (kth + 2.0 * error)[:, None]) & np.isfinite(d))
+        exact = np.empty(len(i))
+        for c in range(0, len(i), EXACT_ROWS):
+            gap = za[s + i[c : c + EXACT_ROWS]] - zb[j[c : c + EXACT_ROWS]]
+            exact[c : c + EXACT_ROWS] = np.sqrt((gap**2).sum(1))
         order = np.lexsort((ids_b[j], exact, i))
         i, j, exact = i[order], j[order], exact[order]
         top = np.arange(len(i)) - np.searchsorted(i, i, side="left") < k

@@ -37,6 +37,22 @@ def test_knn_equals_brute_force(spark, cells, k, monkeypatch):
     assert np.allclose(got["distance"].to_numpy().reshape(300, k), want, atol=1e-6)
 
 
+@pytest.mark.parametrize("cells", [N.BROADCAST_CELLS, 0])
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_knn_is_exact_with_ties_and_offsets(spark, cells, offset, monkeypatch):
+    """Twenty equal distances, repeated vectors and values far from zero: same ids on both routes."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 12)
+    monkeypatch.setattr(N, "N_PIVOTS", 4)
+    rng = np.random.default_rng(3)
+    z = np.r_[np.tile([1.0, 0.0], (20, 1)), [[0.0, 0.0]], np.tile([0.0, 0.0], (3, 1)), rng.integers(-40, 40, size=(60, 2)) / 8.0] + offset
+    rows = [(f"r{i:03d}", v.tolist()) for i, v in enumerate(z)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "sample_id string, z array<double>")
+    got = N.knn_join(df, df, 5, broadcast_cells=cells).collect()
+    d = np.sqrt(((z[:, None, :] - z[None, :, :]) ** 2).sum(2))
+    want = {(f"r{i:03d}", n + 1): f"r{j:03d}" for i in range(len(z)) for n, j in enumerate(sorted((j for j in range(len(z)) if j != i), key=lambda j: (d[i, j], j))[:5])}
+    assert {(r["sample_id"], r["rank"]): r["neighbour_id"] for r in got} == want
+
+
 @pytest.mark.parametrize("cells", [N.BROADCAST_CELLS, 0])
 def test_knn_respects_keys(spark, cells, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_ROWS", 16)
