@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,15 +42,23 @@ def bitmap(df: DataFrame, value: str, bits: int) -> np.ndarray:
     return out
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where a lambda uses it many times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_sum(sizes: Column) -> Column:
     """Sum of the elements before each one: within chunks of 64, plus the sum of the chunks before."""
-    zero = F.lit(0).cast("long")
-    total = lambda a: F.aggregate(a, zero, lambda x, y: x + y)
     size = 64
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / size).cast("int")), lambda c: F.slice(sizes, c * size + 1, F.lit(size)))
-    sums = F.transform(chunks, total)
-    inner = F.transform(chunks, lambda chunk, c: F.transform(chunk, lambda _, i: total(F.slice(chunk, F.lit(1), i)) + total(F.slice(sums, F.lit(1), c))))
-    return F.flatten(inner)
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    ahead = lambda a: F.transform(a, lambda _, i: total(F.slice(a, F.lit(1), i)))
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / size).cast("int")), lambda c: F.slice(a, c * size + 1, F.lit(size)))
+
+    def join(chunks: Column) -> Column:
+        before = lambda sums: F.flatten(F.transform(chunks, lambda chunk, c: let(F.get(sums, c), lambda s: F.transform(ahead(chunk), lambda x: x + s))))
+        return let(let(F.transform(chunks, total), ahead), before)
+
+    return let(sizes, lambda a: F.when(F.size(a) > 0, let(cut(a), join)).otherwise(F.array().cast("array<bigint>")))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
