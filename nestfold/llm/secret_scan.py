@@ -21,7 +21,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import running_sum
+from .common import let, running_sum
 
 LEAST = 12
 CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{{{LEAST},}}+={{0,2}}"
@@ -189,17 +189,26 @@ def forest_score(model: RandomForestClassificationModel, inputs: list[Column]) -
 
 def _scored(text: Column, model: RandomForestClassificationModel) -> Column:
     """``pieces`` between the candidates and ``found``: each candidate with start, length and score; null without candidates."""
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    pieces = F.split(text, CANDIDATE, -1)
-    inputs = F.transform(
-        F.sequence(F.lit(1), F.size(found)),
-        lambda i: F.array(*[c.cast("double") for c in features(F.element_at(found, i), F.element_at(pieces, i), F.substring(F.element_at(pieces, i + 1), 1, 8))]),
+
+    def rows(found: Column, pieces: Column) -> Column:
+        inputs = F.transform(
+            F.sequence(F.lit(1), F.size(found)),
+            lambda i: let(
+                F.struct(F.element_at(found, i).alias("c"), F.right(F.element_at(pieces, i), F.lit(CONTEXT)).alias("b"), F.substring(F.element_at(pieces, i + 1), 1, 8).alias("a")),
+                lambda x: F.array(*[c.cast("double") for c in features(x["c"], x["b"], x["a"])]),
+            ),
+        )
+        score = F.transform(inputs, lambda x: forest_score(model, [F.element_at(x, i + 1) for i in range(len(FEATURES))]))
+        steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, c: F.length(p).cast("long") + F.length(c))
+        item = lambda scores, before: F.transform(
+            found, lambda c, i: F.struct((F.get(before, i) + F.length(F.get(pieces, i))).alias("start"), F.length(c).cast("long").alias("length"), c.alias("secret"), F.get(scores, i).alias("score"))
+        )
+        return let(score, lambda s: let(running_sum(steps), lambda b: item(s, b)))
+
+    whole = lambda found: F.when(
+        F.size(found) > 0, let(F.split(text, CANDIDATE, -1), lambda pieces: F.struct(pieces.alias("pieces"), rows(found, pieces).alias("found")))
     )
-    scores = F.transform(inputs, lambda x: forest_score(model, [F.element_at(x, i + 1) for i in range(len(FEATURES))]))
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda p, c: F.length(p).cast("long") + F.length(c))
-    starts = F.zip_with(running_sum(steps), pieces, lambda s, p: s + F.length(p))
-    rows = F.transform(found, lambda c, i: F.struct(F.get(starts, i).alias("start"), F.length(c).cast("long").alias("length"), c.alias("secret"), F.get(scores, i).alias("score")))
-    return F.when(F.size(found) > 0, F.struct(pieces.alias("pieces"), rows.alias("found")))
+    return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), whole)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
@@ -208,17 +217,15 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: flo
     ``start`` counts characters from 0 in the whole text.  Null and empty texts have no
     findings; repeated rows give repeated findings; other columns are ignored.
     """
-    scored = docs.select("doc_id", _scored(F.col("text"), model).alias("s")).where("s is not null")
-    hits = F.filter("s.found", lambda f: f["score"] >= threshold)
-    return scored.select("doc_id", F.explode(hits).alias("f")).select("doc_id", "f.start", "f.length", "f.secret", "f.score")
+    hits = let(_scored(F.col("text"), model), lambda s: F.filter(s["found"], lambda f: f["score"] >= threshold))
+    return docs.select("doc_id", F.explode(hits).alias("f")).select("doc_id", "f.start", "f.length", "f.secret", "f.score")
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5) -> DataFrame:
     """``docs`` with every confirmed secret replaced by ``REPLACEMENT``; ``n_chars``, if there, follows the new text."""
-    scored = _scored(F.col("text"), model)
-    said = F.transform(scored["found"], lambda f: F.when(f["score"] >= threshold, F.lit(REPLACEMENT)).otherwise(f["secret"]))
-    parts = F.zip_with(scored["pieces"], said, lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
-    text = F.coalesce(F.array_join(parts, ""), F.col("text"))
+    said = lambda s: F.transform(s["found"], lambda f: F.when(f["score"] >= threshold, F.lit(REPLACEMENT)).otherwise(f["secret"]))
+    parts = lambda s: F.zip_with(s["pieces"], said(s), lambda p, c: F.concat(p, F.coalesce(c, F.lit(""))))
+    text = F.coalesce(let(_scored(F.col("text"), model), lambda s: F.array_join(parts(s), "")), F.col("text"))
     out = docs.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text").cast("long"), F.col("n_chars"))))
