@@ -27,9 +27,11 @@ NEVER = 1 << 60
 WORD_END = "</w>"
 # The mark of a word end inside the automaton: never a byte letter.
 MARK = "\x00"
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 2_000_000
-GROUP_CHARS = 1 << 22
+# Words and pairs that a worker remembers; words in two generations, so that frequent ones stay.
+CACHE_WORDS = 80_000
+CACHE_PAIRS = 300_000
+GROUP_CHARS = 1 << 21
+GROUP_ROWS = 512
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 # The word pattern of the vocabulary file: fixed value (white space by its Unicode property).
 WORD_PATTERN = CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -59,7 +61,8 @@ class MergeTable:
                 self.born[whole], self.parts[whole] = r, (left, right)
                 shape[whole] = shape[left] + shape[right]
         self._spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self.width = max(vocab.values(), default=0) + 1
         self._own: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for i, t in shape.items():
@@ -113,7 +116,7 @@ class MergeTable:
         return found
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * self.width + right
         found = self._pairs.get(key)
         if found is None:
             if len(self._pairs) >= CACHE_PAIRS:
@@ -126,7 +129,7 @@ class MergeTable:
         n = len(letters)
         last: list = [None] * (n + 1)
         step = [0] * (n + 1)
-        pairs, own, compatible = self._pairs, self._own, self.compatible
+        pairs, own, compatible, width = self._pairs, self._own, self.compatible, self.width
         for end, (token, size) in self.automaton.iter(letters):
             end += 1
             if last[end] is not None:
@@ -136,7 +139,7 @@ class MergeTable:
                 prev = last[before]
                 if prev is None:
                     continue
-                ok = pairs.get((prev, token))
+                ok = pairs.get(prev * width + token)
                 if not (compatible(prev, token) if ok is None else ok):
                     continue
             if own.get(token) or self.own(token):
@@ -169,6 +172,7 @@ class WordBpe:
         self.words = regex.compile(WORD_PATTERN)
         self.letters = byte_chars()
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     @staticmethod
     def normal(text: str) -> str:
@@ -182,12 +186,12 @@ class WordBpe:
         return np.array(ids, np.int32).tobytes(), " ".join(self.names[i] for i in ids)
 
     def entries(self, words: list[str]) -> list[tuple[bytes, str]]:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         for w in words:
             if w not in known:
-                known[w] = self.entry(w)
+                known[w] = older.get(w) or self.entry(w)
         return [known[w] for w in words]
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -240,11 +244,13 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
-        for batch in batches:
-            ids_of, texts = batch.column("doc_id"), ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for a, b in chars.slabs(texts, GROUP_CHARS):
-                ids, begins, decoded = bpe.encode(texts[a:b])
-                lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([ids_of.slice(a, b - a), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, GROUP_ROWS):
+                batch = whole.slice(at, GROUP_ROWS)
+                texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+                for a, b in chars.slabs(texts, GROUP_CHARS):
+                    ids, begins, decoded = bpe.encode(texts[a:b])
+                    lists = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(ids, pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
