@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, factor_size: int = 4, limit: int = M
     Without rows of both classes or without a telling term the machine returns the share of toxic rows.
     """
     sample = F.broadcast(labelled_sample(labels, limit))  # at most ``limit`` rows of two numbers
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic")
+    # one text per labelled id, however often the id occurs: the fit stays bounded
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     rows = stored(rows.mapInArrow(_term_lists, "toxic int, terms array<int>"), "terms")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
