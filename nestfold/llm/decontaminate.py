@@ -3,7 +3,8 @@
 Texts become template tokens: numbers, units after a number, and capitalised words inside a
 sentence are typed placeholders (neighbours of one type count as one), other words
 are lower-cased.  A second reading keeps the names as words, so a copy with other
-capitals or without punctuation is met as well.
+capitals or without punctuation is met as well.  A third one takes capitalised words
+that open a sentence as names too, so an item that starts with a name is met under another one.
 
 Windows of template tokens are hashed.  A bitmap of fixed size holds the benchmark's windows; document
 windows outside it are never sent, the others are joined on the hash.  Matches on
@@ -33,6 +34,8 @@ BITMAP_BITS = 26
 # Benchmark windows up to this number are sent to the tasks for the join; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 100_000
 NUMBER, UNIT, NAME = 1, 2, 3
+# Readings: names inside a sentence are slots, no name is, every capitalised word is.
+INNER, PLAIN, OPENING = 0, 1, 2
 # Number words and units: fixed values.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = (
@@ -65,7 +68,7 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def templates(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For both readings: variant, token hashes, slot values (0: word) and where each text's tokens begin."""
+    """For every reading: variant, token hashes, slot values (0: word) and where each text's tokens begin."""
     cps, offsets = chars.codepoints(texts)
     kinds = chars.char_classes()[cps]
     kinds = np.where((kinds == chars.LETTER) | (kinds == chars.NUMBER), kinds, chars.OTHER).astype(np.uint8)
@@ -82,9 +85,9 @@ def templates(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarra
     opens = first.copy()
     if n:
         opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
-    name = (cps[starts] != low[starts]) & ~opens & ~number & ~unit & (ends - starts > 1)
-    for variant in (0, 1):
-        kind = np.select([number, unit, name & (variant == 0)], [NUMBER, UNIT, NAME], 0)
+    capital = (cps[starts] != low[starts]) & ~number & ~unit & (ends - starts > 1)
+    for variant, name in ((INNER, capital & ~opens), (PLAIN, np.zeros(n, bool)), (OPENING, capital)):
+        kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], 0)
         begin = np.ones(n, bool)
         begin[1:] = (kind[1:] == 0) | (kind[1:] != kind[:-1]) | first[1:]
         at = np.flatnonzero(begin)

@@ -50,6 +50,22 @@ def test_slots_must_agree(spark, docs_of):
     assert set(found(spark, docs_of, [(1, same), (2, mixed), (3, merged)], [(1, item)])) == {(1, 1)}
 
 
+def test_names_that_open_a_sentence_are_slots(spark, docs_of):
+    items = [
+        (1, "Maria bought 12 red pens at the shop."),
+        (2, "Tom has 3 apples. Anna has 5 pears. Bob has 4 plums. How many do they have?"),
+    ]
+    docs = [
+        (1, "Peter bought 15 red pens at the shop."),
+        (2, "An exercise: Lea has 7 apples. Jim has 2 pears. Max has 9 plums. How many do they have?"),
+        (3, "he said that Peter bought 15 red pens at the shop."),
+        (4, "Lea has 7 apples. Jim has 2 pears and likes the shop."),
+    ]
+    got = found(spark, docs_of, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 1)}
+    assert got[1, 1] == (8, 8, 2, 2)
+
+
 def test_equals_brute_force_on_the_tables(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
