@@ -5,6 +5,8 @@ sentence are typed placeholders (neighbours of one type count as one), other wor
 are lower-cased.  A second reading keeps the names as words, so a copy with other
 capitals or without punctuation is met as well.  A third one takes capitalised words
 that open a sentence as names too, so an item that starts with a name is met under another one.
+A literal reading keeps everything as words; its windows are exact passages, the whole item where
+it is short.  Characters of scripts written without spaces are tokens of their own.
 
 Windows of template tokens are hashed.  A bitmap of fixed size holds the benchmark's windows; document
 windows outside it are never sent, the others are joined on the hash.  Matches on
@@ -19,14 +21,16 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import chars
 from .common import bitmap, stored
 
 WINDOW = 8
-# Items of fewer template tokens cannot be told from chance and are left out.
+# Items of fewer template tokens are only met literally: their templates cannot be told from chance.
 LEAST_ITEM = 5
+# Passage that counts whatever its share of the item is: words, and characters where these are most of the tokens.
+RUN, RUN_CHARS = 13, 26
 # Share of an item that consistent alignments must cover, and of slots that must agree.
 COVER = 0.5
 AGREE = 0.8
@@ -34,8 +38,14 @@ BITMAP_BITS = 26
 # Benchmark windows up to this number are sent to the tasks for the join; beyond it both sides are shuffled.
 BROADCAST_WINDOWS = 100_000
 NUMBER, UNIT, NAME = 1, 2, 3
-# Readings: names inside a sentence are slots, no name is, every capitalised word is.
-INNER, PLAIN, OPENING = 0, 1, 2
+# Readings: names inside a sentence are slots, no name is, every capitalised word is; nothing is a slot.
+INNER, PLAIN, OPENING, LITERAL = 0, 1, 2, 3
+# Scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+CHARACTER = 4
 # Number words and units: fixed values.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = (
@@ -57,6 +67,17 @@ def _lower() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Class of every code point: letter, number, character of an unspaced script or other."""
+    kinds = chars.char_classes()
+    kinds = np.where((kinds == chars.LETTER) | (kinds == chars.NUMBER), kinds, chars.OTHER).astype(np.uint8)
+    for a, b in UNSPACED:
+        part = kinds[a : b + 1]
+        part[part == chars.LETTER] = CHARACTER
+    return kinds
+
+
 @lru_cache(maxsize=2)
 def _known(words: tuple[str, ...]) -> np.ndarray:
     cps, offsets = chars.codepoints(words)
@@ -70,9 +91,8 @@ def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
 def templates(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """For every reading: variant, token hashes, slot values (0: word) and where each text's tokens begin."""
     cps, offsets = chars.codepoints(texts)
-    kinds = chars.char_classes()[cps]
-    kinds = np.where((kinds == chars.LETTER) | (kinds == chars.NUMBER), kinds, chars.OTHER).astype(np.uint8)
-    starts, ends = chars.spans(kinds, offsets, chars.OTHER)
+    kinds = _kinds()[cps]
+    starts, ends = chars.spans(kinds, offsets, chars.OTHER, CHARACTER)
     low = _lower()[cps]
     words = chars.hash_spans(low, starts, ends)
     n = len(starts)
@@ -95,6 +115,14 @@ def templates(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         joined = np.add.reduceat(words, at) if n else words
         token = np.where(slot, chars.mix(kind[at].astype(np.uint64)), words[at])
         yield variant, token, np.where(slot, chars.mix(joined) | np.uint64(1), np.uint64(0)), np.searchsorted(owner[at], np.arange(len(texts) + 1))
+    yield LITERAL, words, np.zeros(n, np.uint64), np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def run_length(text: str) -> int:
+    """Tokens of a passage of ``text`` that counts by itself."""
+    kinds = _kinds()[chars.codepoints([text])[0]]
+    n = len(chars.spans(kinds, np.array([0, len(kinds)]), chars.OTHER, CHARACTER)[0])
+    return RUN_CHARS if 2 * int((kinds == CHARACTER).sum()) > n else RUN
 
 
 def windows(token: np.ndarray, value: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,23 +160,24 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
         for i, t in enumerate(texts):
-            parts = []
+            parts, run = [], run_length(t)
             for variant, token, value, begins in templates([t]):
-                if len(token) >= LEAST_ITEM:
-                    size = min(WINDOW, len(token))
+                if len(token) >= (1 if variant == LITERAL else LEAST_ITEM):
+                    size = min(run if variant == LITERAL else WINDOW, len(token))
                     parts.append((variant, size, *windows(token, value, begins, size), value, begins))
             if parts:
-                yield _rows(batch.column("item_id").slice(i, 1), "item_id", parts)
+                rows = _rows(batch.column("item_id").slice(i, 1), "item_id", parts)
+                yield rows.append_column("run", pa.array(np.full(len(rows), run, np.int32)))
 
 
-def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marked) -> Iterator[pa.RecordBatch]:
+def _document_windows(batches: Iterator[pa.RecordBatch], sizes: dict[int, list[int]], marked) -> Iterator[pa.RecordBatch]:
     bits = marked.value
     for batch in batches:
         texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
         for a, b in chars.slabs(texts):
             parts = []
             for variant, token, value, begins in templates(texts[a:b]):
-                for size in sizes:
+                for size in sizes.get(variant, ()):
                     h, at, text = windows(token, value, begins, size)
                     bit = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
                     hit = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
@@ -161,16 +190,20 @@ def _document_windows(batches: Iterator[pa.RecordBatch], sizes: list[int], marke
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, agree: float = AGREE) -> DataFrame:
     """One row per document and benchmark item that it holds.
 
-    Columns ``doc_id``, ``item_id``, ``covered`` (template tokens of the item found in
-    consistent alignments), ``item_tokens``, ``slots`` and ``changed`` (slots, and those with another value than
-    the item's).  Null and empty texts match nothing; rows with a null id are
-    not reported; items below ``LEAST_ITEM`` tokens are left out; rows with the same
+    Consistent alignments have to cover the share ``cover`` of the item or hold a run of ``RUN``
+    tokens without a gap (``RUN_CHARS`` characters).  Columns ``doc_id``, ``item_id``, ``covered`` (tokens of the item
+    found in consistent alignments), ``item_tokens``, ``slots`` and ``changed`` (slots, and those with another value than
+    the item's); they count template tokens, or words where only the literal reading
+    finds the item.  Null and empty texts match nothing; rows with a null id are
+    not reported; items below ``LEAST_ITEM`` template tokens are met literally only; rows with the same
     ``doc_id`` count as one document.  Other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
-    items = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(_item_windows, "item_id long, " + ROWS)
+    items = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(_item_windows, "item_id long, " + ROWS + ", run int")
     items = stored(items.distinct(), "items")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW values
+    sizes: dict[int, list[int]] = {}
+    for r in items.select("variant", "size").distinct().collect():  # at most RUN_CHARS values a reading
+        sizes.setdefault(r["variant"], []).append(r["size"])
     marked = spark.sparkContext.broadcast(bitmap(items, f"shiftrightunsigned(hash, {64 - BITMAP_BITS})", BITMAP_BITS))
     found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(partial(_document_windows, sizes=sizes, marked=marked), "doc_id long, " + ROWS)
     found = found.drop("n_tokens").withColumnsRenamed({"pos": "doc_pos", "slots": "doc_slots"})
@@ -179,9 +212,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ag
     hits = found.join(items, ["variant", "size", "hash"]).withColumn("diagonal", F.col("doc_pos") - F.col("pos"))
     # one cell per item token of an alignment
     key = ["doc_id", "item_id", "variant", "diagonal"]
-    cells = hits.select(*key, "n_tokens", "pos", F.explode(F.arrays_zip("slots", "doc_slots", F.sequence(F.lit(0), F.col("size") - 1).alias("j"))).alias("c"))
-    cells = cells.select(*key, "n_tokens", (F.col("pos") + F.col("c.j")).alias("at"), F.col("c.slots").alias("mine"), F.col("c.doc_slots").alias("theirs"))
-    cells = stored(cells.groupBy(*key, "at").agg(*[F.min(c).alias(c) for c in ("n_tokens", "mine", "theirs")]), "cells")
+    cells = hits.select(*key, "n_tokens", "run", "pos", F.explode(F.arrays_zip("slots", "doc_slots", F.sequence(F.lit(0), F.col("size") - 1).alias("j"))).alias("c"))
+    cells = cells.select(*key, "n_tokens", "run", (F.col("pos") + F.col("c.j")).alias("at"), F.col("c.slots").alias("mine"), F.col("c.doc_slots").alias("theirs"))
+    cells = stored(cells.groupBy(*key, "at").agg(*[F.min(c).alias(c) for c in ("n_tokens", "run", "mine", "theirs")]), "cells")
     pairs = cells.groupBy(*key, "mine", "theirs").agg(F.count(F.lit(1)).alias("c"))
     sides = []
     for side in ("mine", "theirs"):
@@ -189,15 +222,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ag
         slot = F.col(side) != 0
         sides.append(by_value.groupBy(*key).agg(F.sum(F.when(slot, F.col("most")).otherwise(0)).alias(f"most_{side}"), F.sum(F.when(slot, F.col("all")).otherwise(0)).alias("slots_" + side)))
     fits = sides[0].join(sides[1], key).where(f"most_mine >= {agree} * slots_mine and most_theirs >= {agree} * slots_theirs").select(*key)
+    # the cells of one alignment, at most an item's tokens, are numbered: along a run, place and number rise together
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("at"))
+    consistent = cells.join(fits, key, "left_semi").withColumn("gap", F.col("at") - nth)
+    long = F.count(F.lit(1)).over(Window.partitionBy(*key, "gap")) >= F.col("run")
     held = (
-        cells.join(fits, key, "left_semi")
+        consistent.withColumn("long", long)
         .groupBy("doc_id", "item_id", "variant", "at")
-        .agg(F.max("n_tokens").alias("n"), F.max(F.expr("int(mine <> 0)")).alias("slot"), F.min(F.expr("int(mine <> theirs)")).alias("other"))
+        .agg(F.max("long").alias("long"), F.max("n_tokens").alias("n"), F.max(F.expr("int(mine <> 0)")).alias("slot"), F.min(F.expr("int(mine <> theirs)")).alias("other"))
         .groupBy("doc_id", "item_id", "variant")
-        .agg(F.count(F.lit(1)).alias("covered"), F.max("n").cast("long").alias("item_tokens"), F.sum("slot").alias("slots"), F.sum("other").alias("changed"))
-        .where(F.col("covered") >= cover * F.col("item_tokens"))
+        .agg(F.count(F.lit(1)).alias("covered"), F.max("n").cast("long").alias("item_tokens"), F.sum("slot").alias("slots"), F.sum("other").alias("changed"), F.max("long").alias("long"))
+        .where((F.col("covered") >= cover * F.col("item_tokens")) | F.col("long"))
     )
-    best = held.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("covered", "item_tokens", "slots", "changed"), F.struct("covered", -F.col("variant"))).alias("b"))
+    best = held.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("covered", "item_tokens", "slots", "changed"), F.struct(F.col("variant") < LITERAL, "covered", -F.col("variant"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
 

@@ -66,6 +66,30 @@ def test_names_that_open_a_sentence_are_slots(spark, docs_of):
     assert got[1, 1] == (8, 8, 2, 2)
 
 
+def test_short_items_unspaced_scripts_and_long_passages(spark, docs_of):
+    plain = [f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uv'[i // 100]}" for i in range(200)]
+    items = [
+        (1, "12 kg plus 3 kg equals 15 kg"),
+        (2, "What is 12 + 35?"),
+        (3, "小明有三个苹果，他吃了一个。"),
+        (4, " ".join(plain)),
+        (5, " ".join(x + " 7" for x in plain[::-1])),
+    ]
+    docs = [
+        (1, "so 12 kg plus 3 kg equals 15 kg here"),
+        (2, "Asked: what is 12 + 35? Nobody knew."),
+        (3, "题目：小明有三个苹果，他吃了一个。答案"),
+        (4, "before it " + " ".join(plain[40:135]) + " after it"),
+        (5, "before it " + " ".join(plain[40:53]) + " after it"),
+        (6, "before it " + " ".join(plain[40:52]) + " after it"),
+        (7, "before it " + " ".join(x + " 9" for x in plain[100:50:-1]) + " after it"),
+        (8, "What is 13 + 35? 小明有苹果"),
+    ]
+    got = found(spark, docs_of, docs, items)
+    assert set(got) == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (7, 5)}
+    assert got[1, 1] == (8, 8, 0, 0) and got[4, 4][:2] == (95, 200) and got[7, 5][:2] == (100, 400)
+
+
 def test_equals_brute_force_on_the_tables(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     plain = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
