@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a text are its lower-cased words and the first four and five letters of longer
-words, hashed to ``TERM_BITS`` bits; a text is the set of its terms.  A bounded
-sample of labelled rows gives document counts per term and class; terms that are
-clearly unevenly spread become the inputs.  ``pyspark.ml``'s factorization
+words, hashed to ``TERM_BITS`` bits; a text is the set of its terms.  A sample of labelled
+rows, bounded per class, gives document counts per term and class; terms that are
+clearly unevenly spread become the inputs, and common evenly spread ones that may count in pairs.  ``pyspark.ml``'s factorization
 machine learns a weight per input and, through the factor vectors, one per pair of
 inputs, so that words harmless alone can count together.
 
@@ -34,6 +34,12 @@ MAX_INPUTS = 1024
 LEAST_DOCS = 5
 FIT_TASKS = 4
 LEAST_Z = 6.0
+# With fewer toxic rows than this the two screens are relaxed, down to these values.
+MANY_TOXIC = 100
+FEW_DOCS, FEW_Z = 2, 3.0
+# Common terms fed besides the uneven ones: at most so many, and one for so many toxic rows.
+MAX_EVEN = 256
+ROWS_PER_EVEN = 4
 GROUP_CHARS = 1 << 22
 
 
@@ -118,14 +124,20 @@ def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("toxic").slice(a, b - a), lists], names=["toxic", "terms"])
 
 
-def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """At most ``limit`` labelled ids outside the held-out fifth, by hash order.
+def labelled_sample(labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[DataFrame, float]:
+    """At most ``limit`` labelled ids outside the held-out fifth, by hash order, and the log of how much likelier toxic ones are taken.
 
-    Rows with a null id or label are left out; a repeated id counts once, as toxic if any of its rows is.
+    Each class has half of the rows; what one leaves free goes to the other.  Rows with a
+    null id or label are left out; a repeated id counts once, as toxic if any of its rows is.
     """
     usable = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     train = usable.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    bad, good = train.agg(F.expr("count_if(toxic = 1)"), F.expr("count_if(toxic <> 1)")).first()
+    take_bad = min(bad, max(limit // 2, limit - good))
+    take_good = min(good, limit - take_bad)
+    part = lambda rows, n: rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    ratio = float(np.log((take_bad / bad) / (take_good / good))) if take_bad and take_good else 0.0
+    return part(train.where("toxic = 1"), take_bad).union(part(train.where("toxic <> 1"), take_good)), ratio
 
 
 def held_out(column: str = "doc_id"):
@@ -136,29 +148,27 @@ def held_out(column: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, factor_size: int = 4, limit: int = MAX_LABELLED) -> Machine:
     """Learn from the texts of a bounded sample of labelled rows.
 
-    Without rows of both classes or without a telling term the machine returns the share of toxic rows.
+    Without rows of both classes or without any term the machine returns the share of toxic rows.
     """
-    sample = F.broadcast(labelled_sample(labels, limit))  # at most ``limit`` rows of two numbers
+    sample, ratio = labelled_sample(labels, limit)
+    sample = F.broadcast(sample)  # at most ``limit`` rows of two numbers
     # one text per labelled id, however often the id occurs: the fit stays bounded
     rows = docs.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     rows = stored(rows.mapInArrow(_term_lists, "toxic int, terms array<int>"), "terms")
     totals = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
-    prior = Machine(bias=float(np.log((bad + 0.1) / (good + 0.9))))
+    prior = Machine(bias=float(np.log((bad + 0.1) / (good + 0.9))) - ratio)
     if not bad or not good:
         return prior
     counts = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad"))
     share = F.col("n") / float(bad + good)
     z = (F.col("bad") / float(bad) - (F.col("n") - F.col("bad")) / float(good)) / F.sqrt(share * (1 - share) * (1 / bad + 1 / good))
-    telling = (
-        counts.where(F.col("n") >= LEAST_DOCS)
-        .where(share < 1)
-        .withColumn("z", F.abs(z))
-        .where(F.col("z") >= LEAST_Z)
-        .orderBy(F.desc("z"), "term")
-        .limit(MAX_INPUTS)
-    )
-    terms = sorted(r["term"] for r in telling.select("term").collect())  # at most MAX_INPUTS numbers
+    least_docs = min(LEAST_DOCS, max(FEW_DOCS, LEAST_DOCS * bad // MANY_TOXIC))
+    least_z = min(LEAST_Z, max(FEW_Z, LEAST_Z * float(np.sqrt(bad / MANY_TOXIC))))
+    spread = stored(counts.where(F.col("n") >= least_docs).where(share < 1).withColumn("z", F.abs(z)), "spread")
+    telling = spread.where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(MAX_INPUTS)
+    even = spread.where(F.col("z") < least_z).orderBy(F.desc(share * (1 - share)), "term").limit(min(MAX_EVEN, -(-bad // ROWS_PER_EVEN)))
+    terms = sorted(r["term"] for r in telling.union(even).select("term").collect())  # at most MAX_INPUTS + MAX_EVEN numbers
     if not terms:
         return prior
     sparse = CountVectorizerModel.from_vocabulary([str(t) for t in terms], inputCol="words", outputCol="features", minTF=1.0).setBinary(True)
@@ -167,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, factor_size: int = 4, limit: int = M
     learner = FMClassifier(factorSize=factor_size, fitLinear=True, regParam=1e-4, initStd=0.01, stepSize=0.1, maxIter=80, tol=1e-5, seed=7)
     model = learner.fit(train)
     train.unpersist()
-    return Machine(np.array(terms, np.int64), float(model.intercept), model.linear.toArray(), model.factors.toArray())
+    return Machine(np.array(terms, np.int64), float(model.intercept) - ratio, model.linear.toArray(), model.factors.toArray())
 
 
 def _score(batches: Iterator[pa.RecordBatch], machine) -> Iterator[pa.RecordBatch]:
@@ -187,7 +197,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     A column ``toxic_score`` of the input is replaced.
     """
     docs = docs.drop("toxic_score")
-    sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most MAX_INPUTS weights and factor vectors
+    sent = docs.sparkSession.sparkContext.broadcast(machine)  # at most MAX_INPUTS + MAX_EVEN weights and factor vectors
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
     return docs.mapInArrow(partial(_score, machine=sent), schema)
 

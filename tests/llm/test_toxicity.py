@@ -43,6 +43,38 @@ def test_held_out_accuracy_and_contract(spark, docs_of):
     assert got[9001].score == got[9002].score < 0.5
 
 
+def test_pair_of_evenly_spread_words(spark, docs_of):
+    r = np.random.default_rng(2)
+    docs, labels = [], []
+    for i in range(800):
+        words = ["w" + "abcdefghij"[r.integers(10)] * 3 + "klmnopqrst"[r.integers(10)] for _ in range(8)]
+        words += ["marsh"] * (i % 4 in (1, 3)) + ["people"] * (i % 4 in (2, 3))
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 in (1, 2))))
+    got = {x.doc_id: x for x in tx.toxicity(docs_of(docs), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert sum(got[d].predicted == t for d, t in labels if got[d].held_out) >= 0.95 * sum(x.held_out for x in got.values())
+
+
+def test_rare_class_is_sampled_whole(spark, docs_of):
+    docs, labels = corpus(2400)
+    toxic = {d for d, t in labels if t}
+    keep = set(sorted(toxic)[:48])
+    docs = [x for x in docs if x[0] not in toxic - keep]
+    lab = spark.createDataFrame([x for x in labels if x[0] not in toxic - keep], "doc_id long, toxic int")
+    sample, ratio = tx.labelled_sample(lab, 200)
+    train = {d for d in keep if zlib.crc32(str(d).encode()) % 5}
+    assert {x.doc_id for x in sample.where("toxic = 1").collect()} == train and sample.count() == 200 and ratio > 1
+    got = {x.doc_id: x.toxic_score for x in tx.score(docs_of(docs), tx.fit(docs_of(docs), lab, limit=200)).collect()}
+    assert {d for d, v in got.items() if v >= 0.5} == keep
+
+
+def test_few_toxic_rows_are_learned(spark, docs_of):
+    docs, labels = corpus(44)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = {x.doc_id: x.score for x in tx.toxicity(docs_of(docs), lab).collect()}
+    assert all((scores[d] >= 0.5) == bool(t) for d, t in labels)
+
+
 def test_held_out_labels_do_not_matter(spark, docs_of):
     docs, labels = corpus(200)
     out = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
