@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest (DataFrame functions only).
 
-A candidate is a maximal run of at least ``LEAST`` key characters with a digit.  The
+A candidate is a maximal run of at least ``LEAST`` key characters with a digit, or any non-blank or
+quoted value after a secret-like name with ``=`` or ``:``.  The
 text between candidates is kept next to it, so a finding's place and its neighbours are known
 without a second look at the text.  Inputs of the forest are the candidate's
 length, character shares and transitions, how much of it dictionary pieces cover, path
@@ -24,15 +25,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import let, running_sum
 
 LEAST = 12
-CANDIDATE = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{{{LEAST},}}+={{0,2}}"
 CONTEXT = 40
 REPLACEMENT = "[SECRET]"
 MAX_LABELLED = 20_000
 MAX_TREES = 64
 # Words beside a candidate that speak for or against a secret, key starts, dictionary pieces: fixed values.
-FOR_WORDS = "token|secret|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|bearer|credential|client.?secret"
+FOR_WORDS = "token|secret|passw|passwd|pwd|(?<![a-z])pw(?![a-z])|passphrase|api.?key|access.?key|private.?key|auth|bearer|credential|client.?secret"
 AGAINST_WORDS = "commit|revision|sha1|sha256|sha512|md5|checksum|digest|etag|uuid|guid|isbn|order|invoice|card|phone|tel|version|build|file|image|page"
 KEY_STARTS = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29|eyJ"
+# Key characters; '=' is padding only at the end of a value.  Values stand behind a name; the short look-behinds spare most places the long one.
+RUN = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{{{LEAST},}}+(?:={{1,2}}(?=[\"'`]?(?:[\s,;.)\]}}&<]|$)))?"
+NAMED = rf"(?i:{FOR_WORDS})[\w.\-]{{0,20}}[\"'`\])]{{0,2}}[ \t]{{0,3}}(?::=|=>|={{1,2}}|:)[ \t]{{0,3}}"
+SCHEME = r"(?i:auth[\w\-]{0,20})[\"'`]?[ \t]{0,3}[=:][ \t]{0,3}[\"'`]?(?i:bearer|basic|token)[ \t]"
+BARE = r"(?!(?i:bearer|basic|token)[ \t])[^\s\"'`]*[^\s\"'`,;.:)\]}>]"
+QUOTED = "|".join(rf"(?<={q})(?<={NAMED}{q})(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+){{0,200}}(?={q})" for q in "\"'`")
+VALUE = rf"{QUOTED}|(?<=[=:> \t\"'`])(?<=[=:>][ \t]{{0,3}}[\"'`]?)(?<={NAMED}[\"'`]?){BARE}|(?<=[rcnRCN][ \t])(?<={SCHEME}){BARE}"
+CANDIDATE = f"{VALUE}|{RUN}"
+# Candidates before one that its context may reach over: a value and its name have five characters at least.
+REACH = CONTEXT // 5
 PIECES = (
     "ation|ment|ness|able|ible|ing|tion|sion|the|and|for|with|from|this|that|file|data|user|test|name|list|page|home|main|image|index|report|final|draft|"
     "version|build|order|number|photo|music|video|local|share|public|static|assets|content|article|news|blog|post|date|time|year|month|week"
@@ -40,6 +50,7 @@ PIECES = (
 
 FEATURES = (
     "length", "digits", "upper", "lower", "hex_only", "digits_only", "transitions", "distinct", "covered", "path", "key_start", "for_word", "against_word", "assigned", "quoted",
+    "symbols", "word", "filler", "names",
 )
 
 
@@ -69,6 +80,10 @@ def features(candidate: Column, before: Column, after: Column) -> list[Column]:
         flag(tail.rlike(rf"\b({AGAINST_WORDS})\b\W*(\w+\W+)?$")),
         flag(near.rlike(r"[=:]\s*[\"'`]?$")),
         flag(near.rlike(r"[\"'`]$") & after.rlike(r"^[\"'`]")),
+        share(r"[^\p{L}0-9+/_\-=\s]"),
+        flag(candidate.rlike(r"^\p{L}+$")),
+        flag(candidate.rlike(r"(?i)^(none|null|nil|true|false|str|string|text|required|optional|undefined|yes|no)$|^[$<{%]|^[*x.]+$|[\[(]")),
+        flag(after.rlike(r"^[ \t]{0,2}[=:]")),
     ]
 
 
@@ -126,9 +141,26 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 11) -> Dat
             return "/".join((r.choice(slug), r.choice(slug), r.choice(slug) + pick(digits, 2)))
         return r.choice(slug) + r.choice(slug) + pick(digits, r.randint(1, 4))
 
+    def chosen() -> str:
+        kind = r.randrange(5)
+        plain = lambda a, b: pick(lower, r.randint(a, b))
+        if kind == 0:
+            return r.choice("-_.").join(plain(3, 8) for _ in range(r.randint(2, 4)))
+        if kind == 1:
+            return pick(lower + upper, r.randint(8, 48))
+        if kind == 2:
+            return pick(upper, 1) + pick("@$!", 1) + pick(lower + digits, r.randint(3, 8)) + pick("!#%&*?", 1) + pick(digits, r.randint(1, 4)) + pick("!#" + lower + digits, r.randint(0, 3))
+        if kind == 3:
+            return plain(3, 8) + pick(digits, r.randint(1, 4)) + plain(0, 4)
+        return plain(3, 8) + pick("!@#$%^&*", r.randint(1, 2)) + plain(2, 8)
+
+    def filler() -> str:
+        fixed = ("None", "null", "true", "false", "string", "required", "<password>", "${PASSWORD}", "os.environ[", "getpass()", "****", "{{ token }}", "xxxx", "optional")
+        return r.choice(fixed)
+
     rows = []
     for _ in range(n):
-        kind = r.randrange(8)
+        kind = r.randrange(11)
         lead = words(r.randint(0, 5)) + " "
         if kind < 3:
             mark = r.choice(marks)
@@ -140,6 +172,18 @@ def labelled_findings(spark: SparkSession, n: int = 6000, seed: int = 11) -> Dat
             rows.append((lead + r.choice(others) + r.choice((" ", ": ", "=", " # ")), r.choice((pick(hexa, 40), pick(hexa, 32), pick(hexa, 64), harmless())), " " + word(), 0))
         elif kind == 5:
             rows.append((lead + r.choice(("", "http://", "see ", "/", "a/")), harmless(), r.choice((".html", " ", "/", ".jpg", ",")) + word(), 0))
+        elif kind == 8:
+            mark = r.choice(marks)
+            quote = mark[-1] if mark[-1] in "\"'" else ""
+            value = " ".join((word(), word(), word())) if quote and r.randrange(5) == 0 else word() if quote and r.randrange(6) == 0 else chosen()
+            rows.append((lead + r.choice((*names[:-2], "pw", "DB_PASSWORD_2024")) + mark, value, (quote or r.choice(" ,\n;")) + " " + word(), 1))
+        elif kind == 9:
+            mark = r.choice((": ", ":", " = ", "="))
+            value = word() if mark[0] == ":" and r.randrange(2) else filler()
+            rows.append((lead + r.choice((*names[:-2], "pw")) + mark, value, r.choice((" ", ",", ".", "\n", ")")) + word(), 0))
+        elif kind == 10:
+            name = "_".join((word().encode("ascii", "ignore").decode() or "a", r.choice(("password", "token", "secret", "key", "value")), pick(digits, r.randint(1, 4))))
+            rows.append((lead, r.choice((name, name.upper())), r.choice(("=", " = ", ":", ": ", '="')), 0))
         else:
             rows.append((lead, harmless(), r.choice(" .,\n") + word(), 0))
     return spark.createDataFrame(rows, "before string, candidate string, after string, label int")
@@ -190,11 +234,16 @@ def forest_score(model: RandomForestClassificationModel, inputs: list[Column]) -
 def _scored(text: Column, model: RandomForestClassificationModel) -> Column:
     """``pieces`` between the candidates and ``found``: each candidate with start, length and score; null without candidates."""
 
+    def before(found: Column, pieces: Column, i: Column) -> Column:
+        first = F.greatest(F.lit(1), i - REACH)
+        told = F.zip_with(F.slice(pieces, first, i - first), F.slice(found, first, i - first), lambda p, c: F.concat(F.right(p, F.lit(CONTEXT)), F.right(c, F.lit(CONTEXT))))
+        return F.right(F.concat(F.array_join(told, ""), F.right(F.element_at(pieces, i), F.lit(CONTEXT))), F.lit(CONTEXT))
+
     def rows(found: Column, pieces: Column) -> Column:
         inputs = F.transform(
             F.sequence(F.lit(1), F.size(found)),
             lambda i: let(
-                F.struct(F.element_at(found, i).alias("c"), F.right(F.element_at(pieces, i), F.lit(CONTEXT)).alias("b"), F.substring(F.element_at(pieces, i + 1), 1, 8).alias("a")),
+                F.struct(F.element_at(found, i).alias("c"), before(found, pieces, i).alias("b"), F.substring(F.element_at(pieces, i + 1), 1, 8).alias("a")),
                 lambda x: F.array(*[c.cast("double") for c in features(x["c"], x["b"], x["a"])]),
             ),
         )

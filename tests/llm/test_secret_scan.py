@@ -57,6 +57,24 @@ def test_spans_redaction_and_edge_cases(spark, docs_of, model):
     assert ss.scan(docs_of([]), model).collect() == []
 
 
+def test_values_after_secret_like_names(spark, docs_of, model):
+    token = "".join(random.Random(4).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(34))
+    docs = [
+        (1, 'password = "correct-horse-battery"', "correct-horse-battery"),
+        (2, f"token = '{token}'", token),
+        (3, 'x password = "P@ssw0rd!2024#x9" y', "P@ssw0rd!2024#x9"),
+        (4, "pw=hunter2abc", "hunter2abc"),
+        (5, "DB_PASSWORD_2024=Xk39fjA0q2LmZ8", "Xk39fjA0q2LmZ8"),
+        (6, '{"api_key": "' + token + '"}', token),
+        (7, "password: None, token: required", None),
+        (8, "the upwards=hunter way", None),
+    ]
+    got = sorted((x.doc_id, x.secret) for x in ss.scan(docs_of([d[:2] for d in docs]), model).collect())
+    assert got == [(d, secret) for d, _, secret in docs if secret]
+    kept = {x.doc_id: x.text for x in ss.redact(docs_of([d[:2] for d in docs]), model).collect()}
+    assert kept == {d: t.replace(secret, ss.REPLACEMENT) if secret else t for d, t, secret in docs}
+
+
 def test_many_candidates_in_one_text(spark, docs_of, model):
     keys = ["AKIA" + f"{i:016d}".replace("0", "Q") + "7" for i in range(300)]
     got = ss.scan(docs_of([(1, " ".join(keys))]), model).orderBy("start").collect()
