@@ -32,6 +32,8 @@ CELL_BLOCK = 8192
 SLACK = 1e-6
 # Half width of the band around the threshold that single precision cannot decide.
 BAND = 1e-4
+# Pivots nearer to one already taken are dropped: they cut nothing apart.
+LEAST_GAP = 1e-6
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -64,10 +66,25 @@ def _place(batches: Iterator[pa.RecordBatch], pivots, width: int) -> Iterator[pa
             )
 
 
+def _apart(centre: np.ndarray) -> np.ndarray:
+    """Distances of the pivots, from differences: products cancel where two are close."""
+    return np.array([np.linalg.norm(centre - c, axis=1) for c in centre])
+
+
+def _spaced(centre: np.ndarray, least: float) -> np.ndarray:
+    """Pivots in their order without those within ``least`` of one taken before."""
+    taken: list[int] = []
+    for i, row in enumerate(_apart(centre)):
+        if not len(taken) or row[taken].min() > least:
+            taken.append(i)
+    return centre[taken]
+
+
 def _visits(batches: Iterator[pa.RecordBatch], pivots, radius, blocks, width: int, reach: float) -> Iterator[pa.RecordBatch]:
     """One row for every block of natives that a vector has to meet."""
     centre, ball, cut = pivots.value, radius.value, blocks.value
-    apart = np.sqrt(np.maximum(2 - 2 * (centre @ centre.T), 0))
+    apart = _apart(centre)
+    rounding = 16 * (width + 4) * np.finfo(np.float64).eps  # of a difference of two squared distances
     for batch in batches:
         x = _unit(_matrix(batch.column("vector"), width))
         home_all = np.asarray(batch.column("home"))
@@ -76,8 +93,7 @@ def _visits(batches: Iterator[pa.RecordBatch], pivots, radius, blocks, width: in
             d2 = np.maximum(2 - 2 * (part @ centre.T), 0)
             own = d2[np.arange(len(part)), home]
             gap = apart[home]
-            border = (d2 - own[:, None]) / (2 * np.maximum(gap, 1e-9))
-            near = (border <= reach + SLACK) & (np.sqrt(d2) <= ball[None, :] + reach + SLACK) & (cut > 0)[None, :]
+            near = (d2 - own[:, None] <= 2 * gap * (reach + SLACK) + rounding) & (np.sqrt(d2) <= ball[None, :] + reach + SLACK) & (cut > 0)[None, :]
             near[np.arange(len(part)), home] = True
             row, cell = np.nonzero(near)
             times = cut[cell]
@@ -199,7 +215,7 @@ def _join_width(rows: DataFrame, width: int, n: int, cosine: float, reach: float
     sc, kind = rows.sparkSession.sparkContext, dict(rows.dtypes)["vector"]
     wanted = int(min(MAX_PIVOTS, max(1, n // cell_rows)))
     picked = rows.orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vector").collect()  # at most MAX_PIVOTS vectors
-    centre = np.unique(_unit(np.array([r["vector"] for r in picked], np.float64)), axis=0)
+    centre = _spaced(np.unique(_unit(np.array([r["vector"] for r in picked], np.float64)), axis=0), LEAST_GAP)
     pivots = sc.broadcast(centre)
     placed = stored(rows.mapInArrow(partial(_place, pivots=pivots, width=width), f"rep long, vector {kind}, weight long, home int, dist double"), "placed")
     ball, cut = np.zeros(len(centre)), np.zeros(len(centre), np.int64)

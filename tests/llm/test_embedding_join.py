@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from nestfold.llm import embedding_join as ej
 
@@ -40,6 +41,19 @@ def test_equals_brute_force_over_cells_and_blocks(spark, monkeypatch, c):
     assert joined(spark, rows, c, cell_rows=40) == brute(rows, c)
 
 
+@pytest.mark.parametrize("least", [ej.LEAST_GAP, 0.0])
+def test_pivots_that_differ_in_the_last_bits(spark, monkeypatch, least):
+    monkeypatch.setattr(ej, "LEAST_GAP", least)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(600, 8)) * 0.15
+    x[:, 0] += 1
+    first = [w.id for w in spark.range(600).orderBy(F.xxhash64("id"), "id").limit(2).collect()]  # the two pivots
+    x[first[0]] = [1.0] + [0.0] * 7
+    x[first[1]] = [1.0, 5e-9] + [0.0] * 6
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert joined(spark, rows, 0.9, cell_rows=300) == brute(rows, 0.9)
+
+
 def test_threshold_is_decided_in_double_precision(spark):
     a = np.array([1.0, 0.0])
     rows = [(i, a.tolist()) for i in range(1)]
