@@ -1,7 +1,8 @@
 """Chat formatting with typed content parts (DataFrame functions only).
 
-A turn's content is a list of parts.  The visitor turns them, in order, into one
-text: text parts are escaped, image, audio and document parts become placeholders;
+A turn's content is a list of parts; a plain text is a list of one.  The visitor turns them, in order, into one
+text: neighbouring text parts are joined and then escaped, so that a control string cannot hide
+across two parts; image, audio and document parts become placeholders, and
 each attachment is recorded with its place, reference and the tokens it expands to.
 
 A turn is written as ``<|start|>role<|sep|>text<|end|>``.  Control strings inside
@@ -43,7 +44,7 @@ def unescape(text: Column) -> Column:
 
 
 def visit(part: Column) -> Column:
-    """What one part contributes: its text, and for attachments the tokens they expand to.
+    """What one part contributes: its plain text or a placeholder, and for attachments the tokens they expand to.
 
     An unknown kind with a text is a text; a null part contributes nothing.  Missing sizes count as 0.
     """
@@ -55,12 +56,21 @@ def visit(part: Column) -> Column:
         .when(kind == "audio", F.ceil(F.greatest(F.coalesce(part["seconds"], F.lit(0.0)), F.lit(0.0)) * AUDIO_RATE))
         .when(kind == "document", whole(part["pages"]).cast("long") * PAGE_TOKENS)
     )
-    text = F.when(tokens.isNull(), escape(F.coalesce(part["text"], F.lit(""))))
+    text = F.when(tokens.isNull(), F.coalesce(part["text"], F.lit("")))
     for name, mark in PLACEHOLDERS.items():
         text = F.when(kind == name, F.lit(mark)).otherwise(text)
     return F.struct(F.when(part.isNotNull(), text).otherwise("").alias("text"), F.when(tokens.isNotNull(), kind).alias("kind"), part["ref"].alias("ref"), tokens.cast("long").alias("tokens"))
 
 
+def flattened(seen: Column) -> Column:
+    """Text of a turn from its visited parts: runs of texts are escaped as one, placeholders stay as they are."""
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("open"))
+    step = lambda now, p: F.when(p["kind"].isNull(), F.struct(now["done"].alias("done"), F.concat(now["open"], p["text"]).alias("open"))).otherwise(
+        F.struct(F.concat(now["done"], escape(now["open"]), p["text"]).alias("done"), F.lit("").alias("open"))
+    )
+    return F.aggregate(seen, start, step, lambda now: F.concat(now["done"], escape(now["open"])))
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """One row per conversation: ``conv_id``, ``formatted``, ``loss`` and ``attachments``.
 
@@ -72,12 +82,12 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Other columns are ignored; an empty table gives an empty result.
     """
     if "parts" in turns.columns:
-        seen = F.transform(F.coalesce("parts", F.array().cast(f"array<{PART}>")), visit)
+        parts = F.coalesce("parts", F.array().cast(f"array<{PART}>"))
     else:
-        plain = F.struct(escape(F.coalesce("text", F.lit(""))).alias("text"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens"))
-        seen = F.array(plain)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), seen.alias("seen"))
-    rows = rows.withColumn("content", F.array_join(F.transform("seen", lambda p: p["text"]), ""))
+        nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (x.split(": ") for x in PART[7:-1].split(", ")) if name not in ("kind", "text")]
+        parts = F.array(F.struct(F.lit("text").alias("kind"), F.col("text").alias("text"), *nothing))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.transform(parts, visit).alias("seen"))
+    rows = rows.withColumn("content", flattened(F.col("seen")))
     rows = rows.select(
         "conv_id",
         F.struct(
@@ -124,6 +134,30 @@ def read_chats(chats: DataFrame) -> DataFrame:
     return chats.select("conv_id", turns.alias("turns"), learned.alias("learned"), "formatted")
 
 
+def read_parts(chats: DataFrame) -> DataFrame:
+    """Typed parts of every turn as they stand in the formatted rows: ``conv_id`` and ``turns`` (role, and kind, text, ref and tokens of each part).
+
+    Neighbouring texts come back as one part, empty texts not at all; attachments get their references by their order.
+    """
+    mark = r"<\|(image|audio|document)\|>"
+    pieces = F.filter(F.split("formatted", F.lit(r"<\|start\|>"), -1), lambda p: p != "")
+
+    def part(kind: Column, text: Column, ref: Column, tokens: Column) -> Column:
+        return F.struct(kind.alias("kind"), text.alias("text"), ref.alias("ref"), tokens.alias("tokens"))
+
+    def parts(content: Column, turn: Column) -> Column:
+        none = F.lit(None)
+        own = F.filter("attachments", lambda a: a["position"] == turn)
+        texts = F.transform(F.split(content, F.lit(mark), -1), lambda t: part(F.lit("text"), unescape(t), none.cast("string"), none.cast("long")))
+        kinds = F.zip_with(F.regexp_extract_all(content, F.lit(mark), F.lit(1)), own, lambda k, a: part(k, none.cast("string"), a["ref"], a["tokens"]))
+        return F.filter(F.flatten(F.zip_with(texts, kinds, lambda t, a: F.array(t, a))), lambda x: x.isNotNull() & (F.coalesce(x["text"], F.lit("-")) != ""))
+
+    turn = lambda p, i: F.struct(
+        unescape(F.substring_index(p, SEP, 1)).alias("role"), parts(F.substring_index(F.substring_index(p, SEP, -1), END, 1), i).alias("parts")
+    )
+    return chats.select("conv_id", F.transform(pieces, turn).alias("turns"))
+
+
 def formatted_chats(turns: DataFrame) -> DataFrame:
     """Write the formatted conversations and read them back."""
     return read_chats(stored(format_chats(turns), "chats"))

@@ -6,7 +6,8 @@ are lower-cased.  A second reading keeps the names as words, so a copy with othe
 capitals or without punctuation is met as well.  A third one takes capitalised words
 that open a sentence as names too, so an item that starts with a name is met under another one.
 A literal reading keeps everything as words; its windows are exact passages, the whole item where
-it is short.  Characters of scripts written without spaces are tokens of their own.
+it is short.  Short items, whose windows would hold by chance, are also met as whole frames: their template with operators
+as tokens has to fill whole sentences of the document.  Characters of scripts written without spaces are tokens of their own.
 
 Windows of template tokens are hashed.  A bitmap of fixed size holds the benchmark's windows; document
 windows outside it are never sent, the others are joined on the hash.  Matches on
@@ -27,8 +28,10 @@ from . import chars
 from .common import bitmap, stored
 
 WINDOW = 8
-# Items of fewer template tokens are only met literally: their templates cannot be told from chance.
-LEAST_ITEM = 5
+# Templates of fewer tokens are met as frames of whole sentences; literal passages need so many words, or a sentence of their own.
+LEAST_ITEM, LEAST_WORDS = 5, 3
+# Words and operators that a frame with slots needs: 'What is 12 + 35?' is no more than a common form.
+FRAME_WORDS = 4
 # Passage that counts whatever its share of the item is: words, and characters where these are most of the tokens.
 RUN, RUN_CHARS = 13, 26
 # Share of an item that consistent alignments must cover, and of slots that must agree.
@@ -40,12 +43,15 @@ BROADCAST_WINDOWS = 100_000
 NUMBER, UNIT, NAME = 1, 2, 3
 # Readings: names inside a sentence are slots, no name is, every capitalised word is; nothing is a slot.
 INNER, PLAIN, OPENING, LITERAL = 0, 1, 2, 3
+# Whole sentences with operators.
+FRAME = 4
+STOPS, OPERATORS = ".!?:;\n", "+-*/=<>%^±×÷−√≤≥≠"
 # Scripts written without spaces between words: Thai, Lao, Myanmar, Khmer, kana, Han.
 UNSPACED = (
     (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
     (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
 )
-CHARACTER = 4
+CHARACTER, OPERATOR = 4, 5
 # Number words and units: fixed values.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = (
@@ -78,6 +84,10 @@ def _kinds() -> np.ndarray:
     return kinds
 
 
+def _codes(letters: str) -> np.ndarray:
+    return np.array([ord(c) for c in letters], np.uint32)
+
+
 @lru_cache(maxsize=2)
 def _known(words: tuple[str, ...]) -> np.ndarray:
     cps, offsets = chars.codepoints(words)
@@ -101,7 +111,7 @@ def templates(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarra
     first = np.append(True, owner[1:] != owner[:-1])[:n]
     unit = np.zeros(n, bool)
     unit[1:] = number[:-1] & ~number[1:] & ~first[1:] & _among(words[1:], _known(tuple(UNITS)))
-    stops = np.append(0, np.cumsum(np.isin(cps, np.array([ord(c) for c in ".!?:;\n"], np.uint32))))
+    stops = np.append(0, np.cumsum(np.isin(cps, _codes(STOPS))))
     opens = first.copy()
     if n:
         opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
@@ -118,6 +128,34 @@ def templates(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarra
     yield LITERAL, words, np.zeros(n, np.uint64), np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def frames(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens with operators: hashes, slot values, where each text's tokens begin, and whether a token opens or closes a sentence.
+
+    Neighbouring slots stay apart, and only names inside a sentence are slots.
+    """
+    cps, offsets = chars.codepoints(texts)
+    kinds = np.where(np.isin(cps, _codes(OPERATORS)), OPERATOR, _kinds()[cps]).astype(np.uint8)
+    starts, ends = chars.spans(kinds, offsets, chars.OTHER, CHARACTER)
+    n, low = len(starts), _lower()[cps]
+    words = chars.hash_spans(low, starts, ends)
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    number = (kinds[starts] == chars.NUMBER) | _among(words, _known(tuple(NUMBER_WORDS)))
+    stops = np.append(0, np.cumsum(np.isin(cps, _codes(STOPS))))
+    opens = np.append(True, owner[1:] != owner[:-1])[:n]
+    if n:
+        opens[1:] |= stops[starts[1:]] > stops[ends[:-1]]
+    # a stop between digits ('3.5', '10:30') parts no sentences
+    if n > 1:
+        opens[1:] &= ~(number[1:] & number[:-1] & (starts[1:] - ends[:-1] == 1) & (owner[1:] == owner[:-1]))
+    closes = np.append(opens[1:], True)[:n]
+    unit = np.zeros(n, bool)
+    unit[1:] = number[:-1] & ~number[1:] & ~opens[1:] & _among(words[1:], _known(tuple(UNITS)))
+    name = (cps[starts] != low[starts]) & ~number & ~unit & ~opens & (ends - starts > 1)
+    kind = np.select([number, unit, name], [NUMBER, UNIT, NAME], 0)
+    token = np.where(kind > 0, chars.mix(kind.astype(np.uint64)), words)
+    return token, np.where(kind > 0, chars.mix(words) | np.uint64(1), np.uint64(0)), np.searchsorted(owner, np.arange(len(texts) + 1)), opens, closes
+
+
 def run_length(text: str) -> int:
     """Tokens of a passage of ``text`` that counts by itself."""
     kinds = _kinds()[chars.codepoints([text])[0]]
@@ -125,8 +163,8 @@ def run_length(text: str) -> int:
     return RUN_CHARS if 2 * int((kinds == CHARACTER).sum()) > n else RUN
 
 
-def windows(token: np.ndarray, value: np.ndarray, begins: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and text of the windows of ``size`` tokens of which at least half are words."""
+def windows(token: np.ndarray, value: np.ndarray, begins: np.ndarray, size: int, share: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and text of the windows of ``size`` tokens of which at least one in ``share`` is a word."""
     if len(token) < size:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
@@ -134,7 +172,7 @@ def windows(token: np.ndarray, value: np.ndarray, begins: np.ndarray, size: int)
     at = np.arange(len(h))
     text = np.searchsorted(begins, at, side="right") - 1
     word = np.append(0, np.cumsum(value == 0))
-    ok = (at + size <= begins[text + 1]) & (2 * (word[size:] - word[:-size]) >= size)
+    ok = (at + size <= begins[text + 1]) & (share * (word[size:] - word[:-size]) >= size)
     return h[ok], at[ok], text[ok]
 
 
@@ -160,11 +198,18 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
         for i, t in enumerate(texts):
-            parts, run = [], run_length(t)
+            parts, run, short = [], run_length(t), False
             for variant, token, value, begins in templates([t]):
-                if len(token) >= (1 if variant == LITERAL else LEAST_ITEM):
+                if len(token) >= (LEAST_WORDS if variant == LITERAL else LEAST_ITEM):
                     size = min(run if variant == LITERAL else WINDOW, len(token))
                     parts.append((variant, size, *windows(token, value, begins, size), value, begins))
+                else:
+                    short = True
+            if short:
+                token, value, begins, _, _ = frames([t])
+                if (value == 0).sum() >= (FRAME_WORDS if value.any() else 1):
+                    parts.append((FRAME, len(token), *windows(token, value, begins, len(token), len(token)), value, begins))
+            parts = [p for p in parts if len(p[2])]
             if parts:
                 rows = _rows(batch.column("item_id").slice(i, 1), "item_id", parts)
                 yield rows.append_column("run", pa.array(np.full(len(rows), run, np.int32)))
@@ -183,6 +228,14 @@ def _document_windows(batches: Iterator[pa.RecordBatch], sizes: dict[int, list[i
                     hit = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
                     if len(hit):
                         parts.append((variant, size, h[hit], at[hit], text[hit], value, begins))
+            if FRAME in sizes:
+                token, value, begins, opens, closes = frames(texts[a:b])
+                for size in sizes[FRAME]:
+                    h, at, text = windows(token, value, begins, size, size)
+                    bit = (h >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+                    hit = np.flatnonzero(opens[at] & closes[at + size - 1] & ((bits[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool))
+                    if len(hit):
+                        parts.append((FRAME, size, h[hit], at[hit], text[hit], value, begins))
             if parts:
                 yield _rows(batch.column("doc_id").slice(a, b - a), "doc_id", parts)
 
@@ -195,14 +248,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ag
     found in consistent alignments), ``item_tokens``, ``slots`` and ``changed`` (slots, and those with another value than
     the item's); they count template tokens, or words where only the literal reading
     finds the item.  Null and empty texts match nothing; rows with a null id are
-    not reported; items below ``LEAST_ITEM`` template tokens are met literally only; rows with the same
+    not reported; items below ``LEAST_ITEM`` template tokens are met as frames of whole
+    sentences, items below ``LEAST_WORDS`` words only so; a frame with slots needs ``FRAME_WORDS`` words or operators, so a bare
+    sum is met literally and an item of up to two numbers not at all; rows with the same
     ``doc_id`` count as one document.  Other columns are ignored; empty tables give an empty result.
     """
     spark = docs.sparkSession
     items = benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(_item_windows, "item_id long, " + ROWS + ", run int")
     items = stored(items.distinct(), "items")
     sizes: dict[int, list[int]] = {}
-    for r in items.select("variant", "size").distinct().collect():  # at most RUN_CHARS values a reading
+    for r in items.select("variant", "size").distinct().collect():  # at most RUN_CHARS values a reading, and the lengths of short items
         sizes.setdefault(r["variant"], []).append(r["size"])
     marked = spark.sparkContext.broadcast(bitmap(items, f"shiftrightunsigned(hash, {64 - BITMAP_BITS})", BITMAP_BITS))
     found = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(partial(_document_windows, sizes=sizes, marked=marked), "doc_id long, " + ROWS)
@@ -234,7 +289,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ag
         .agg(F.count(F.lit(1)).alias("covered"), F.max("n").cast("long").alias("item_tokens"), F.sum("slot").alias("slots"), F.sum("other").alias("changed"), F.max("long").alias("long"))
         .where((F.col("covered") >= cover * F.col("item_tokens")) | F.col("long"))
     )
-    best = held.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("covered", "item_tokens", "slots", "changed"), F.struct(F.col("variant") < LITERAL, "covered", -F.col("variant"))).alias("b"))
+    best = held.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("covered", "item_tokens", "slots", "changed"), F.struct(F.col("variant") != LITERAL, "covered", -F.col("variant"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
 

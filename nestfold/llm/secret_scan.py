@@ -33,16 +33,25 @@ MAX_TREES = 64
 FOR_WORDS = "token|secret|passw|passwd|pwd|(?<![a-z])pw(?![a-z])|passphrase|api.?key|access.?key|private.?key|auth|bearer|credential|client.?secret"
 AGAINST_WORDS = "commit|revision|sha1|sha256|sha512|md5|checksum|digest|etag|uuid|guid|isbn|order|invoice|card|phone|tel|version|build|file|image|page"
 KEY_STARTS = "AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|AIza|ya29|eyJ"
-# Key characters; '=' is padding only at the end of a value.  Values stand behind a name; the short look-behinds spare most places the long one.
-RUN = rf"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{{{LEAST},}}+(?:={{1,2}}(?=[\"'`]?(?:[\s,;.)\]}}&<]|$)))?"
-NAMED = rf"(?i:{FOR_WORDS})[\w.\-]{{0,20}}[\"'`\])]{{0,2}}[ \t]{{0,3}}(?::=|=>|={{1,2}}|:)[ \t]{{0,3}}"
-SCHEME = r"(?i:auth[\w\-]{0,20})[\"'`]?[ \t]{0,3}[=:][ \t]{0,3}[\"'`]?(?i:bearer|basic|token)[ \t]"
-BARE = r"(?!(?i:bearer|basic|token)[ \t])[^\s\"'`]*[^\s\"'`,;.:)\]}>]"
-QUOTED = "|".join(rf"(?<={q})(?<={NAMED}{q})(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+){{0,200}}(?={q})" for q in "\"'`")
-VALUE = rf"{QUOTED}|(?<=[=:> \t\"'`])(?<=[=:>][ \t]{{0,3}}[\"'`]?)(?<={NAMED}[\"'`]?){BARE}|(?<=[rcnRCN][ \t])(?<={SCHEME}){BARE}"
-CANDIDATE = f"{VALUE}|{RUN}"
-# Candidates before one that its context may reach over: a value and its name have five characters at least.
-REACH = CONTEXT // 5
+# Key characters; '=' is padding only at the end of a value.
+KEY = r"[A-Za-z0-9+/_\-]"
+# A name is a word (or two, as in 'api key') with a secret-like part, followed by a mark.  The first look-ahead spares words without a mark the second.
+PAIR = r"(?:[^\w\r\n](?i:key|secret)[\w.\-]*+)?+"
+MARK = r"[\"'`\])]*+[ \t]*+(?::=|=>|={1,2}|:)[ \t]*+"
+NAME = rf"(?<![\w.\-])(?=[\w.\-]++{PAIR}[\"'`\])]*+[ \t]*+[=:])(?=[\w.\-]*?(?i:{FOR_WORDS}))[\w.\-]++{PAIR}"
+RUN = (
+    rf"(?<!{KEY})(?=[A-Za-z+/_\-]*+[0-9])(?!{KEY}*?(?i:{FOR_WORDS})[\w.\-]*+{MARK}[^\s]){KEY}{{{LEAST},}}+"
+    r"(?:={1,2}(?=[\"'`]?(?:[\s,;.)\]}&<]|$)))?"
+)
+# Values: in closed quotes with any escapes, or up to a blank or quote and no name themselves.
+INSIDE = {q: rf"(?!{q})[^{q}\\\r\n]*+(?:\\.[^{q}\\\r\n]*+)*+" for q in "\"'`"}
+BARE = rf"(?!{NAME}{MARK}[^\s])[^\s\"'`]*[^\s\"'`,;.:)\]}}>]"
+QUOTE = "|".join(rf"{q}(?={inside}{q})" for q, inside in INSIDE.items())
+VALUE = "|".join(rf"(?<={q}){inside}(?={q})" for q, inside in INSIDE.items()) + f"|{BARE}"
+# Group 1 is what stands ahead of a value: name, mark, quote or scheme; it is empty for a run.
+CANDIDATE = rf"({NAME}{MARK}(?:{QUOTE}|[\"'`]?+(?:(?i:bearer|basic|token)[ \t]++)?+))(?:{VALUE})|{RUN}"
+# Candidates before one that its context may reach over: a value and its name have four characters at least.
+REACH = CONTEXT // 4
 PIECES = (
     "ation|ment|ness|able|ible|ing|tion|sion|the|and|for|with|from|this|that|file|data|user|test|name|list|page|home|main|image|index|report|final|draft|"
     "version|build|order|number|photo|music|video|local|share|public|static|assets|content|article|news|blog|post|date|time|year|month|week"
@@ -254,9 +263,13 @@ def _scored(text: Column, model: RandomForestClassificationModel) -> Column:
         )
         return let(score, lambda s: let(running_sum(steps), lambda b: item(s, b)))
 
-    whole = lambda found: F.when(
-        F.size(found) > 0, let(F.split(text, CANDIDATE, -1), lambda pieces: F.struct(pieces.alias("pieces"), rows(found, pieces).alias("found")))
-    )
+    def whole(met: Column) -> Column:
+        told = lambda found, pieces: F.struct(pieces.alias("pieces"), rows(found, pieces).alias("found"))
+        value = lambda lead: F.zip_with(met, lead, lambda m, ahead: F.substr(m, F.length(ahead) + 1))
+        between = lambda lead: F.zip_with(F.split(text, CANDIDATE, -1), lead, lambda p, ahead: F.concat(p, F.coalesce(ahead, F.lit(""))))
+        split = lambda lead: let(value(lead), lambda found: let(between(lead), lambda pieces: told(found, pieces)))
+        return F.when(F.size(met) > 0, let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)), split))
+
     return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), whole)
 
 

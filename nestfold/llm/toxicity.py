@@ -214,5 +214,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``, with their columns."""
-    return score(docs, fit(docs, labels)).where(F.col("toxic_score") < threshold).select(*docs.columns)
+    """Rows of ``docs`` that score below ``threshold``, with their columns; a row with a null text cannot be judged and stays."""
+    return score(docs, fit(docs, labels)).where(F.col("text").isNull() | (F.col("toxic_score") < threshold)).select(*docs.columns)

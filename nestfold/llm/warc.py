@@ -95,39 +95,51 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> Archive:
 
 
 def records(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Whole records as bytes: header, payload (none in a revisit) and the closing line breaks."""
-    rows = archive.headers(spark).join(archive.payloads(spark), "address")
-    text = F.decode("header", "UTF-8")
-    body = F.when(F.regexp_extract(text, "^WARC/1.1\r\nWARC-Type: ([a-z]+)", 1) == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return rows.select(F.concat("header", body, F.lit((CRLF * 2).encode())).alias("record"))
+    """Whole records as bytes: ``address``, ``record`` (header, payload, closing line breaks), ``header_bytes`` and ``record_type``.
+
+    A response joins its payload by address; a revisit has none and is not joined.
+    """
+    kind = F.regexp_extract(F.decode("header", "UTF-8"), "^WARC/1.1\r\nWARC-Type: ([a-z]+)\r\n", 1)
+    heads = archive.headers(spark).select("address", "header", F.octet_length("header").alias("header_bytes"), kind.alias("record_type"))
+    end = F.lit((CRLF * 2).encode())
+    columns = ("address", "record", "header_bytes", "record_type")
+    full = heads.where("record_type <> 'revisit'").join(archive.payloads(spark), "address").withColumn("record", F.concat("header", "payload", end))
+    short = heads.where("record_type = 'revisit'").withColumn("record", F.concat("header", end))
+    return full.select(*columns).union(short.select(*columns))
 
 
 def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and ``url`` of every record.
 
-    Fields come from the record headers; size and digest from the stored bytes, checked
-    against address and header.
+    All fields come from the reconstructed records: a response's size and digest from its own bytes,
+    a revisit's from its header.  Every stored payload is checked against its address, and what a record says against the payload.
     """
     stored = archive.payloads(spark).select(
         F.when(F.sha2("payload", 256) == F.col("address"), F.col("address"))
         .otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("address"))))
         .alias("address"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        base32(F.sha1("payload")).alias("payload_digest"),
+        F.octet_length("payload").cast("long").alias("size"),
+        base32(F.sha1("payload")).alias("digest"),
     )
-    head = F.decode("header", "UTF-8")
+    head = F.decode(F.substring("record", F.lit(1), F.col("header_bytes")), "UTF-8")
+    body = F.substring("record", F.col("header_bytes") + 1, F.octet_length("record") - F.col("header_bytes") - len(CRLF * 2))
     field = lambda name: F.regexp_extract(head, f"\r\n{name}: ([^\r\n]*)\r\n", 1)
     number = lambda c: F.nullif(F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1), F.lit("")).cast("long")
-    fields = archive.headers(spark).select(
+    said_bytes = F.regexp_extract(head, "\r\nContent-Length: ([0-9]+)\r\n\r\n$", 1).cast("long")
+    response = F.col("record_type") == "response"
+    fields = records(spark, archive).select(
         "address",
         number(field("WARC-Record-ID")).alias("page_id"),
-        F.regexp_extract(head, "^WARC/1.1\r\nWARC-Type: ([a-z]+)\r\n", 1).alias("record_type"),
+        "record_type",
         number(field("WARC-Refers-To")).alias("refers_to"),
         field("WARC-Target-URI").alias("url"),
         F.substring(field("WARC-Payload-Digest"), 6, 32).alias("said"),
+        F.when(response, F.octet_length(body).cast("long")).otherwise(said_bytes).alias("payload_bytes"),
+        F.when(response, base32(F.sha1(body))).alias("own"),
     )
     joined = fields.join(stored, "address")
-    digest = F.when(F.col("said") == F.col("payload_digest"), F.col("said")).otherwise(F.raise_error(F.concat(F.lit("wrong digest in the record of "), F.col("address"))))
+    right = (F.col("said") == F.col("digest")) & (F.coalesce("own", "said") == F.col("said")) & (F.col("payload_bytes") == F.col("size"))
+    digest = F.when(right, F.col("said")).otherwise(F.raise_error(F.concat(F.lit("wrong digest in the record of "), F.col("address"))))
     return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to", "url")
 
 

@@ -106,3 +106,25 @@ def test_filter_keeps_columns_and_empty_tables(spark, docs_of):
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2, 3]
     assert dc.contaminated(docs_of([]), bench).collect() == []
     assert dc.contaminated(df, bench.where("false")).collect() == []
+
+
+def test_short_items_are_frames_of_whole_sentences(spark):
+    items = [(1, "Compute 12 * 7 - 3 and explain"), (2, "What is 12 + 35?"), (3, "the"), (4, "12 kg plus 3 kg equals 15 kg"), (5, "Now solve it for x + 3 = 3"), (6, "7")]
+    docs = [
+        (10, "Some text. Compute 45 * 9 - 8 and explain. More text."),
+        (11, "Compute 45 + 9 - 8 and explain."),
+        (12, "First, compute 45 * 9 - 8 and explain why."),
+        (13, "hello\nwhat is 4 + 8?\nbye"),
+        (14, "what is 4 - 8?"),
+        (15, "see the river"),
+        (16, "A line.\nThe\nanother line"),
+        (17, "20 kg plus 4 kg equals 24 kg"),
+        (18, "Now solve it for x + 5 = 5"),
+        (19, "Now solve it for x + 5 = 6"),
+        (20, "7"),
+        (21, None),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in dc.contaminated(d, b).collect())
+    assert got == [(10, 1), (16, 3), (18, 5)]

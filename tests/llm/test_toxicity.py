@@ -99,3 +99,10 @@ def test_rejecting_keeps_columns(spark, docs_of):
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, t in labels if not t}
     assert kept.where(F.col("component_id") != 5).count() == 0
+
+
+def test_null_texts_stay_under_a_toxic_majority(spark):
+    docs = spark.createDataFrame([(i, "bad insult here" if i % 4 else "fine words") for i in range(200)] + [(999, None), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 > 0)) for i in range(200)], "doc_id long, quality int, toxic int")
+    kept = [r.doc_id for r in tx.reject_toxic(docs, labels).collect()]
+    assert 999 in kept and None in kept and all(i is None or i == 999 or i % 4 == 0 for i in kept)
