@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine does not reject."""
+    """Documents that the factorization machine does not reject; rows with a null text stay."""
     return toxicity.reject_toxic(docs, table(spark, sf_dir, "labels"))
 
 
