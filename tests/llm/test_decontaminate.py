@@ -109,7 +109,7 @@ def test_filter_keeps_columns_and_empty_tables(spark, docs_of):
 
 
 def test_short_items_are_frames_of_whole_sentences(spark):
-    items = [(1, "Compute 12 * 7 - 3 and explain"), (2, "What is 12 + 35?"), (3, "the"), (4, "12 kg plus 3 kg equals 15 kg"), (5, "Now solve it for x + 3 = 3"), (6, "7")]
+    items = [(1, "Compute 12 * 7 - 3 and explain"), (2, "What is 12 + 35?"), (3, "the"), (4, "12 kg plus 3 kg equals 15 kg"), (5, "Solve it: x + 3 = 3"), (6, "7")]
     docs = [
         (10, "Some text. Compute 45 * 9 - 8 and explain. More text."),
         (11, "Compute 45 + 9 - 8 and explain."),
@@ -119,8 +119,8 @@ def test_short_items_are_frames_of_whole_sentences(spark):
         (15, "see the river"),
         (16, "A line.\nThe\nanother line"),
         (17, "20 kg plus 4 kg equals 24 kg"),
-        (18, "Now solve it for x + 5 = 5"),
-        (19, "Now solve it for x + 5 = 6"),
+        (18, "Solve it: x + 5 = 5"),
+        (19, "Solve it: x + 5 = 6"),
         (20, "7"),
         (21, None),
     ]
