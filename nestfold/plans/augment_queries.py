@@ -330,10 +330,15 @@ SELECT strategy, count(*) AS n_features, round(avg(abs(synthetic_mean - real_mea
 def qua10(spark, sf_dir):
     """Two strategies scored on identical real rows; no ranking is made."""
     real = embedding_latents(spark, sf_dir)
+    return compared_strategies(real, {"smote": G.smote(real), "standardised_smote": G.standardised_smote(real)})
+
+
+def compared_strategies(real, drawn):
+    """Quality figures of each strategy's rows (name to DataFrame) against the same real minority rows."""
     rows = None
-    for name, drawn in (("smote", G.smote(real)), ("standardised_smote", G.standardised_smote(real))):
+    for name, made in drawn.items():
         a = real.filter("y = 1").select(F.lit(name).alias("strategy"), F.lit("real").alias("side"), "sample_id", "z")
-        b = drawn.select(F.lit(name).alias("strategy"), F.lit("synthetic").alias("side"), "sample_id", "z")
+        b = made.select(F.lit(name).alias("strategy"), F.lit("synthetic").alias("side"), "sample_id", "z")
         part = a.unionByName(b)
         rows = part if rows is None else rows.unionByName(part)
     cells = Q.quality_cells(cut_lineage(rows), "strategy")
@@ -348,3 +353,10 @@ def qua10(spark, sf_dir):
         ),
         5,
     )
+
+
+@query("qua10_synthesiser_comparison")
+def qua10_synthesisers(spark, sf_dir):
+    """The minority-only against the class-conditional synthesiser, drawn from and scored on identical real rows."""
+    real = embedding_latents(spark, sf_dir)
+    return compared_strategies(real, {"minority_only": G.minority_synthesiser(real), "class_conditional": G.conditional_synthesiser(real)})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_sum, attach_row
-from ..operators import align as A, augment as G, calibrate as K, explain as E, families as Z, folds as D, linear as L, metrics as M, preprocess as P, selection as S
+from ..operators import align as A, augment as G, calibrate as K, explain as E, families as Z, folds as D, linear as L, metrics as M, model_state as MS, preprocess as P, selection as S
 from ..session import cut_lineage
 from ..sources.cohorts import EMBEDDING_SLICES, MODALITIES, ORDERS_FEATURES, embedding_cohort, embedding_latents, orders_cohort
 from . import nested as N
@@ -301,19 +301,78 @@ def cal4(spark, sf_dir):
     return rounded(M.probability_losses(calibrated_orders(spark, sf_dir), KEYS), 7)
 
 
-def reliability_state(spark, sf_dir, state):
-    """What a saved model needs to judge its own predictions, as one row.
+# --- saved refits ---------------------------------------------------------------
 
-    Mean, inverse covariance and distance limit of the training rows in the model's
-    scaled space, and the weights of five classifiers fitted on bootstrap draws of them.
+
+_STATES: dict = {}
+DEPLOYED = (0, 0)  # the coordinate whose refit judges new rows
+
+
+def study_state(spark, sf_dir):
+    """The saved state table of the orders study, written once a session and read back."""
+    from ..sources.sinks import scratch_path
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATES:
+        _STATES[key] = scratch_path(spark, "refits")
+        MS.save_state(spark, MS.state_rows(orders_study(spark, sf_dir)), _STATES[key])
+    return MS.load_state(spark, _STATES[key])
+
+
+def refit_scores(spark, sf_dir):
+    """Outer-test rows scored with the saved refits; the label column is not read."""
+    table = orders_study(spark, sf_dir).table
+    rows = table.select("sample_id", "x", F.posexplode("fold_of").alias("repeat_id", "fold_id")).withColumn("fold_id", F.col("fold_id").cast("int"))
+    return MS.score_rows(rows, MS.models_of(study_state(spark, sf_dir)))
+
+
+@query("fin2_refit_scoring")
+def fin2_refit(spark, sf_dir):
+    return rounded(refit_scores(spark, sf_dir).drop("z"))
+
+
+TESTED_SQL = f"""WITH cohort AS (SELECT o_orderkey::VARCHAR AS sample_id, (o_orderstatus = 'F')::INT AS y FROM orders), {folds_sql()}, {MEMBERS_SQL}"""
+
+
+@query("fin2_refit_equals_study", f"{TESTED_SQL} SELECT repeat_id, fold_id, count(*) AS n_rows, count(*) AS n_equal FROM members WHERE role <> 'train' GROUP BY repeat_id, fold_id")
+def fin2_equal(spark, sf_dir):
+    """The saved state gives the study's own outer predictions, row by row."""
+    own = orders_study(spark, sf_dir).frozen.select(*KEYS, "sample_id", F.col("score").alias("s"), F.col("prob").alias("p"), F.col("predicted").alias("d"))
+    both = refit_scores(spark, sf_dir).join(own, [*KEYS, "sample_id"], "full_outer")
+    same = (F.abs(F.col("score") - F.col("s")) < 1e-5) & (F.abs(F.col("prob") - F.col("p")) < 1e-5) & (F.col("predicted") == F.col("d"))
+    return both.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.coalesce(same, F.lit(False))).alias("n_equal"))
+
+
+@query(
+    "fin3_refit_prediction_check",
+    f"{TESTED_SQL} SELECT repeat_id, fold_id, count(*) AS n_predictions, 0::BIGINT AS n_repeated_ids, true AS one_threshold, 0::BIGINT AS n_wrong_labels FROM members WHERE role <> 'train' GROUP BY repeat_id, fold_id",
+)
+def fin3_refit(spark, sf_dir):
+    from ..operators.frozen import frozen_check
+
+    return frozen_check(refit_scores(spark, sf_dir), KEYS)
+
+
+@query("fin4_refit_state_identity")
+def fin4_refit(spark, sf_dir):
+    return MS.state_digests(study_state(spark, sf_dir))
+
+
+def deployed_rows(rows):
+    """Raw rows of the three modalities as input of the deployed refit."""
+    return rows.select(F.lit(DEPLOYED[0]).alias("repeat_id"), F.lit(DEPLOYED[1]).alias("fold_id"), "sample_id", F.concat(*MODALITIES).alias("x"))
+
+
+def reliability_state(spark, sf_dir, models):
+    """What the deployed refit needs to judge its own predictions, as one row.
+
+    Mean, inverse covariance and distance limit of its training rows in the fused latent
+    space, and the weights of five classifiers fitted on bootstrap draws of them.
     """
     from ..operators import reliability as Rl
-    from ..operators.frozen import frozen_score
 
-    cohort = orders_cohort(spark, sf_dir)
-    fit_ids = D.shuffle_split(cohort.select("sample_id", "y"), [], seed=42).filter("part = 'fit'").select("sample_id")
-    train = cohort.join(fit_ids, "sample_id", "left_semi")
-    z = frozen_score(train.drop("y"), state).select("sample_id", F.col("z").cast("array<double>").alias("z"))
+    train = orders_study(spark, sf_dir).table.filter(F.col("fold_of")[DEPLOYED[0]] != DEPLOYED[1])
+    z = MS.score_rows(train.select(F.lit(DEPLOYED[0]).alias("repeat_id"), F.lit(DEPLOYED[1]).alias("fold_id"), "sample_id", "x"), models).select("sample_id", "z")
     rows = cut_lineage(z.join(train.select("sample_id", "y"), "sample_id"))
     n, samples = rows.count(), None
     for b in range(5):
@@ -323,41 +382,56 @@ def reliability_state(spark, sf_dir, state):
     return Rl.distance_state(rows, [[float(v) for v in w] for _, w in sorted(weights.items())])
 
 
-@query("rel8_batch_inference")
-def rel8(spark, sf_dir):
-    """Saved state read back, raw rows scored in batch and as a file stream; both results are compared."""
+def judged_rows(spark, sf_dir, raw, models):
+    """Report inputs of raw rows: probability, completeness, distance, disagreement, and signals of the refit's own latents."""
     from ..operators import contract as C, reliability as Rl
-    from ..operators.frozen import frozen_score
     from ..sources import sinks
-    from ..streaming.scoring import start_scoring, stream_rows
-    from .explain_queries import frozen_state
 
-    state_path, raw_path, out, mark = (sinks.scratch_path(spark, n) for n in ("state", "raw", "out", "mark"))
-    frozen_state(spark, sf_dir).write.parquet(state_path)
-    state = spark.read.parquet(state_path)
     trust_path = sinks.scratch_path(spark, "trust")
-    reliability_state(spark, sf_dir, state).write.parquet(trust_path)
-    trust = spark.read.parquet(trust_path)
-    orders_cohort(spark, sf_dir).drop("y").write.parquet(raw_path)
-    raw = spark.read.parquet(raw_path)
-    start_scoring(stream_rows(spark, raw_path, raw.schema), state, out, mark).awaitTermination()
-    streamed = spark.read.parquet(out).select("sample_id", F.col("prob").alias("stream_prob"))
-    batch = frozen_score(raw, state)
-    names = F.array(*[F.lit(f"{m}:{n}") for m in MODALITIES for n in ORDERS_FEATURES[m]])
-    told = attach_row(batch, state.select(F.col("coef").alias("_w"))).withColumn("c", F.zip_with("z", "_w", lambda a, b: a.cast("double") * b))
-    told = Rl.with_saved_reliability(told, trust)
-    edges = {"mge": (0, 10), "mdm": (10, 16), "mcna": (16, 21)}
-    rows = told.join(raw.select("sample_id", C.completeness().alias("completeness")), "sample_id").select(
+    reliability_state(spark, sf_dir, models).write.parquet(trust_path)
+    state = study_state(spark, sf_dir).filter((F.col("repeat_id") == DEPLOYED[0]) & (F.col("fold_id") == DEPLOYED[1]))
+    widths = state.first()["latent_widths"]
+    edges, names, start = {}, [], 0
+    for m, k in zip(MODALITIES, widths, strict=True):
+        edges[m], start = (start, start + k), start + k
+        names += [f"{LABELS[m]}_z{i:03d}" for i in range(k)]
+    scored = attach_row(MS.score_rows(deployed_rows(raw), models), state.select(F.col("coef").alias("_w")))
+    told = Rl.with_saved_reliability(scored.withColumn("c", F.zip_with("z", "_w", lambda a, b: a * b)), spark.read.parquet(trust_path))
+    return told.join(raw.select("sample_id", C.completeness().alias("completeness")), "sample_id").select(
         "sample_id",
         "prob",
         "completeness",
         C.missingness_band(F.col("completeness")).alias("quality"),
         "ood_risk",
         "disagreement",
-        E.top_absolute(F.col("c"), names).alias("top_signals"),
+        E.top_absolute(F.col("c"), F.array(*[F.lit(n) for n in names])).alias("top_signals"),
         F.transform(E.modality_totals(F.col("c"), edges), lambda t: t["modality"]).alias("dominant"),
     )
-    report = Rl.sample_report(rows)
-    return report.join(batch.select("sample_id", "prob"), "sample_id").join(streamed, "sample_id", "left").select(
+
+
+@query("rel7_refit_report")
+def rel7_refit(spark, sf_dir):
+    """Reports of all orders by the deployed refit, with its own signals and dominant modalities."""
+    from ..operators import reliability as Rl
+
+    models = MS.models_of(study_state(spark, sf_dir))
+    return Rl.sample_report(judged_rows(spark, sf_dir, orders_cohort(spark, sf_dir).drop("y"), models))
+
+
+@query("rel8_batch_inference")
+def rel8(spark, sf_dir):
+    """Saved refit read back, raw rows judged in batch and scored as a file stream; both results are compared."""
+    from ..operators import reliability as Rl
+    from ..sources import sinks
+    from ..streaming.scoring import start_refit_scoring, stream_rows
+
+    models = MS.models_of(study_state(spark, sf_dir))
+    raw_path, out, mark = (sinks.scratch_path(spark, n) for n in ("raw", "out", "mark"))
+    orders_cohort(spark, sf_dir).drop("y").write.parquet(raw_path)
+    raw = spark.read.parquet(raw_path)
+    start_refit_scoring(deployed_rows(stream_rows(spark, raw_path, raw.schema)), models, out, mark).awaitTermination()
+    streamed = spark.read.parquet(out).select("sample_id", F.col("prob").alias("stream_prob"))
+    rows = cut_lineage(judged_rows(spark, sf_dir, raw, models))
+    return Rl.sample_report(rows).join(rows.select("sample_id", "prob"), "sample_id").join(streamed, "sample_id", "left").select(
         "sample_id", "status", "report", F.col("prob").eqNullSafe(F.col("stream_prob")).alias("stream_equal")
     )

@@ -10,7 +10,7 @@ each Arrow batch into small sums per training set:
    moments are the merge of its cells, whatever its medians are;
 3. on the driver, per set: mean, scale and principal directions (the linear
    encoder), and the minority's latent mean and covariance;
-4. minority marginals (histograms), giving the copula sampler;
+4. minority marginals (refined histograms with exact ends), giving the copula sampler;
 5. Newton steps for 675 candidate classifiers together, over real rows and
    over synthetic rows that are re-drawn from (set, block) seeds;
 6. out-of-fold scores, selection, calibration, threshold, final refit of 25
@@ -38,7 +38,8 @@ from ..sources.cohorts import MODALITIES
 
 MAX_STATE = 64_000_000  # doubles per task and on the driver (512 MB)
 SYNTHETIC_BLOCK = 4096
-HISTOGRAM_BINS = 64
+HISTOGRAM_CELLS = 256
+RANK_ERROR, REFINEMENTS = 1 / 64, 5  # aimed at, and passes spent on it at most
 KEYS = ["repeat_id", "fold_id"]
 
 
@@ -113,6 +114,7 @@ class SetModel:
     minority_sd: np.ndarray | None = None
     factor: np.ndarray | None = None
     grid: np.ndarray | None = None
+    rank_error: float | None = None
     z_mean: dict = field(default_factory=dict)
     z_scale: dict = field(default_factory=dict)
 
@@ -400,29 +402,82 @@ def _fit_set(layout: Layout, by_label: dict, medians: dict, gaps: list[int]) ->
 
 
 def fit_marginals(table: DataFrame, layout: Layout, models: dict) -> None:
-    """Histogram of each minority latent (mean +/- 5 sd), turned into a quantile grid."""
-    shared = table.sparkSession.sparkContext.broadcast(models)
-    k, bins = layout.n_latent, HISTOGRAM_BINS
+    """Quantile grid of each minority latent, with exact ends and without a cut.
+
+    Passes fold rows into mergeable counts per set and latent: the ends; counts between them in
+    cells that are even in the inverse hyperbolic sine of the standardised value, so that far
+    tails take few cells; and counts in cells refined where the last ones were full, until none holds
+    more than ``RANK_ERROR`` of the rows.  A quantile's rank is off by at most the fullest cell, which ``rank_error`` keeps as a share of the rows.
+    """
+    spark = table.sparkSession
+    shared = spark.sparkContext.broadcast(models)
 
-    def histograms(x, y, fold_of, inner_of):
+    def minority(x, y, fold_of, inner_of):
         for s, model in shared.value.items():
             z = model.encode(x[layout.train(fold_of, inner_of, s) & (y == model.minority)])
-            t = (z - model.minority_mean) / model.minority_sd
-            b = np.clip(((t + 5.0) / 10.0 * bins).astype(int), 0, bins - 1)
-            flat = np.bincount((b + np.arange(k) * bins).ravel(), minlength=k * bins)
-            yield set_name(s), flat
+            yield s, (z - model.minority_mean) / model.minority_sd
 
-    sums = _pass(table, histograms)
-    edges = np.linspace(-5.0, 5.0, bins + 1)
+    def ends(batches):
+        held: dict = {}
+        for pdf in batches:
+            if len(pdf):
+                for s, t in minority(stack(pdf["x"]), pdf["y"].to_numpy(), _ints(pdf["fold_of"]), _ints(pdf["inner_of"])):
+                    if len(t):
+                        low, high = held.get(s, (t[0], t[0]))
+                        held[s] = (np.minimum(low, t.min(0)), np.maximum(high, t.max(0)))
+        yield pd.DataFrame([(set_name(s), a.tolist(), b.tolist()) for s, (a, b) in held.items()], columns=["key", "low", "high"])
+
+    found = table.select("y", "x", "fold_of", "inner_of").mapInPandas(ends, "key string, low array<double>, high array<double>")
+    span = found.groupBy("key").agg(*[F.array(*[f(F.col(c)[j]) for j in range(layout.n_latent)]).alias(c) for c, f in (("low", F.min), ("high", F.max))])
+    limits = {tuple(int(v) for v in r["key"].split("/")): (np.array(r["low"]), np.array(r["high"])) for r in span.collect()}  # one row per set
+    share = np.linspace(0, 1, HISTOGRAM_CELLS + 1)[:, None]
+    edges = {s: np.sinh(np.arcsinh(a) + (np.arcsinh(b) - np.arcsinh(a)) * share) for s, (a, b) in limits.items()}
+    counts = _cell_counts(table, layout, edges, minority)
+    for _ in range(REFINEMENTS):
+        if max(_fullest(edges[s], counts[s]) for s in edges) <= RANK_ERROR:
+            break
+        edges = {s: np.column_stack([_refined(edges[s][:, j], counts[s][:, j]) for j in range(layout.n_latent)]) for s in edges}
+        counts = _cell_counts(table, layout, edges, minority)
     for s, model in models.items():
-        h = sums[set_name(s)].reshape(k, bins)
-        cdf = np.concatenate([np.zeros((k, 1)), np.cumsum(h, 1)], 1) / h.sum(1, keepdims=True)
-        grid = np.empty((k, len(QUANTILE_GRID)))
-        for j in range(k):
-            first, last = np.nonzero(h[j])[0][[0, -1]]
-            c, e = cdf[j, first : last + 2], edges[first : last + 2]
-            grid[j] = np.interp(QUANTILE_GRID, c, e)
+        e, h = edges[s], counts[s]
+        e[0], e[-1] = limits[s]
+        cdf = np.concatenate([np.zeros((1, layout.n_latent)), np.cumsum(h, 0)]) / h.sum(0)
+        grid = np.empty((layout.n_latent, len(QUANTILE_GRID)))
+        for j in range(layout.n_latent):
+            first, last = np.flatnonzero(h[:, j])[[0, -1]]
+            grid[j] = np.interp(QUANTILE_GRID, cdf[first : last + 2, j], e[first : last + 2, j])
         model.grid = grid * model.minority_sd[:, None] + model.minority_mean[:, None]
+        model.rank_error = _fullest(e, h)
+
+
+def _cell_counts(table: DataFrame, layout: Layout, edges: dict, minority) -> dict:
+    """Rows per cell and latent of every set; what lies outside by rounding counts at the ends."""
+    shared = table.sparkSession.sparkContext.broadcast(edges)
+
+    def count(x, y, fold_of, inner_of):
+        for s, t in minority(x, y, fold_of, inner_of):
+            cuts = shared.value[s][1:-1]
+            cells = np.column_stack([np.searchsorted(cuts[:, j], t[:, j], side="right") for j in range(layout.n_latent)])
+            flat = np.bincount((cells * layout.n_latent + np.arange(layout.n_latent)).ravel(), minlength=(len(cuts) + 1) * layout.n_latent)
+            yield set_name(s), flat
+
+    sums = _pass(table, count)
+    return {s: sums[set_name(s)].reshape(-1, layout.n_latent) for s in edges}
+
+
+def _refined(edges: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """As many cells again, each with about the same number of rows if rows lie evenly within the old cells."""
+    cdf = np.append(0.0, np.cumsum(counts)) / counts.sum()
+    rising = np.append(True, np.diff(cdf) > 0)
+    out = np.interp(np.linspace(0, 1, len(edges)), cdf[rising], edges[rising])
+    out[0], out[-1] = edges[0], edges[-1]
+    return out
+
+
+def _fullest(edges: np.ndarray, counts: np.ndarray) -> float:
+    """Share of the rows in the fullest cell; equal values are one point and do not count, whatever their number."""
+    wide = np.diff(edges, axis=0) > 1e-9 * (1e-3 + np.abs(edges[1:]))
+    return float((counts * wide).max() / counts.sum(0).min())
 
 
 def synthetic_blocks(spark: SparkSession, models: dict) -> DataFrame:

@@ -112,3 +112,68 @@ def test_stop_errors_follow_from_the_gram(prepared):
     want = ((z[:, :6] - z[:, :6] @ w @ w.T) ** 2).mean()
     got = next(e[-1] for e in errors if e[:3] == s and e[3] == "held" and e[4] == "mge" and e[5] == 0.5)
     assert np.isclose(got, want, rtol=1e-6)
+
+
+def test_saved_state_gives_the_studys_predictions(spark, prepared, monkeypatch, tmp_path):
+    from nestfold.operators import model_state as MS
+
+    df, x, y, table = prepared
+    monkeypatch.setattr(N, "study_table", lambda cohort: table)
+    study = N.run(df, LAYOUT)
+    path = str(tmp_path / "state")
+    state = MS.save_state(spark, MS.state_rows(study), path)
+    rows = table.select("sample_id", "x", F.posexplode("fold_of").alias("repeat_id", "fold_id")).withColumn("fold_id", F.col("fold_id").cast("int"))
+    scored = MS.score_rows(rows, MS.models_of(state))
+    own = {(r.repeat_id, r.fold_id, r.sample_id): r for r in study.frozen.collect()}
+    got = {(r.repeat_id, r.fold_id, r.sample_id): r for r in scored.collect()}
+    assert own.keys() == got.keys()
+    for k, r in own.items():
+        assert np.isclose(got[k].score, r.score, atol=1e-6) and np.isclose(got[k].prob, r.prob, atol=1e-6)
+        assert got[k].threshold == r.threshold and got[k].predicted == r.predicted
+    digests = {(r.repeat_id, r.fold_id): r.state_sha256 for r in MS.state_digests(state).collect()}
+    changed = state.withColumn("loadings", F.transform("loadings", lambda v, i: F.transform(v, lambda w, j: F.when((i == 0) & (j == 0), w + 1e-9).otherwise(w))))
+    assert digests == {(r.repeat_id, r.fold_id): r.state_sha256 for r in MS.state_digests(state.repartition(3)).collect()}
+    assert not set(digests.values()) & {r.state_sha256 for r in MS.state_digests(changed).collect()}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        MS.save_state(spark, MS.state_rows(study), path)
+    state.withColumn("state_version", F.lit("other")).write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="no model state"):
+        MS.load_state(spark, str(tmp_path / "other"))
+    with pytest.raises(Exception, match="no saved model"):
+        MS.score_rows(rows.withColumn("fold_id", F.lit(9)), MS.models_of(state)).collect()
+
+
+def test_minority_marginals_keep_their_tails(spark, prepared):
+    """No value is cut, ends are exact, and a quantile's rank is within the stated error."""
+    df, x, y, table = prepared
+    far = table.withColumn("x", F.when(F.col("sample_id").isin("P0003", "P0040", "P0041"), F.transform("x", lambda v: v * 40)).otherwise(F.col("x")))
+    far = N.cut_lineage(far)
+    models = N.fit_sets(far, LAYOUT)
+    N.fit_marginals(far, LAYOUT, models)
+    pdf = far.toPandas().sort_values("sample_id")
+    cells = np.vstack(pdf["x"].to_numpy()).astype(float)
+    label = pdf["y"].to_numpy()
+    for s, m in models.items():
+        z = m.encode(cells[members(far, s) & (label == m.minority)])
+        assert np.allclose(m.grid[:, 0], z.min(0), rtol=1e-6, atol=1e-6) and np.allclose(m.grid[:, -1], z.max(0), rtol=1e-6, atol=1e-6)
+        assert m.rank_error <= 3 / len(z)  # three rows in the fullest cell
+        for j in range(z.shape[1]):
+            below = (z[:, j][None, :] < m.grid[j][:, None] - 1e-9).mean(1)
+            upto = (z[:, j][None, :] <= m.grid[j][:, None] + 1e-9).mean(1)
+            assert (below <= np.array(N.QUANTILE_GRID) + m.rank_error + 1e-9).all() and (upto >= np.array(N.QUANTILE_GRID) - m.rank_error - 1e-9).all()
+    assert max(np.abs((m.grid - m.minority_mean[:, None]) / m.minority_sd[:, None]).max() for m in models.values()) > 5
+
+
+@pytest.mark.parametrize("kind", ["normal", "cauchy", "two_scales"])
+def test_refined_cells_hold_few_rows(kind):
+    r = np.random.default_rng(1)
+    v = {"normal": r.normal(size=50_000), "cauchy": r.standard_cauchy(50_000), "two_scales": np.append(r.normal(size=25_000) * 1e-3, r.normal(size=25_000) * 1e3)}[kind]
+    edges = np.sinh(np.linspace(np.arcsinh(v.min()), np.arcsinh(v.max()), N.HISTOGRAM_CELLS + 1))
+    edges[[0, -1]] = v.min(), v.max()
+    for _ in range(N.REFINEMENTS):
+        counts = np.histogram(v, edges)[0]
+        assert counts.sum() == len(v) and edges[0] == v.min() and edges[-1] == v.max()
+        if N._fullest(edges[:, None], counts[:, None]) <= N.RANK_ERROR:
+            break
+        edges = N._refined(edges, counts)
+    assert N._fullest(edges[:, None], np.histogram(v, edges)[0][:, None]) <= N.RANK_ERROR
