@@ -8,11 +8,11 @@ so the memory of a slab is bounded by ``SLAB`` or by its single longest text.
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 SLAB = 1 << 18
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -25,8 +25,10 @@ _K1, _K2, _K3 = (np.uint64(k) for k in _K)
 @lru_cache(maxsize=1)
 def char_classes() -> np.ndarray:
     """Class of every code point: letter, number, white space or other."""
-    kinds = {"L": LETTER, "N": NUMBER}
-    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    signs = np.arange(sys.maxunicode + 1, dtype=np.uint32).view("<U1")
+    letter = np.strings.isalpha(signs)
+    out = np.where(letter, LETTER, OTHER).astype(np.uint8)
+    out[np.strings.isnumeric(signs) & ~letter] = NUMBER
     out[list(WHITE_SPACE)] = SPACE
     return out
 
@@ -126,7 +128,7 @@ def hash_spans(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
 
 
 def distinct_words(texts: Sequence[str], split) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of the texts, the word of each span, and where each text's spans begin.
+    """Distinct words of the texts by first appearance, the word of each span, and where each text's spans begin.
 
     ``split(cps, offsets)`` returns the spans of a slab.  The last array has one
     more entry than there are texts.
@@ -145,7 +147,10 @@ def distinct_words(texts: Sequence[str], split) -> tuple[list[str], np.ndarray,
     if not words_before:
         return [], np.zeros(0, np.int64), bounds
     begin, size = np.concatenate(begins), np.concatenate(lens)
-    _, at, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    seen = pa.array(np.concatenate(hashes)).dictionary_encode()
+    inverse = np.asarray(seen.indices, np.int64)
+    at = np.empty(len(seen.dictionary), np.int64)
+    at[inverse[::-1]] = np.arange(words_before)[::-1]  # the first span of each word is written last
     joined = "".join(texts)
     return [joined[s : s + n] for s, n in zip(begin[at].tolist(), size[at].tolist(), strict=True)], inverse, bounds
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -38,7 +37,7 @@ MAGIC = b"PFB1"
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_TOKENS = 1 << 18
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000  # of each of two generations
 GROUP_CHARS = 1 << 23
 CONTRACTION = r"'(?:[stmd]|re|ve|ll)"
 SEGMENTS = "shard int, segment int, before long, n_tokens long, doc_ids array<long>, doc_tokens array<int>, data binary"
@@ -91,7 +90,7 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
 
 def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     """Ids of the positions ``[first, last)``; only the blocks that hold them are decoded."""
-    if data[:4] != MAGIC:
+    if bytes(data[:4]) != MAGIC:
         raise ValueError("not a block segment")
     block, n = struct.unpack_from("<IQ", data, 4)
     last = n if last is None else min(last, n)
@@ -169,15 +168,17 @@ class Encoder:
         self.lib.no_padding()
         special = [re.escape(t.content) for t in self.lib.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([CONTRACTION, *special]))
+        self.hints = ("'", *(t.content for t in self.lib.get_added_tokens_decoder().values()))
         self.cache_words = cache_words
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.byte_chars = byte_chars()
 
     def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
         for a, b in chars.slabs(texts, GROUP_CHARS):
             part = texts[a:b]
-            direct = [bool(self.whole.search(t)) for t in part]
+            direct = [any(h in t for h in self.hints) and bool(self.whole.search(t)) for t in part]
             found: list = [None] * len(part)
             whole = [i for i, d in enumerate(direct) if d]
             for i, e in zip(whole, self.lib.encode_batch_fast([part[i] for i in whole], add_special_tokens=False), strict=True):
@@ -198,15 +199,30 @@ class Encoder:
             yield out[bounds[i] : bounds[i + 1]]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of single pre-tokens, by the library's model; remembered up to ``cache_words``."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.cache_words:
-            self.known.clear()
-            new = words
-        tokenize, table = self.lib.model.tokenize, self.byte_chars
-        for w in new:
-            self.known[w] = array("I", [t.id for t in tokenize(w.encode().decode("latin-1").translate(table))]).tobytes()
-        return [self.known[w] for w in words]
+        """Ids of single pre-tokens, by the library's model; words of the last two generations are remembered."""
+        if len(self.known) > self.cache_words:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        if new:
+            ids, ends, tokenize = [], [0], self.lib.model.tokenize
+            for letters in self._byte_letters(new):
+                ids += [t.id for t in tokenize(letters)]
+                ends.append(4 * len(ids))
+            data = np.array(ids, np.uint32).tobytes()
+            known.update((w, data[a:b]) for w, a, b in zip(new, ends, ends[1:]))
+        return [known[w] for w in words]
+
+    def _byte_letters(self, words: list[str]) -> list[str]:
+        """The words with a letter for each UTF-8 byte, all at once; a lone surrogate, which no text holds, parts them."""
+        letters = lambda t: t.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.byte_chars)
+        return letters("\ud800".join(words)).split(letters("\ud800"))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -284,18 +300,15 @@ def read_documents(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = unpack(row["data"]).astype("<u4")
-                lens = np.array(row["doc_tokens"], np.int64)
+            starts = [np.asarray(batch.column(c)) for c in ("before", "shard_start")]
+            for i in range(len(batch)):
+                ids = memoryview(unpack(batch.column("data")[i].as_buffer()).astype("<u4")).cast("B")
+                lens = np.asarray(batch.column("doc_tokens")[i].values, np.int64)
                 ends = np.cumsum(lens)
                 begins = ends - lens
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip((4 * begins).tolist(), (4 * ends).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(begins + row["before"] + row["shard_start"], pa.int64()),
-                        pa.array(lens, pa.int64()),
-                        pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)], pa.int64()),
-                    ],
+                    [batch.column("doc_ids")[i].values, pa.array(begins + starts[0][i] + starts[1][i]), pa.array(lens), pa.array(sums, pa.int64())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
