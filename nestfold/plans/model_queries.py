@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_sum, attach_row
-from ..operators import align as A, augment as G, calibrate as K, explain as E, families as Z, folds as D, linear as L, metrics as M, model_state as MS, preprocess as P, selection as S
+from ..operators import align as A, augment as G, calibrate as K, explain as E, families as Z, folds as D, linear as L, metrics as M, model_state as MS, preprocess as P, selection as S, wide as WD
 from ..session import cut_lineage
-from ..sources.cohorts import EMBEDDING_SLICES, MODALITIES, ORDERS_FEATURES, embedding_cohort, embedding_latents, orders_cohort
+from ..sources.cohorts import EMBEDDING_SLICES, MODALITIES, ORDERS_FEATURES, embedding_cohort, embedding_latents, orders_cohort, table
 from . import nested as N
 from .augment_queries import EMB
 from .explain_queries import names_col
@@ -58,6 +58,25 @@ def rep2(spark, sf_dir):
     return model_table(spark, study.layout, study.models)
 
 
+WIDE_FEATURES, WIDE_LATENTS = 20_000, 16
+
+
+def hashed_words(spark, sf_dir):
+    """Word counts of every document in hashed features: ``doc_id``, ``idx``, ``val``."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("w")).filter("w <> ''")
+    cells = words.groupBy("doc_id", F.pmod(F.xxhash64("w"), F.lit(WIDE_FEATURES)).cast("int").alias("i")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    packed = F.sort_array(F.collect_list(F.struct("i", "v")))  # at most WIDE_FEATURES cells
+    return cells.groupBy("doc_id").agg(packed.alias("p")).select("doc_id", F.col("p.i").alias("idx"), F.col("p.v").alias("val"))
+
+
+@query("rep2_wide_encoder_fit")
+def rep2_wide(spark, sf_dir):
+    """Encoder of 20,000 hashed word features: variance along each latent and the share that is kept."""
+    model = WD.fit_wide(cut_lineage(hashed_words(spark, sf_dir)), WIDE_FEATURES, WIDE_LATENTS)
+    rows = [(j, float(v), float(model.variance[: j + 1].sum() / model.total)) for j, v in enumerate(model.variance)]
+    return spark.createDataFrame(rows, "component int, variance double, share_kept double")
+
+
 def stop_errors(spark, sf_dir):
     """Reconstruction error on fit and stop rows of every outer train part, for each ratio."""
     layout = N.Layout(ORDERS_LAYOUT.widths, n_inner=2)  # the parts stop and fit
