@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import array_sum, attach_row
-from ..operators import align as A, augment as G, calibrate as K, explain as E, families as Z, folds as D, linear as L, metrics as M, model_state as MS, preprocess as P, selection as S, wide as WD
+from ..operators import align as A, augment as G, boosting as B, calibrate as K, explain as E, families as Z, folds as D, linear as L, metrics as M, model_state as MS, preprocess as P, selection as S, wide as WD
 from ..session import cut_lineage
 from ..sources.cohorts import EMBEDDING_SLICES, MODALITIES, ORDERS_FEATURES, embedding_cohort, embedding_latents, orders_cohort, table
-from . import nested as N
+from . import fitted as FS, nested as N
 from .augment_queries import EMB
 from .explain_queries import names_col
 from .fold_queries import orders_labels
@@ -249,6 +249,28 @@ query("mod6_gradient_boosting")(_family("hist_gradient_boosting", 1.0))
 query("mod7_dense_net")(_family("dense_net", 0))
 
 
+@query("mod6_second_order_boosting")
+def mod6_second_order(spark, sf_dir):
+    """100 boosted trees with L2 = 1 for each of 25 coordinates in common passes; probabilities of the held-out rows."""
+    train, held = FS.outer_sets(embedding_latents(spark, sf_dir))
+    scored = B.score_boosted(held, B.fit_boosted(train, KEYS, (1.0,)))
+    return Z.adapt_scores(scored.withColumnRenamed("prob", "score").withColumn("score_type", F.lit("probability")))
+
+
+@query("sel6_fitted_configuration")
+def sel6_fitted(spark, sf_dir):
+    """Best fitted family, configuration and strategy of each coordinate, by its three inner folds."""
+    train, held = FS.inner_sets(embedding_latents(spark, sf_dir))
+    return FS.select_configuration(FS.fitted_scores(train, held, FS.INNER))
+
+
+@query("met13_fitted_variants")
+def met13_fitted(spark, sf_dir):
+    """Outer-test metrics of the families' baselines under each augmentation strategy, really fitted."""
+    train, held = FS.outer_sets(embedding_latents(spark, sf_dir))
+    return FS.variant_metrics(FS.fitted_scores(train, held, FS.OUTER, FS.BASELINES), FS.OUTER)
+
+
 @query("exp5_native_importance")
 def exp5(spark, sf_dir):
     train, held = _split(spark, sf_dir)
