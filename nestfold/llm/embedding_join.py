@@ -9,7 +9,8 @@ within the range.  Cells then join independently: every vector of a cell, native
 or replica, is compared with the cell's natives, so each link is seen once from either side.
 
 Equal vectors are one row with a weight before anything is compared.  Cells
-above ``CELL_BLOCK`` rows are cut into blocks against blocks.  A task returns one
+above ``CELL_BLOCK`` rows are cut into blocks, the visitors of a cell into chunks by their counted
+number, so a native is copied as often as its own cell is visited, whatever the table's size.  A task returns one
 count per vector and one edge to its local component, never the pairs.
 """
 
@@ -20,14 +21,15 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, stored
 
-# Bound of the pivot sample, rows per cell aimed at, natives and queries that meet in one task.
+# Bound of the pivot sample, rows per cell aimed at, natives and visitors that meet in one task.
 MAX_PIVOTS = 1024
 CELL_ROWS = 8192
 CELL_BLOCK = 8192
+CHUNK_VISITS = 4 * CELL_BLOCK
 # Distances are compared with this slack, the links themselves by exact cosines.
 SLACK = 1e-6
 # Half width of the band around the threshold that single precision cannot decide.
@@ -80,22 +82,38 @@ def _spaced(centre: np.ndarray, least: float) -> np.ndarray:
     return centre[taken]
 
 
+def _near(part: np.ndarray, home: np.ndarray, centre: np.ndarray, apart: np.ndarray, ball: np.ndarray, cut: np.ndarray, reach: float) -> np.ndarray:
+    """Which cells can hold a partner of each vector (vectors x cells)."""
+    rounding = 16 * (part.shape[1] + 4) * np.finfo(np.float64).eps  # of a difference of two squared distances
+    d2 = np.maximum(2 - 2 * (part @ centre.T), 0)
+    own = d2[np.arange(len(part)), home]
+    near = (d2 - own[:, None] <= 2 * apart[home] * (reach + SLACK) + rounding) & (np.sqrt(d2) <= ball[None, :] + reach + SLACK) & (cut > 0)[None, :]
+    near[np.arange(len(part)), home] = True
+    return near
+
+
+def _loads(batches: Iterator[pa.RecordBatch], pivots, radius, blocks, width: int, reach: float) -> Iterator[pa.RecordBatch]:
+    """How many vectors of a task visit each cell."""
+    centre, ball, cut = pivots.value, radius.value, blocks.value
+    apart, load = _apart(centre), np.zeros(len(centre), np.int64)
+    for batch in batches:
+        x = _unit(_matrix(batch.column("vector"), width))
+        home = np.asarray(batch.column("home"))
+        for a in range(0, len(x), 2048):
+            load += _near(x[a : a + 2048], home[a : a + 2048], centre, apart, ball, cut, reach).sum(axis=0)
+    met = np.flatnonzero(load)
+    yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(load[met])], names=["cell", "visits"])
+
+
 def _visits(batches: Iterator[pa.RecordBatch], pivots, radius, blocks, width: int, reach: float) -> Iterator[pa.RecordBatch]:
     """One row for every block of natives that a vector has to meet."""
     centre, ball, cut = pivots.value, radius.value, blocks.value
     apart = _apart(centre)
-    rounding = 16 * (width + 4) * np.finfo(np.float64).eps  # of a difference of two squared distances
     for batch in batches:
         x = _unit(_matrix(batch.column("vector"), width))
         home_all = np.asarray(batch.column("home"))
         for a in range(0, len(x), 2048):
-            part, home = x[a : a + 2048], home_all[a : a + 2048]
-            d2 = np.maximum(2 - 2 * (part @ centre.T), 0)
-            own = d2[np.arange(len(part)), home]
-            gap = apart[home]
-            near = (d2 - own[:, None] <= 2 * gap * (reach + SLACK) + rounding) & (np.sqrt(d2) <= ball[None, :] + reach + SLACK) & (cut > 0)[None, :]
-            near[np.arange(len(part)), home] = True
-            row, cell = np.nonzero(near)
+            row, cell = np.nonzero(_near(x[a : a + 2048], home_all[a : a + 2048], centre, apart, ball, cut, reach))
             times = cut[cell]
             row, cell = np.repeat(row, times), np.repeat(cell, times)
             nth = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
@@ -221,18 +239,23 @@ def _join_width(rows: DataFrame, width: int, n: int, cosine: float, reach: float
     ball, cut = np.zeros(len(centre)), np.zeros(len(centre), np.int64)
     for r in placed.groupBy("home").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # one row per pivot
         ball[r["home"]], cut[r["home"]] = r["far"], -(-r["n"] // CELL_BLOCK)
-    blocks = sc.broadcast(cut)
-    visits = placed.mapInArrow(
-        partial(_visits, pivots=pivots, radius=sc.broadcast(ball), blocks=blocks, width=width, reach=reach),
-        f"cell int, block int, rep long, vector {kind}, weight long",
-    )
-    # a block of natives is copied to each chunk of its queries, so a task holds two bounded sets
-    chunks = F.greatest(F.lit(1), F.ceil(F.lit(n) / F.lit(4 * CELL_BLOCK))).cast("int")
-    block_of = F.pmod(F.xxhash64("rep"), F.element_at(F.array(*[F.lit(int(max(1, c))) for c in cut]), F.col("home") + 1).cast("long")).cast("int")
-    natives = placed.select(
-        F.col("home").alias("cell"), block_of.alias("block"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "rep", "vector", "weight"
-    )
-    queries = visits.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(1)), chunks.cast("long")).cast("int")).select("cell", "block", "chunk", "rep", "vector", "weight")
+    known = dict(pivots=pivots, radius=sc.broadcast(ball), blocks=sc.broadcast(cut), width=width, reach=reach)
+    # every visitor of a cell meets each of its blocks, so the visits of a cell say how often its natives are needed
+    load = placed.select("vector", "home").mapInArrow(partial(_loads, **known), "cell int, visits long").groupBy("cell").agg(F.sum("visits").alias("visits"))
+    times = np.ones(len(centre), np.int64)
+    for r in load.collect():  # one row per pivot
+        times[r["cell"]] = -(-r["visits"] // CHUNK_VISITS)
+    visits = placed.mapInArrow(partial(_visits, **known), f"cell int, block int, rep long, vector {kind}, weight long")
+
+    def of_cell(values: np.ndarray, cell: str) -> Column:
+        return F.element_at(F.array(*[F.lit(int(max(1, v))) for v in values]), F.col(cell) + 1).cast("long")
+
+    # a block of natives is copied to each chunk of its visitors, so a task holds two bounded sets
+    block_of = F.pmod(F.xxhash64("rep"), of_cell(cut, "home")).cast("int")
+    chunks = F.sequence(F.lit(0), (of_cell(times, "home") - 1).cast("int"))
+    natives = placed.select(F.col("home").alias("cell"), block_of.alias("block"), F.explode(chunks).alias("chunk"), "rep", "vector", "weight")
+    chunk_of = F.pmod(F.xxhash64("rep", F.lit(1)), of_cell(times, "cell")).cast("int")
+    queries = visits.withColumn("chunk", chunk_of).select("cell", "block", "chunk", "rep", "vector", "weight")
     return (
         queries.groupBy("cell", "block", "chunk")
         .cogroup(natives.groupBy("cell", "block", "chunk"))

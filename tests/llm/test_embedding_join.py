@@ -31,6 +31,7 @@ def joined(spark, rows, c, **kw):
 @pytest.mark.parametrize("c", [0.9, 0.999])
 def test_equals_brute_force_over_cells_and_blocks(spark, monkeypatch, c):
     monkeypatch.setattr(ej, "CELL_BLOCK", 90)  # hot cells meet block by block
+    monkeypatch.setattr(ej, "CHUNK_VISITS", 100)  # and their visitors in chunks
     r = np.random.default_rng(3)
     x = r.normal(size=(260, 3))
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
