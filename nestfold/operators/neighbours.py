@@ -9,11 +9,13 @@ query row, the block table gives an upper bound on its k-th neighbour distance
 and, by the triangle inequality, the only blocks that can hold a neighbour.
 The row is sent to those blocks, each block visit keeps the row's best k (no
 pair is emitted), and the best k over all visits is the exact answer.  Visits
-of a popular block are salted into chunks.
+of a popular block are salted into chunks, and a block is met in slices of at most
+about ``SLICE_ROWS`` rows, so both sides of a task stay the same size while the tables grow.
 
 The block table and the pivots are the only data sent to every task.  Their
-size is set here: at most ``N_PIVOTS`` pivots and ``MAX_BLOCKS`` blocks (the
-block height grows with the reference instead).
+size is set here: at most ``N_PIVOTS`` pivots and ``MAX_BLOCKS`` blocks a key (the
+block height grows with the reference instead), ``MAX_LAYOUT`` blocks over all keys,
+beyond which the join refuses to run.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ N_PIVOTS = 64
 MAX_BLOCKS = 4096
 BLOCK_ROWS = 2048
 CHUNK_ROWS = 4096
+SLICE_ROWS = 4096
+MAX_LAYOUT = 1 << 20
 EXACT_ROWS = 1 << 16
 BROADCAST_CELLS = 4_000_000  # 32 MB of doubles
 
@@ -104,7 +108,9 @@ def knn_join(
     table = blocks.groupBy(*by, "cell", "ring").agg(
         F.count(F.lit(1)).alias("n"), F.min("radius").alias("lo"), F.max("radius").alias("hi")
     )
-    listed = table.toPandas()  # at most MAX_BLOCKS + N_PIVOTS rows per key
+    listed = table.limit(MAX_LAYOUT + 1).toPandas()  # at most MAX_BLOCKS + N_PIVOTS rows per key
+    if len(listed) > MAX_LAYOUT:
+        raise ValueError(f"more than {MAX_LAYOUT} blocks over all keys; join fewer keys at once")
     by_key: dict = {}
     for _, row in listed.iterrows():
         by_key.setdefault(tuple(row[b] for b in by), []).append((row["cell"], row["ring"], row["n"], row["lo"], row["hi"]))
@@ -143,7 +149,7 @@ def knn_join(
     group = [*by, "cell", "ring"]
     load = routed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_ROWS)).cast("int").alias("chunks"))
     sides = load.join(
-        table.select(*group, F.ceil(F.col("n") / F.lit(height)).cast("int").alias("slices")), group
+        table.select(*group, F.ceil(F.col("n") / F.lit(SLICE_ROWS)).cast("int").alias("slices")), group
     )
     left = (
         routed.join(sides, group)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import json
 import re
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import missing_to_null
@@ -15,6 +17,8 @@ from ..functions.columns import missing_to_null
 ID_COLUMN = "SAMPLE_ID"
 LABEL_COLUMN = "CLASS"
 BAD_ROW = "_bad_row"
+INLINE_BYTES = 1 << 28  # files up to this size are one row of the reader
+DIGEST_BLOCK = 1 << 23
 
 
 NOT_SPACE = re.compile(r"[^ \t\r\n]")
@@ -165,11 +169,32 @@ def read_records(
     return rows
 
 
-def fingerprint(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """SHA-256 and length of every file; each file is hashed by one task."""
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SHA-256 of each listed file, read in blocks of fixed size."""
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            if path.startswith("file:"):
+                system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+            else:
+                system, name = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while block := stream.read(DIGEST_BLOCK):
+                    digest.update(block)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string())], names=["path", "length", "sha256"])
+
+
+def fingerprint(spark: SparkSession, paths: str | Sequence[str], inline_bytes: int = INLINE_BYTES) -> DataFrame:
+    """SHA-256 and length of every file; each file is hashed by one task.
+
+    Files up to ``inline_bytes`` are hashed by Spark's reader.  A larger one, also above the
+    2 GB that fit a row, is streamed by one task in blocks of ``DIGEST_BLOCK`` bytes; its file system has to be one
+    that Arrow opens (local, HDFS, S3, GCS) from the executors.
+    """
     files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths))
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"),
-        F.col("length").alias("n_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    small = files.filter(F.col("length") <= inline_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.filter(F.col("length") > inline_bytes).select("path", "length")
+    streamed = large.repartition("path").mapInArrow(_digests, "path string, length bigint, sha256 string")
+    return small.unionByName(streamed).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("n_bytes"), "sha256")
