@@ -423,13 +423,20 @@ def reliability_state(spark, sf_dir, models):
     return Rl.distance_state(rows, [[float(v) for v in w] for _, w in sorted(weights.items())])
 
 
-def judged_rows(spark, sf_dir, raw, models):
+def saved_reliability(spark, sf_dir, models):
+    """Folder of the written reliability state."""
+    from ..sources import sinks
+
+    path = sinks.scratch_path(spark, "trust")
+    reliability_state(spark, sf_dir, models).write.parquet(path)
+    return path
+
+
+def judged_rows(spark, sf_dir, raw, models, trust_path=None):
     """Report inputs of raw rows: probability, completeness, distance, disagreement, and signals of the refit's own latents."""
     from ..operators import contract as C, reliability as Rl
-    from ..sources import sinks
 
-    trust_path = sinks.scratch_path(spark, "trust")
-    reliability_state(spark, sf_dir, models).write.parquet(trust_path)
+    trust_path = trust_path or saved_reliability(spark, sf_dir, models)
     state = study_state(spark, sf_dir).filter((F.col("repeat_id") == DEPLOYED[0]) & (F.col("fold_id") == DEPLOYED[1]))
     widths = state.first()["latent_widths"]
     edges, names, start = {}, [], 0
@@ -476,3 +483,33 @@ def rel8(spark, sf_dir):
     return Rl.sample_report(rows).join(rows.select("sample_id", "prob"), "sample_id").join(streamed, "sample_id", "left").select(
         "sample_id", "status", "report", F.col("prob").eqNullSafe(F.col("stream_prob")).alias("stream_equal")
     )
+
+
+@query(
+    "rel8_stream_reports",
+    "SELECT o_orderkey::VARCHAR AS sample_id, 1::BIGINT AS n_reports, (o_orderpriority LIKE '1%')::BIGINT AS n_repeats, true AS equals_batch FROM orders",
+)
+def rel8_stream(spark, sf_dir):
+    """Whole reports on a stream: urgent orders are delivered a second time and must be flagged, not reported again."""
+    from ..operators import reliability as Rl
+    from ..sources import sinks
+    from ..streaming.scoring import start_reports, stream_rows
+
+    models = MS.models_of(study_state(spark, sf_dir))
+    trust = saved_reliability(spark, sf_dir, models)
+    raw_path, out, mark = (sinks.scratch_path(spark, n) for n in ("raw", "out", "mark"))
+    raw = orders_cohort(spark, sf_dir).drop("y")
+    urgent = table(spark, sf_dir, "orders").filter("o_orderpriority like '1%'").select(F.col("o_orderkey").cast("string").alias("sample_id"))
+
+    def report(rows):
+        return Rl.sample_report(judged_rows(spark, sf_dir, rows, models, trust)).select("sample_id", "status", "report")
+
+    for delivery in (raw, raw.join(urgent, "sample_id", "left_semi")):  # the second run continues from the first one's checkpoint
+        delivery.write.mode("append").parquet(raw_path)
+        start_reports(stream_rows(spark, raw_path, spark.read.parquet(raw_path).schema), report, out, mark).awaitTermination()
+    again = report(raw).select("sample_id", F.struct("status", "report").alias("batch"))
+    told = spark.read.parquet(f"{out}/reports").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_reports"), F.first(F.struct("status", "report")).alias("streamed"))
+    repeats = spark.read.parquet(f"{out}/repeats").groupBy("sample_id").agg(F.count(F.lit(1)).alias("n_repeats"))
+    return again.join(told, "sample_id", "full_outer").join(repeats, "sample_id", "full_outer").select(
+        "sample_id", F.coalesce("n_reports", F.lit(0)).alias("n_reports"), F.coalesce("n_repeats", F.lit(0)).alias("n_repeats"), F.col("batch").eqNullSafe(F.col("streamed")).alias("equals_batch")
+    )

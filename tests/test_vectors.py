@@ -27,6 +27,7 @@ def test_knn_equals_brute_force(spark, cells, k, monkeypatch):
     """Both routes, with a third of the reference being copies of one point."""
     monkeypatch.setattr(N, "BLOCK_ROWS", 40)
     monkeypatch.setattr(N, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(N, "SLICE_ROWS", 30)  # the copies are one block, met in slices
     monkeypatch.setattr(N, "N_PIVOTS", 8)
     rng = np.random.default_rng(0)
     z = np.r_[rng.normal(size=(200, 4)) * [1, 2, 1, 1], np.tile([3.0, 3, 3, 3], (100, 1))]
@@ -37,6 +38,13 @@ def test_knn_equals_brute_force(spark, cells, k, monkeypatch):
     assert np.allclose(got["distance"].to_numpy().reshape(300, k), want, atol=1e-6)
 
 
+def test_knn_refuses_a_layout_above_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(N, "MAX_LAYOUT", 3)
+    df = vectors(spark, np.arange(20.0).reshape(10, 2), keys=np.arange(10)).select("k", "sample_id", "z")
+    with pytest.raises(ValueError, match="join fewer keys"):
+        N.knn_join(df, df, 1, ["k"], broadcast_cells=0)
+
+
 @pytest.mark.parametrize("cells", [N.BROADCAST_CELLS, 0])
 @pytest.mark.parametrize("offset", [0.0, 1e6])
 def test_knn_is_exact_with_ties_and_offsets(spark, cells, offset, monkeypatch):
