@@ -63,6 +63,35 @@ def choose_threshold(scored: DataFrame, keys: Sequence[str], prob: str = "prob",
     )
 
 
+def recount(scored: DataFrame, chosen: DataFrame, keys: Sequence[str], prob: str = "prob", label: str = "y") -> DataFrame:
+    """Check stored choices by applying each threshold to its rows, without ranks.
+
+    ``chosen`` has one row per key.  Returns the keys, the threshold, the recounted cells and
+    ``equal``: whether cells, sensitivity and balanced accuracy agree with the stored ones.
+    """
+    cells = ("tn", "fp", "fn", "tp")
+    stored = chosen.select(*keys, "threshold", F.struct(*cells, "sensitivity", "balanced_accuracy").alias("_stored"))
+    said, real = F.col(prob) >= F.col("threshold"), F.col(label) == 1
+    counted = (
+        scored.select(*keys, prob, label)
+        .join(stored, list(keys))
+        .groupBy(*keys)
+        .agg(
+            F.first("threshold").alias("threshold"),
+            F.first("_stored").alias("_stored"),
+            F.count_if(~said & ~real).alias("tn"),
+            F.count_if(said & ~real).alias("fp"),
+            F.count_if(~said & real).alias("fn"),
+            F.count_if(said & real).alias("tp"),
+        )
+    )
+    sens, spec = F.col("tp") / (F.col("tp") + F.col("fn")), F.col("tn") / (F.col("tn") + F.col("fp"))
+    same = (F.abs(F.col("_stored.sensitivity") - sens) < 1e-12) & (F.abs(F.col("_stored.balanced_accuracy") - (sens + spec) / 2) < 1e-12)
+    for c in cells:
+        same = same & (F.col(f"_stored.{c}") == F.col(c))
+    return counted.select(*keys, "threshold", *cells, F.coalesce(same, F.lit(False)).alias("equal"))
+
+
 def differences(stored: DataFrame, recomputed: DataFrame, keys: Sequence[str], digits: int = 9) -> DataFrame:
     """Rows of either side without an equal partner on the other (doubles rounded)."""
 

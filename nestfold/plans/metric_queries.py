@@ -302,6 +302,18 @@ def thr3(spark, sf_dir):
     return diff.agg(F.count(F.lit(1)).alias("n_differences"), (F.count(F.lit(1)) == 0).alias("recomputed_equal"))
 
 
+@query(
+    "thr3_threshold_recount",
+    f"""WITH {SCORED_SQL}, {THR_SQL} SELECT c.repeat_id, c.fold_id, round(any_value(c.threshold), 6) AS threshold, count(*) FILTER (WHERE y = 0 AND prob < c.threshold) AS tn,
+ count(*) FILTER (WHERE y = 0 AND prob >= c.threshold) AS fp, count(*) FILTER (WHERE y = 1 AND prob < c.threshold) AS fn, count(*) FILTER (WHERE y = 1 AND prob >= c.threshold) AS tp, true AS equal
+ FROM chosen c JOIN scored s USING (repeat_id, fold_id) GROUP BY c.repeat_id, c.fold_id""",
+)
+def thr3_recount(spark, sf_dir):
+    """Stored thresholds applied to the rows again and counted without ranks."""
+    scored = scored_orders(spark, sf_dir)
+    return rounded(T.recount(scored, cut_lineage(T.choose_threshold(scored, KEYS)), KEYS))
+
+
 # --- selection ----------------------------------------------------------------
 
 RATIO_C = [(S.candidate_id(r, c), r, c, w) for r, w in zip(S.RATIOS, (7, 11, 17)) for c in S.LOGISTIC_CS]

@@ -33,11 +33,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a published folder holds readable files."""
+    """Whether a folder was published: its writer ended and left the mark of success."""
     try:
-        spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").load(path).limit(1).collect()
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS")
         return True
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
 
 
@@ -101,6 +103,6 @@ def write_report_set(tables: Mapping[str, DataFrame], root: str) -> list[str]:
             continue
         path = f"{root}/aggregate/{name}"
         if not path_exists(tables[name].sparkSession, path):
-            tables[name].write.mode("errorifexists").parquet(path)
+            tables[name].write.mode("overwrite").parquet(path)  # a folder without the mark is what a lost writer left
             written.append(name)
     return written

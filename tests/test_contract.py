@@ -180,3 +180,14 @@ def test_csv_sink_writes_null_as_empty_cell(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([("a", None)], "k string, v double").coalesce(1), str(tmp_path / "c"), ["v", "k"])
     lines = [r[0] for r in spark.read.text(str(tmp_path / "c")).collect()]
     assert lines == ["v,k", ",a"]
+
+
+def test_a_folder_without_the_mark_of_success_is_not_published(spark, tmp_path):
+    df = spark.range(3)
+    path = tmp_path / "aggregate" / "metric_summary"
+    path.mkdir(parents=True)
+    (path / "part-0.parquet").write_bytes(b"half a file")
+    assert not sinks.path_exists(spark, str(path)) and not sinks.path_exists(spark, str(tmp_path / "none"))
+    assert sinks.write_report_set({"metric_summary": df}, str(tmp_path)) == ["metric_summary"]
+    assert sinks.path_exists(spark, str(path)) and spark.read.parquet(str(path)).count() == 3
+    assert sinks.write_report_set({"metric_summary": df}, str(tmp_path)) == []

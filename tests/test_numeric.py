@@ -199,3 +199,14 @@ def test_number_text_is_exact_and_never_overflows(spark):
             assert 2**52 <= abs(int(m)) < 2**53 and math.ldexp(int(m), int(e) - 52) == r.x
     odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),)], "x double").select(number_text(F.col("x")).alias("t"))
     assert [r.t for r in odd.collect()] == ["null", "NaN", "Infinity"]
+
+
+def test_recount_sees_a_wrong_choice(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, int(rng.random() < 0.4), float(np.round(rng.random(), 2))) for k in range(2) for _ in range(150)]
+    scored = spark.createDataFrame(rows, "k int, y int, prob double")
+    chosen = T.choose_threshold(scored, ["k"])
+    assert [r["equal"] for r in T.recount(scored, chosen, ["k"]).collect()] == [True, True]
+    for column, change in (("threshold", 0.25), ("tp", 1), ("balanced_accuracy", 1e-6)):
+        wrong = chosen.withColumn(column, F.when(F.col("k") == 1, F.col(column) + change).otherwise(F.col(column)))
+        assert {r["k"]: r["equal"] for r in T.recount(scored, wrong, ["k"]).collect()} == {0: True, 1: False}
