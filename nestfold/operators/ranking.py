@@ -64,26 +64,32 @@ def prefix_sums(
     return out.select(*cols)
 
 
+def hash_slice(digest: str) -> Column:
+    """The slice (0 to 4,095) of a hex digest."""
+    return F.conv(F.substring(digest, 1, 3), 16, 10).cast("int")
+
+
 def hash_rank(df: DataFrame, keys: Sequence[str], digest: str, out: str = "rank") -> DataFrame:
     """Exact ``row_number() OVER (PARTITION BY keys ORDER BY digest)``, spread over tasks.
 
     The digest is uniform, so its first three hex digits cut every key into
     4,096 equal slices; a slice's ranks start after the rows of the slices
-    before it.  The slice counts are at most 4,096 rows per key.
+    before it.  The slice counts are at most 4,096 rows per key.  The order is
+    that of the digest's first 96 bits, which is all of it that is shuffled.
     """
     keys = list(keys)
-    sliced = df.withColumn("_slice", F.substring(digest, 1, 3))
+    sliced = df.withColumn("_slice", hash_slice(digest)).withColumn("_order", F.expr(f"substring(unhex({digest}), 1, 12)")).drop(digest)
     counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(
         *keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
-    local = W.partitionBy(*keys, "_slice").orderBy(digest)
+    local = W.partitionBy(*keys, "_slice").orderBy("_order")
     return (
         sliced.withColumn("_local", F.row_number().over(local))
         .join(offsets, [*keys, "_slice"])
         .withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_slice", "_local", "_before")
+        .drop("_slice", "_order", "_local", "_before")
     )
 
 
