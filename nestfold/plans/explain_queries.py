@@ -354,5 +354,6 @@ SELECT sample_id, CASE WHEN ok THEN 'Reliable' ELSE 'Caution' END AS status, to_
 )
 def rel7(spark, sf_dir):
     rows = status_rows(spark, sf_dir)
-    signal = F.array(F.struct(F.lit("price").alias("name"), F.round(F.col("prob") - 0.5, 2).alias("value")))
+    # rounded as hundredths: 0.615 - 0.5 is 0.11499999999999999 as a double, but 11.5 hundredths
+    signal = F.array(F.struct(F.lit("price").alias("name"), (F.round((F.col("prob") - 0.5) * 100, 0) / 100).alias("value")))
     return L.sample_report(rows.withColumn("top_signals", signal).withColumn("dominant", F.array(F.lit("mdm"), F.lit("mge"))))
