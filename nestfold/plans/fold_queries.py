@@ -33,7 +33,8 @@ FROM members m JOIN cohort c USING (sample_id) GROUP BY ALL""",
 )
 def joi5(spark, sf_dir):
     cohort = orders_cohort(spark, sf_dir)
-    rows = A.materialise_partition(cohort, D.membership(D.repeated_kfold(cohort)))
+    # joined once per repeat; the copies per coordinate are made after the join
+    rows = D.with_roles(A.materialise_partition(cohort, orders_folds(spark, sf_dir)))
     return rows.groupBy("repeat_id", "fold_id", "role").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.round(F.sum(F.col("mdm")[0]), 3).alias("price_sum"),
