@@ -8,6 +8,7 @@ from ..functions.columns import array_sum, attach_row
 from ..operators import folds as D, metrics as M, preprocess as P
 from ..sources.cohorts import MODALITIES, ORDERS_FEATURES, modality_cells, orders_cohort
 from ..session import cut_lineage
+from .fold_queries import orders_labels
 from .registry import CELLS_SQL, COHORT_SQL, FIT_SQL, MEMBERS_SQL, folds_sql, query
 
 BASE_SQL = f"WITH {COHORT_SQL}, {CELLS_SQL}, {folds_sql()}, {MEMBERS_SQL}, {FIT_SQL}"
@@ -23,8 +24,9 @@ z AS (
 
 def orders_with_folds(spark, sf_dir):
     cohort = orders_cohort(spark, sf_dir)
-    # Fit reads the cohort twice and transform once more: build it once.
-    return cut_lineage(P.attach_folds(cohort, D.fold_arrays(D.repeated_kfold(cohort))))
+    # Fit reads the cohort twice and transform once more: build it once.  The folds need the
+    # orders' labels alone, not the line items and customers joined to them.
+    return cut_lineage(P.attach_folds(cohort, D.fold_arrays(D.repeated_kfold(orders_labels(spark, sf_dir)))))
 
 
 def held_out(spark, sf_dir):
