@@ -17,6 +17,7 @@ from .moments import stack
 
 MAX_NUMBERS = 50_000_000  # driver bound: keys * width^2 doubles (400 MB)
 SUM_SCHEMA = "key string, v array<double>"
+PIECE = 512  # numbers of a partial sum that travel in one row: an Arrow batch of 10,000 rows stays below 41 MB
 
 
 def block_sums(design: np.ndarray, y: np.ndarray, weight: np.ndarray | None, w: np.ndarray) -> np.ndarray:
@@ -42,10 +43,22 @@ def partial_frame(sums: dict) -> pd.DataFrame:
 
 
 def sum_partials(parts: DataFrame) -> dict[str, np.ndarray]:
-    """Add the arrays of equal keys element by element."""
-    summed = parts.select("key", F.posexplode("v").alias("i", "x")).groupBy("key", "i").agg(F.sum("x").alias("x"))
-    table = summed.toPandas().sort_values(["key", "i"])
-    return {k: g.to_numpy() for k, g in table.groupby("key", sort=False)["x"]}
+    """Add the arrays of equal keys element by element; they travel in pieces, not as one row per number."""
+    last = F.floor((F.size("v") - 1) / PIECE)
+    each = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.slice("v", (i * PIECE + 1).cast("int"), PIECE))
+    pieces = parts.filter(F.size("v") > 0).select("key", F.posexplode(each).alias("i", "v"))
+
+    def add(batches):
+        sums: dict = {}
+        for pdf in batches:
+            for key, i, v in zip(pdf["key"], pdf["i"], pdf["v"]):
+                old = sums.get((key, i))
+                sums[(key, i)] = np.array(v, dtype=float) if old is None else old + v
+        yield partial_frame(sums).assign(i=pd.Series([i for _, i in sums], dtype="int32"), key=pd.Series([k for k, _ in sums], dtype=object))
+
+    n_tasks = parts.sparkSession.sparkContext.defaultParallelism
+    table = pieces.repartition(n_tasks, "key", "i").mapInPandas(add, "key string, v array<double>, i int").toPandas().sort_values(["key", "i"])
+    return {k: np.concatenate([np.asarray(v, dtype=float) for v in g]) for k, g in table.groupby("key", sort=False)["v"]}
 
 
 def newton(

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import sigmoid
-from ..operators import calibrate as K, folds as D, linear as L, metrics as M, selection as S, threshold as T
+from ..operators import calibrate as K, folds as D, linear as L, selection as S, threshold as T
 from ..operators.augment import QUANTILE_GRID, norm_cdf
 from ..operators.moments import stack
 from ..session import cut_lineage
@@ -157,12 +157,15 @@ def stop_table(cohort: DataFrame, seed: int = 7) -> DataFrame:
 def _with_arrays(cohort: DataFrame, outer: DataFrame, inner: DataFrame) -> DataFrame:
     rows = cohort.select("sample_id", "y", F.concat(*MODALITIES).alias("x"))
     joined = rows.join(D.fold_arrays(outer), "sample_id").join(D.inner_arrays(inner), "sample_id")
-    # The passes are heavy per row: keep every core busy even when the bytes are few.
-    sc = cohort.sparkSession.sparkContext
-    width = sc.defaultParallelism
-    if not sc.master.startswith("local"):
-        width = max(width, int(cohort.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return cut_lineage(joined.repartition(width, "sample_id"))
+    # The passes are heavy per row: keep every core busy even when the bytes are few.  Every task
+    # sends the sums of all sets, so there are as many tasks as cores ask for and no more.
+    return cut_lineage(joined.repartition(_tasks(cohort.sparkSession), "sample_id"))
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks of a pass: one a core on a local master, three a core on a cluster, so that slow ones even out."""
+    sc = spark.sparkContext
+    return sc.defaultParallelism * (1 if sc.master.startswith("local") else 3)
 
 
 def _ints(series: pd.Series) -> np.ndarray:
@@ -481,13 +484,16 @@ def _fullest(edges: np.ndarray, counts: np.ndarray) -> float:
 
 
 def synthetic_blocks(spark: SparkSession, models: dict) -> DataFrame:
-    """``(key, block, size)`` of every synthetic block to draw, generated from one row per set."""
+    """``(key, block, size)`` of every synthetic block to draw, generated from one row per set.
+
+    The number of partitions is named: the rows are few bytes, and AQE would join them into one task.
+    """
     rows = [(set_name(s), m.needed) for s, m in models.items() if m.needed > 0]
     sets = spark.createDataFrame(rows, "key string, needed bigint")
     block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("needed") - 1) / SYNTHETIC_BLOCK)))
     return sets.withColumn("block", block).select(
         "key", "block", F.least(F.lit(SYNTHETIC_BLOCK), F.col("needed") - F.col("block") * SYNTHETIC_BLOCK).cast("int").alias("size")
-    ).repartition("key", "block")
+    ).repartition(_tasks(spark), "key", "block")
 
 
 def _synthetic_pass(blocks: DataFrame, layout: Layout, shared, fold_block) -> DataFrame:
@@ -596,6 +602,18 @@ def encoded_rows(table: DataFrame, layout: Layout, models: dict) -> DataFrame:
     return table.select("sample_id", "x", "fold_of", "inner_of").mapInPandas(run, schema)
 
 
+def _held_scores(layout: Layout, x, fold_of, inner_of, models: dict, weights: dict, plan: dict):
+    """``(set, number, held rows, scores)`` of one batch for every candidate of the plan."""
+    for s, candidates in plan.items():
+        keep = layout.held(fold_of, inner_of, s)
+        if keep.any():
+            m = models[s]
+            t = (m.encode(x[keep]) - m.z_mean) / m.z_scale
+            for number, ratio, c in candidates:
+                w = weights[candidate_name(s, ratio, c)]
+                yield s, number, keep, t[:, layout.columns[ratio]] @ w[:-1] + w[-1]
+
+
 def held_out_scores(table: DataFrame, layout: Layout, models: dict, weights: dict, plan: dict) -> DataFrame:
     """Scores of held-out rows: ``plan`` maps a set to its candidates ``[(number, ratio, C)]``.
 
@@ -605,29 +623,118 @@ def held_out_scores(table: DataFrame, layout: Layout, models: dict, weights: dic
     shared = table.sparkSession.sparkContext.broadcast(({s: models[s] for s in plan}, weights, plan))
 
     def run(batches):
-        models_, weights_, plan_ = shared.value
         for pdf in batches:
             if not len(pdf):
                 continue
-            x, y, ids = stack(pdf["x"]), pdf["y"].to_numpy(), pdf["sample_id"].to_numpy()
-            fold_of, inner_of = _ints(pdf["fold_of"]), _ints(pdf["inner_of"])
-            for s, candidates in plan_.items():
-                keep = layout.held(fold_of, inner_of, s)
-                if not keep.any():
-                    continue
-                m = models_[s]
-                t = (m.encode(x[keep]) - m.z_mean) / m.z_scale
-                for number, ratio, c in candidates:
-                    w = weights_[candidate_name(s, ratio, c)]
-                    score = t[:, layout.columns[ratio]] @ w[:-1] + w[-1]
-                    yield pd.DataFrame(
-                        {"repeat_id": s[0], "fold_id": s[1], "inner_fold_id": s[2], "candidate": number, "sample_id": ids[keep], "y": y[keep], "score": score}
-                    )
+            y, ids = pdf["y"].to_numpy(), pdf["sample_id"].to_numpy()
+            rows = stack(pdf["x"]), _ints(pdf["fold_of"]), _ints(pdf["inner_of"])
+            for s, number, keep, score in _held_scores(layout, *rows, *shared.value):
+                yield pd.DataFrame(
+                    {"repeat_id": s[0], "fold_id": s[1], "inner_fold_id": s[2], "candidate": number, "sample_id": ids[keep], "y": y[keep], "score": score}
+                )
 
     schema = "repeat_id int, fold_id int, inner_fold_id int, candidate int, sample_id string, y int, score double"
     return table.select("sample_id", "y", "x", "fold_of", "inner_of").mapInPandas(run, schema)
 
 
+RANGE_ROWS = 500_000  # scores of one key that are ranked together, about
+RANK_CELLS = 64  # cells of a counted histogram; ranges are runs of cells
+
+
+def ranked_candidates(table: DataFrame, layout: Layout, models: dict, weights: dict, plan: dict, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """``ranking_metrics`` of ``held_out_scores`` per (set, candidate), without a row per score.
+
+    Scores travel as packed arrays of 9 bytes a score.  A key with more than ``range_rows`` held-out rows
+    is cut into ranges of scores: a pass counts both classes in cells of every key, runs of cells become
+    ranges, and a range is ranked by one task after the counted rows of the ranges above it.  The counts
+    are exact, so the cut decides only where a score is ranked.  Equal scores are always in one cell.
+    """
+    spark = table.sparkSession
+    held = {s: models[s] for s in plan}
+    shared = spark.sparkContext.broadcast((held, weights, plan))
+    cells = np.linspace(0, 1, RANK_CELLS + 1)[1:-1]
+    # Where all rows of the table cannot fill two ranges, no key can.
+    many = table.count() > range_rows
+    cuts: dict = {}
+    before: dict = {}
+    if many:
+
+        def bounds(x, y, fold_of, inner_of):
+            for s, number, keep, score in _held_scores(layout, x, fold_of, inner_of, *shared.value):
+                low = np.searchsorted(cells, 1.0 / (1.0 + np.exp(-np.clip(score, -700, 700))), side="right")
+                own = y[keep]
+                yield f"{set_name(s)}#{number}", np.concatenate([np.bincount(low[own == label], minlength=RANK_CELLS) for label in (1, 0)])
+
+        for key, v in _pass(table, bounds).items():
+            pos, neg = v[:RANK_CELLS], v[RANK_CELLS:]
+            # ranges from the highest cell down; number 0 holds the highest scores
+            above = np.concatenate([[0.0], np.cumsum((pos + neg)[::-1])])[:-1]
+            number = (above // range_rows).astype(int)[::-1]
+            cuts[key] = np.unique(number, return_inverse=True)[1]
+            n = cuts[key].max() + 1
+            for name, count in (("pos", pos), ("neg", neg)):
+                total = np.bincount(cuts[key], weights=count, minlength=n)
+                for j, b in enumerate(np.cumsum(total) - total):
+                    before.setdefault((key, j), {})[name] = b
+    places = spark.sparkContext.broadcast((cuts, before))
+
+    def pack(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            y = pdf["y"].to_numpy()
+            rows, out = (stack(pdf["x"]), _ints(pdf["fold_of"]), _ints(pdf["inner_of"])), []
+            for s, number, keep, score in _held_scores(layout, *rows, *shared.value):
+                key, own = f"{set_name(s)}#{number}", y[keep].astype(np.int8)
+                cut = places.value[0].get(key)
+                if cut is None:
+                    out.append((key, 0, score.tobytes(), own.tobytes()))
+                    continue
+                at = cut[np.searchsorted(cells, 1.0 / (1.0 + np.exp(-np.clip(score, -700, 700))), side="right")]
+                out.extend((key, int(j), score[at == j].tobytes(), own[at == j].tobytes()) for j in np.unique(at))
+            yield pd.DataFrame(out, columns=["key", "j", "score", "y"])
+
+    def rank(batches):
+        found: dict = {}
+        for pdf in batches:
+            for key, j, score, y in zip(pdf["key"], pdf["j"], pdf["score"], pdf["y"]):
+                found.setdefault((key, j), []).append((np.frombuffer(score), np.frombuffer(y, dtype=np.int8)))
+        out = []
+        for key, j in list(found):
+            scores, labels = (np.concatenate(v) for v in zip(*found.pop((key, j))))
+            start = places.value[1].get((key, j), {"pos": 0.0, "neg": 0.0})
+            out.append((key, *_range_sums(scores, labels, start["pos"], start["neg"])))
+        yield pd.DataFrame(out, columns=["key", "n_pos", "n_neg", "ap", "wins"])
+
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = table.select("y", "x", "fold_of", "inner_of").mapInPandas(pack, "key string, j int, score binary, y binary")
+    sums = packed.repartition(max(n_tasks, _tasks(spark)), "key", "j").mapInPandas(rank, "key string, n_pos double, n_neg double, ap double, wins double")
+    total = sums.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n_pos", "n_neg", "ap", "wins")])
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    part = F.split("key", "[/#]")
+    names = ("repeat_id", "fold_id", "inner_fold_id", "candidate")
+    return total.select(
+        *[part[i].cast("int").alias(n) for i, n in enumerate(names)],
+        F.col("n_pos").cast("bigint").alias("n_pos"),
+        F.col("n_neg").cast("bigint").alias("n_neg"),
+        F.when(both, F.col("ap") / F.col("n_pos")).alias("auprc"),
+        F.when(both, F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auroc"),
+    )
+
+
+def _range_sums(scores: np.ndarray, labels: np.ndarray, pos_before: float, neg_before: float) -> tuple:
+    """Positives, negatives, and the two sums of ``metrics.ranking_from`` over one range of scores, ties together."""
+    order = np.argsort(-scores)
+    scores, hits = scores[order], (labels[order] == 1).astype(np.float64)
+    last = np.append(np.flatnonzero(scores[1:] != scores[:-1]), len(scores) - 1)
+    cum_pos = np.cumsum(hits)[last]
+    cum_neg = last + 1 - cum_pos
+    pos, neg = np.diff(cum_pos, prepend=0.0), np.diff(cum_neg, prepend=0.0)
+    above = cum_pos + pos_before
+    ap = (pos * above / (above + cum_neg + neg_before)).sum()
+    return cum_pos[-1], cum_neg[-1], ap, (neg * (above - pos / 2.0)).sum()
+
+
 @dataclass
 class Study:
     """Everything a run leaves behind; DataFrames except the small model dictionaries."""
@@ -667,9 +774,7 @@ def search(table: DataFrame, layout: Layout, models: dict):
     candidates = [(n, ratio, c) for n, (ratio, c) in enumerate((r, c) for r in layout.ratios for c in layout.cs)]
     inner = list(layout.sets(outer=False))
     weights, log = fit_classifiers(table, layout, models, [(s, ratio, c) for s in inner for _, ratio, c in candidates])
-    scores = held_out_scores(table, layout, models, weights, {s: candidates for s in inner})
-    keys = [*KEYS, "candidate", "inner_fold_id"]
-    fold_metrics = cut_lineage(M.ranking_metrics(scores, keys))  # coordinates x candidates x folds rows
+    fold_metrics = cut_lineage(ranked_candidates(table, layout, models, weights, {s: candidates for s in inner}))  # coordinates x candidates x folds rows
     facts = table.sparkSession.createDataFrame(
         [(n, S.candidate_id(ratio, c), ratio, c, len(layout.columns[ratio])) for n, ratio, c in candidates],
         "candidate int, candidate_id string, ratio double, c double, fused_width int",

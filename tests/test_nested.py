@@ -177,3 +177,44 @@ def test_refined_cells_hold_few_rows(kind):
             break
         edges = N._refined(edges, counts)
     assert N._fullest(edges[:, None], np.histogram(v, edges)[0][:, None]) <= N.RANK_ERROR
+
+
+@pytest.mark.parametrize("range_rows", [10**9, 30])
+def test_packed_ranks_equal_the_row_by_row_ones(spark, prepared, range_rows):
+    from nestfold.operators import metrics as M
+
+    df, x, y, table = prepared
+    models = N.fit_sets(table, LAYOUT)
+    N.fit_marginals(table, LAYOUT, models)
+    N.fit_latent_scalers(spark, LAYOUT, models)
+    inner, candidates = list(LAYOUT.sets(outer=False)), [(0, 0.5, 1.0), (1, 0.75, 0.1)]
+    rng = np.random.default_rng(1)
+    weights = {N.candidate_name(s, r, c): rng.normal(size=len(LAYOUT.columns[r]) + 1) for s in inner for _, r, c in candidates}
+    weights[N.candidate_name(inner[0], 0.5, 1.0)][:] = 0  # all scores tie
+    plan = {s: candidates for s in inner}
+    keys = ["repeat_id", "fold_id", "candidate", "inner_fold_id"]
+    want = M.ranking_metrics(N.held_out_scores(table, LAYOUT, models, weights, plan), keys).orderBy(*keys).collect()
+    got = N.ranked_candidates(table, LAYOUT, models, weights, plan, range_rows).orderBy(*keys).collect()
+    assert len(got) == len(want) == 8
+    for a, b in zip(got, want):
+        assert [a[c] for c in (*keys, "n_pos", "n_neg")] == [b[c] for c in (*keys, "n_pos", "n_neg")]
+        assert np.isclose(a["auprc"], b["auprc"], atol=1e-12) and np.isclose(a["auroc"], b["auroc"], atol=1e-12)
+
+
+def test_synthetic_blocks_keep_their_tasks(spark):
+    """A handful of small rows, but each is 4,096 draws: they must not be joined into one task."""
+    from types import SimpleNamespace
+
+    blocks = N.synthetic_blocks(spark, {(0, f, -1): SimpleNamespace(needed=200_000) for f in range(4)})
+    used = blocks.select(F.spark_partition_id().alias("p"), "size").groupBy("p").agg(F.sum("size").alias("n")).collect()
+    assert sum(r["n"] for r in used) == 800_000 and len(used) > 1
+    assert max(r["n"] for r in used) < 400_000
+
+
+def test_partial_sums_of_any_length_add_up(spark):
+    from nestfold.operators import linear as L
+
+    parts = spark.createDataFrame([(k, [float(i + j) for i in range(n)]) for j in range(3) for k, n in (("a", 1), ("b", L.PIECE), ("c", 2 * L.PIECE + 3))], L.SUM_SCHEMA)
+    sums = L.sum_partials(parts)
+    assert {k: len(v) for k, v in sums.items()} == {"a": 1, "b": L.PIECE, "c": 2 * L.PIECE + 3}
+    assert all((v == 3 * np.arange(len(v)) + 3).all() for v in sums.values())
