@@ -4,8 +4,8 @@ The cohort table (features, label, fold arrays) is the only large input and
 stays as it is: no row is copied per fold.  Every stage is one pass that folds
 each Arrow batch into small sums per training set:
 
-1. medians of features with missing cells, for all 100 training sets, from one
-   sort of their values;
+1. medians of features with missing cells, for all 100 training sets, from counts
+   and one sort of the few values around them;
 2. moments of ``[x, missing]`` per held-out cell and class; a training set's
    moments are the merge of its cells, whatever its medians are;
 3. on the driver, per set: mean, scale and principal directions (the linear
@@ -191,48 +191,66 @@ def _pass(table: DataFrame, fold_batch, columns=("y", "x", "fold_of", "inner_of"
     return _sum_arrays(table.select(*columns).mapInPandas(run, L.SUM_SCHEMA))
 
 
+MEDIAN_CELLS, MEDIAN_PASSES, MEDIAN_ROWS = 256, 4, 4096  # cells a pass, passes at most, rows of a set that are few enough
+
+
 def set_medians(table: DataFrame, layout: Layout, features: list[int]) -> dict:
     """Exact train medians of the listed features for every set: ``{set: {feature: median}}``.
 
-    The values are range-partitioned and sorted by (feature, value); a first
-    pass counts train rows per partition and set, a second one reads off the
+    The medians of all sets lie close together.  Counting passes narrow, per feature, the band of
+    values that holds all of them; rows below it are only counted.  What lies in the band becomes one
+    row of counts per task and distinct value; these are range-partitioned and sorted by
+    (feature, value), a pass counts train rows per partition and set, and another one reads off the
     middle ranks.
     """
     sets = list(layout.sets())
     if not features:
         return {s: {} for s in sets}
-    cells = table.select(
-        F.explode(F.array(*[F.struct(F.lit(j).alias("feature"), F.col("x")[j].alias("v")) for j in features])).alias("c"),
-        "fold_of",
-        "inner_of",
-    ).select("c.feature", "c.v", "fold_of", "inner_of").filter("v is not null")
+    below, totals, bands = _median_bands(table, layout, features, sets)
+    empty = [j for j in features if (totals[j] == 0).any()]
+    if empty:
+        raise ValueError(f"features {empty} have no value in some training set")
+    held = table.sparkSession.sparkContext.broadcast(bands)
+
+    def collapse(batches):
+        counts: dict = {}
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = stack(pdf["x"])
+            members = _members(layout, sets, _ints(pdf["fold_of"]), _ints(pdf["inner_of"]))
+            for j, (low, high) in held.value.items():
+                rows = np.flatnonzero((x[:, j] >= low) & (x[:, j] < high))
+                values, at = np.unique(x[rows, j], return_inverse=True)
+                n = np.zeros((len(values), len(sets)), dtype=np.int64)
+                np.add.at(n, at, members[rows])
+                for v, c in zip(values, n):
+                    old = counts.get((j, v))
+                    counts[(j, v)] = c if old is None else old + c
+            if len(counts) * len(sets) > MEDIAN_STATE:
+                yield _count_frame(counts)
+                counts = {}
+        yield _count_frame(counts)
+
+    cells = table.select("x", "fold_of", "inner_of").mapInPandas(collapse, "feature int, v double, n array<bigint>")
     ordered = cut_lineage(
         cells.repartitionByRange("feature", "v").sortWithinPartitions("feature", "v").withColumn("part", F.spark_partition_id())
     )
 
-    def members(pdf):
-        folds, inner = _ints(pdf["fold_of"]), _ints(pdf["inner_of"])
-        return np.column_stack([layout.train(folds, inner, s) for s in sets])
-
     def count(batches):
         sums: dict = {}
         for pdf in batches:
             for (j, p), g in pdf.groupby(["feature", "part"]):
-                c = members(g).sum(0)
+                c = np.vstack(g["n"].to_numpy()).sum(0)
                 sums[(j, p)] = sums[(j, p)] + c if (j, p) in sums else c
         if sums:
             yield pd.DataFrame([(j, p, v.tolist()) for (j, p), v in sums.items()], columns=["feature", "part", "n"])
 
     counts = ordered.mapInPandas(count, "feature int, part int, n array<bigint>").collect()  # (features + partitions) rows
-    before, totals = {}, {}
+    before, upto = {}, {j: below[j].copy() for j in features}
     for r in sorted(counts, key=lambda r: (r["feature"], r["part"])):
-        j = r["feature"]
-        totals.setdefault(j, np.zeros(len(sets), dtype=np.int64))
-        before[(j, r["part"])] = totals[j].copy()
-        totals[j] += np.array(r["n"], dtype=np.int64)
-    empty = [j for j in features if j not in totals or (totals[j] == 0).any()]
-    if empty:
-        raise ValueError(f"features {empty} have no value in some training set")
+        before[(r["feature"], r["part"])] = upto[r["feature"]].copy()
+        upto[r["feature"]] += np.array(r["n"], dtype=np.int64)
     shared = table.sparkSession.sparkContext.broadcast((before, totals))
 
     def pick(batches):
@@ -241,7 +259,7 @@ def set_medians(table: DataFrame, layout: Layout, features: list[int]) -> dict:
         for pdf in batches:
             for (j, p), g in pdf.groupby(["feature", "part"]):
                 start = seen.get((j, p), before[(j, p)])
-                cum = members(g).cumsum(0) + start
+                cum = np.vstack(g["n"].to_numpy()).cumsum(0) + start
                 seen[(j, p)] = cum[-1]
                 values = g["v"].to_numpy()
                 for rank in ((totals[j] + 1) // 2, totals[j] // 2 + 1):
@@ -257,6 +275,68 @@ def set_medians(table: DataFrame, layout: Layout, features: list[int]) -> dict:
     return out
 
 
+MEDIAN_STATE = 2_000_000  # counts that a task keeps before it passes them on
+
+
+def _members(layout: Layout, sets: list, fold_of: np.ndarray, inner_of: np.ndarray) -> np.ndarray:
+    return np.column_stack([layout.train(fold_of, inner_of, s) for s in sets])
+
+
+def _count_frame(counts: dict) -> pd.DataFrame:
+    return pd.DataFrame(
+        {
+            "feature": pd.Series([j for j, _ in counts], dtype="int32"),
+            "v": pd.Series([v for _, v in counts], dtype=float),
+            "n": pd.Series([c.tolist() for c in counts.values()], dtype=object),
+        }
+    )
+
+
+def _median_bands(table: DataFrame, layout: Layout, features: list[int], sets: list) -> tuple[dict, dict, dict]:
+    """Per feature: train rows of every set below the band, train rows in all, and the band ``[low, high)``."""
+    ends = table.agg(*[f(F.col("x")[j]).alias(f"{n}{j}") for j in features for n, f in (("low", F.min), ("high", F.max))]).first()
+    bare = [j for j in features if ends[f"low{j}"] is None]
+    if bare:
+        raise ValueError(f"features {bare} have no value in some training set")
+    bands = {j: (ends[f"low{j}"], np.nextafter(ends[f"high{j}"], np.inf)) for j in features}
+    below: dict = {}
+    totals: dict = {}
+    wide = list(features)
+    for _ in range(MEDIAN_PASSES):
+        edges = {}
+        for j in wide:
+            low, high = bands[j]
+            edges[j] = 2 * np.linspace(low / 2, high / 2, MEDIAN_CELLS + 1)  # halves: the width itself may overflow
+            edges[j][[0, -1]] = low, high
+        shared = table.sparkSession.sparkContext.broadcast(edges)
+
+        def count(x, y, fold_of, inner_of):
+            members = _members(layout, sets, fold_of, inner_of)
+            for j, e in shared.value.items():
+                rows = np.flatnonzero(~np.isnan(x[:, j]))
+                cell = np.searchsorted(e, x[rows, j], side="right")  # 0 lies below the band, the last above it
+                own = members[rows]
+                yield str(j), np.column_stack([np.bincount(cell[own[:, k]], minlength=len(e) + 1) for k in range(len(sets))]).ravel()
+
+        sums = _pass(table, count)
+        wide = []
+        for j, e in edges.items():
+            n = sums[str(j)].reshape(-1, len(sets)).astype(np.int64)
+            upto = n.cumsum(0)
+            totals[j] = upto[-1]
+            first, last = ((upto < rank).sum(0) for rank in ((totals[j] + 1) // 2, totals[j] // 2 + 1))
+            a, b = int(first.min()), int(last.max())
+            if (totals[j] == 0).any() or not 1 <= a <= b < len(e):
+                a, b = 1, len(e) - 1
+            below[j] = upto[a - 1]
+            if (upto[b] - below[j]).max() > MEDIAN_ROWS and (e[a - 1], e[b]) != bands[j]:
+                wide.append(j)
+            bands[j] = (e[a - 1], e[b])
+        if not wide:
+            break
+    return below, totals, bands
+
+
 @dataclass
 class Moments:
     """Count, mean and sum of centred cross products of the vector ``[x or 0, missing]``."""

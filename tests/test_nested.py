@@ -218,3 +218,27 @@ def test_partial_sums_of_any_length_add_up(spark):
     sums = L.sum_partials(parts)
     assert {k: len(v) for k, v in sums.items()} == {"a": 1, "b": L.PIECE, "c": 2 * L.PIECE + 3}
     assert all((v == 3 * np.arange(len(v)) + 3).all() for v in sums.values())
+
+
+def test_medians_shuffle_the_values_around_the_middle_only(spark, monkeypatch):
+    """Far tails, ties and gaps: exact medians of every set, from a few of the rows."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    x = np.column_stack([rng.normal(size=n), rng.integers(1, 8, size=n), np.exp(20 * rng.normal(size=n)), np.where(rng.random(n) < 0.5, -1e307, 1e307)])
+    x[rng.random(x.shape) < 0.1] = np.nan
+    fold, inner = rng.integers(0, 2, size=n), rng.integers(0, 2, size=(n, 2))
+    inner[np.arange(n), fold] = -1
+    rows = [([None if np.isnan(v) else float(v) for v in r], 0, [int(f)], [int(v) for v in i]) for r, f, i in zip(x, fold, inner)]
+    table = spark.createDataFrame(rows, "x array<double>, y int, fold_of array<int>, inner_of array<int>").repartition(3)
+    cut, sizes = N.cut_lineage, []
+    monkeypatch.setattr(N, "cut_lineage", lambda df: sizes.append(df.count()) or cut(df))
+    monkeypatch.setattr(N, "MEDIAN_ROWS", 50)
+    found = N.set_medians(table, LAYOUT, [0, 1, 2, 3])
+    for s, medians in found.items():
+        keep = LAYOUT.train(fold[:, None], inner, s)
+        for j, m in medians.items():
+            values = np.sort(x[keep & ~np.isnan(x[:, j]), j])
+            k = len(values)
+            assert m == np.mean([values[(k + 1) // 2 - 1], values[k // 2]]), (s, j)
+    assert len(found) == 6 and all(len(m) == 4 for m in found.values())
+    assert sum(sizes) < n
