@@ -13,10 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_float_array, attach_row, hash_normal, hash_uniform, hash_word, key_hash
+from .linear import SUM_SCHEMA, partial_frame, sum_partials
 from .moments import centred_gram, stack
 from .neighbours import knn_join
 from .preprocess import fit_dense, standardise
-from .ranking import exact_quantiles, hash_rank, quantile_label
+from .ranking import hash_rank, prefix_sums
 
 SMOTE_NEIGHBOURS = 5
 DRAW_CHUNK = 10_000
@@ -214,15 +215,88 @@ def _key_of(row, keys) -> tuple:
     return tuple(row[k] for k in keys)
 
 
+GRID_NUMBERS, GRID_CELLS = 4_000_000, 512  # counts of a task, and cells of a key and feature, at most
+
+
 def marginal_grids(rows: DataFrame, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
-    """Exact quantile grid of each vector element per key (21 numbers per key and feature)."""
+    """Exact quantile grid of each vector element per key (21 numbers per key and feature).
+
+    A pass counts the values in even cells between the ends of every key and element.  The counts
+    tell which cells hold the wanted ranks; only values in those are ranked.
+    """
     keys = list(keys)
-    cells = rows.select(*keys, F.posexplode("z").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    table = exact_quantiles(cells, [*keys, "pos"], "x", QUANTILE_GRID).orderBy(*keys, "pos").collect()
+    spark = rows.sparkSession
+    named = rows.select(F.concat_ws("/", F.lit("k"), *[F.col(k).cast("string") for k in keys]).alias("_key"), *keys, "z")
+
+    def groups(batches):
+        for pdf in batches:
+            for name, part in pdf.groupby("_key", sort=False):
+                yield name, stack(part["z"])
+
+    def ends(batches):
+        held: dict = {}
+        for name, x in groups(batches):
+            low, high = held.get(name, (x[0], x[0]))
+            held[name] = (np.minimum(low, x.min(0)), np.maximum(high, x.max(0)))
+        yield pd.DataFrame([(k, a.tolist(), b.tolist()) for k, (a, b) in held.items()], columns=["_key", "low", "high"])
+
+    found = named.select("_key", "z").mapInPandas(ends, "_key string, low array<double>, high array<double>")
+    cells = found.select("_key", F.posexplode(F.arrays_zip("low", "high")).alias("pos", "c")).groupBy("_key", "pos")
+    limits: dict = {}
+    for r in cells.agg(F.min("c.low").alias("low"), F.max("c.high").alias("high")).orderBy("_key", "pos").collect():  # keys x features rows
+        limits.setdefault(r["_key"], []).append((r["low"], r["high"]))
+    n_cells = max(32, min(GRID_CELLS, GRID_NUMBERS // max(1, sum(len(v) for v in limits.values()))))
+    cuts = {k: np.array([np.linspace(a, b, n_cells + 1)[1:-1] for a, b in v]) for k, v in limits.items()}
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def cell_of(name, x):
+        return np.column_stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(shared.value[name])])
+
+    def count(batches):
+        sums: dict = {}
+        for name, x in groups(batches):
+            width = x.shape[1]
+            v = np.bincount((cell_of(name, x) + n_cells * np.arange(width)).ravel(), minlength=n_cells * width)
+            sums[name] = sums[name] + v if name in sums else v
+        yield partial_frame(sums)
+
+    wanted: dict = {}
+    for name, v in sum_partials(named.select("_key", "z").mapInPandas(count, SUM_SCHEMA)).items():
+        upto = v.reshape(-1, n_cells).cumsum(1)
+        at = np.array(QUANTILE_GRID) * (upto[0, -1] - 1)
+        ranks = np.concatenate([np.floor(at), np.ceil(at)])  # from 0
+        cell = np.array([np.searchsorted(u, ranks, side="right") for u in upto])
+        before = np.array([np.append(0, u)[c] for u, c in zip(upto, cell)])
+        wanted[name] = (at - np.floor(at), cell, ranks - before)
+    used = spark.sparkContext.broadcast({k: [np.unique(c) for c in cell] for k, (_, cell, _) in wanted.items()})
+
+    def near(batches):
+        for name, x in groups(batches):
+            cell = cell_of(name, x)
+            for j, own in enumerate(used.value[name]):
+                keep = np.isin(cell[:, j], own)
+                if keep.any():
+                    values, first, n = np.unique(x[keep, j], return_index=True, return_counts=True)
+                    yield pd.DataFrame({"_key": name, "pos": j, "cell": cell[keep, j][first], "x": values, "n": n})
+
+    kept = named.select("_key", "z").mapInPandas(near, "_key string, pos int, cell int, x double, n bigint")
+    by = ["_key", "pos", "cell"]
+    ranked = prefix_sums(kept.groupBy(*by, "x").agg(F.sum("n").alias("n")), by, "x", ["n"])
+    asked = pd.DataFrame(
+        [(k, j, int(c), int(r)) for k, (_, cell, rank) in wanted.items() for j in range(len(cell)) for c, r in set(zip(cell[j], rank[j]))],
+        columns=[*by, "r"],
+    )
+    picks = spark.createDataFrame(asked, "_key string, pos int, cell int, r bigint")
+    at = F.col("cum_n") > F.col("r")
+    starts = ranked.join(F.broadcast(picks), by).filter(at & (F.col("cum_n") - F.col("n") <= F.col("r")))  # 42 rows per key and feature
+    value = {(r["_key"], r["pos"], r["cell"], r["r"]): r["x"] for r in starts.select(*by, "r", "x").collect()}
     out: dict = {}
-    for r in table:
-        out.setdefault(_key_of(r, keys), []).append([r[quantile_label(p)] for p in QUANTILE_GRID])
-    return {k: np.array(v) for k, v in out.items()}
+    for r in named.select("_key", *keys).distinct().collect():  # one row per key
+        name, half = r["_key"], len(QUANTILE_GRID)
+        frac, cell, rank = wanted[name]
+        v = np.array([[value[(name, j, int(c), int(k))] for c, k in zip(cell[j], rank[j])] for j in range(len(cell))])
+        out[_key_of(r, keys)] = v[:, :half] + frac * (v[:, half:] - v[:, :half])
+    return out
 
 
 def normal_scores(rows: DataFrame, keys: Sequence[str], grids: dict[tuple, np.ndarray]) -> DataFrame:
