@@ -10,6 +10,7 @@ from ..operators.ranking import exact_quantiles
 from ..session import cut_lineage
 from ..sources.cohorts import EMBEDDING_SLICES, MODALITIES, document_cohort, embedding_latents, orders_cohort
 from .augment_queries import EMB
+from .fold_queries import orders_labels
 from .metric_queries import rounded
 from .registry import CELLS_SQL, COHORT_SQL, query
 
@@ -84,7 +85,7 @@ out AS (SELECT sample_id, score, 1 / (1 + exp(-(score + ln(r / (1 - r))))) AS pr
 def frozen_state(spark, sf_dir):
     """One state row fitted on the 'fit' part of the orders: arrays of feature width."""
     cohort = orders_cohort(spark, sf_dir)
-    parts = D.shuffle_split(cohort.select("sample_id", "y"), [], seed=42)
+    parts = D.shuffle_split(orders_labels(spark, sf_dir), [], seed=42)  # the labels alone: the split reads its input more than once
     train = cut_lineage(cohort.join(parts.filter("part = 'fit'").select("sample_id"), "sample_id", "left_semi"))
     from ..sources.cohorts import modality_cells
 
