@@ -43,9 +43,12 @@ class WideEncoder:
 
 
 def _times(idx: np.ndarray, val: np.ndarray, row: np.ndarray, rows: int, right: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    out = np.tile(-(mean @ right), (rows, 1))
-    np.add.at(out, row, val[:, None] * right[idx])
-    return out
+    return _added(row, val[:, None] * right[idx], rows) - mean @ right
+
+
+def _added(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their place ``at``, column by column."""
+    return np.column_stack([np.bincount(at, v, size) for v in values.T])
 
 
 def sparse_cells(values: Column) -> tuple[Column, Column]:
@@ -104,8 +107,7 @@ def fit_wide(rows: DataFrame, width: int, k: int, seed: int = 11, power: int = P
 
         def products(idx, val, row, m):
             p = _times(idx, val, row, m, shared.value, mean)
-            g = np.zeros_like(shared.value)
-            np.add.at(g, idx, val[:, None] * p[row])
+            g = _added(idx, val[:, None] * p[row], width)
             yield "g", np.concatenate([g.ravel(), p.sum(0)])
 
         flat = _pass(rows, products)["g"]
