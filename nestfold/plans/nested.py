@@ -28,10 +28,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import sigmoid
-from ..operators import calibrate as K, folds as D, linear as L, selection as S, threshold as T
+from ..operators import block_folds as BF, calibrate as K, folds as D, linear as L, selection as S, threshold as T
 from ..operators.augment import QUANTILE_GRID, norm_cdf
 from ..session import cut_lineage
 from ..sources.cohorts import MODALITIES
@@ -157,8 +158,8 @@ def set_seed(layout: Layout, s, component: str) -> int:
 
 def study_table(cohort: DataFrame) -> DataFrame:
     """Cohort rows with ``fold_of`` and ``inner_of`` arrays, written once for all passes."""
-    outer = cut_lineage(D.repeated_kfold(cohort))
-    return _with_arrays(cohort, outer, D.inner_folds(outer, written=True))
+    rows = cohort.select("sample_id", "y", F.concat(*MODALITIES).alias("x"))
+    return _as_table(BF.with_folds(cut_lineage(_pack_plain(rows)), _tasks(cohort.sparkSession)))
 
 
 def stop_table(cohort: DataFrame, seed: int = 7) -> DataFrame:
@@ -195,6 +196,20 @@ def _matrix(column: pa.ListArray, dtype) -> np.ndarray:
     return np.ascontiguousarray(values.to_numpy(zero_copy_only=False), dtype=dtype).reshape(n, width)
 
 
+def _pack_plain(rows: DataFrame) -> DataFrame:
+    """Rows without folds as numbered blocks ``(bid, sample_id, y, x, n)``."""
+
+    def pack(batches):
+        first = TaskContext.get().partitionId() << 32
+        for i, batch in enumerate(b for b in batches if b.num_rows):
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], type=pa.int32()), batch.column("sample_id"))
+            cells = batch.column("y").to_numpy(zero_copy_only=False).astype(float).tobytes(), _matrix(batch.column("x"), float).tobytes()
+            packed = [pa.array([first + i]), ids, *[pa.array([c], type=pa.binary()) for c in cells], pa.array([batch.num_rows], type=pa.int32())]
+            yield pa.RecordBatch.from_arrays(packed, ["bid", "sample_id", "y", "x", "n"])
+
+    return rows.mapInArrow(pack, "bid bigint, sample_id array<string>, y binary, x binary, n int")
+
+
 def _pack_rows(rows: DataFrame) -> DataFrame:
     """Study rows as one row of bytes per Arrow batch, so that a pass does not touch single cells."""
     named = "sample_id" in rows.columns
