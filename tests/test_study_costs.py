@@ -82,3 +82,22 @@ def test_newton_sums_equal_weights_once(monkeypatch, known):
 def test_log_of_sums():
     e = np.random.default_rng(8).random(3000)
     assert np.isclose(L.log_of_sums(e), np.log1p(e).sum()) and L.log_of_sums(e[:0]) == 0.0 and np.isclose(L.log_of_sums(np.ones(2000)), 2000 * np.log(2))
+
+
+def test_saved_reliability_is_computed_on_arrays(spark):
+    from nestfold.operators import reliability as R
+
+    rng = np.random.default_rng(9)
+    z, mean, inverse, members = rng.normal(size=(50, 3)), rng.normal(size=3), np.eye(3) + 0.1, rng.normal(size=(5, 4))
+    state = spark.createDataFrame([(mean.tolist(), inverse.tolist(), 2.0, members.tolist())], "ood_mean array<double>, ood_inverse array<array<double>>, ood_threshold double, members array<array<double>>")
+    rows = spark.createDataFrame([(f"s{i}", v.tolist(), [1.0, None]) for i, v in enumerate(z)], "sample_id string, z array<double>, c array<double>")
+    told = R.with_saved_reliability(rows, state)
+    assert "zip_with" not in told._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.sample_id: r for r in told.collect()}
+    gap = z - mean
+    distance = np.sqrt(np.einsum("ij,jk,ik->i", gap, inverse, gap))
+    probs = 1 / (1 + np.exp(-(z @ members[:, :3].T + members[:, 3])))
+    for i in range(50):
+        r = got[f"s{i}"]
+        assert np.isclose(r.distance, distance[i]) and np.isclose(r.disagreement, probs[i].std()) and r.c == [1.0, None]
+        assert r.ood_risk == ("high" if distance[i] >= 2 else "moderate" if distance[i] >= 1.7 else "low")
