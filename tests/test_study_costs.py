@@ -101,3 +101,15 @@ def test_saved_reliability_is_computed_on_arrays(spark):
         r = got[f"s{i}"]
         assert np.isclose(r.distance, distance[i]) and np.isclose(r.disagreement, probs[i].std()) and r.c == [1.0, None]
         assert r.ood_risk == ("high" if distance[i] >= 2 else "moderate" if distance[i] >= 1.7 else "low")
+
+
+def test_reports_are_written_without_a_join(spark):
+    from nestfold.operators import model_state as MS, reliability as R
+
+    rows = spark.createDataFrame([(0, 0, f"s{i}", [float(i), -1.0], i / 10, None) for i in range(5)], "repeat_id int, fold_id int, sample_id string, x array<double>, completeness double, seen double")
+    refit = MS.Refit(np.zeros(2), np.zeros(2), np.ones(2), np.eye(2), np.zeros(2), np.ones(2), np.ones(2), 0.0, 1.0, 0.0, 0.5)
+    got = {r.sample_id: r for r in MS.score_rows(rows, {(0, 0): refit}, ("completeness", "seen")).collect()}
+    assert all(got[f"s{i}"].completeness == i / 10 and got[f"s{i}"].seen is None and np.isclose(got[f"s{i}"].score, i - 1) for i in range(5))
+    cells = "sample_id string, prob double, completeness double, quality string, ood_risk string, disagreement double, top_signals array<struct<f:string>>, dominant array<string>, extra boolean"
+    told = R.sample_report(spark.createDataFrame([("a", 0.9, 1.0, "none", "low", 0.0, [], [], True)], cells), ("extra",)).first()
+    assert told.status == "Reliable" and told.extra is True
