@@ -60,7 +60,7 @@ def _groups(rows: DataFrame, keys: Sequence[str], score: str, label: str) -> tup
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("_k", "_s", "_y")]
             yield pa.RecordBatch.from_arrays([pa.array([v], type=pa.binary()) for v in block_row(*columns)], ["k", "score", "y"])
 
-    used = rows.select(*keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")).filter("_s is not null and _y is not null")
+    used = rows.select(*keys, F.col(score).cast("double").alias("_s"), F.col(label).cast("double").alias("_y")).filter("_s is not null")
     return groups, cut_lineage(used.join(numbers, list(keys)).select("_k", "_s", "_y").mapInArrow(pack, BLOCK_SCHEMA))
 
 
@@ -72,10 +72,13 @@ def _block_sums(s: np.ndarray, y: np.ndarray, a, b, mu, sd, c=None, n: int = 0):
     p = np.where(eta >= 0, 1.0, e) / (1.0 + e)
     r, h = p - y, p * (1.0 - p)
     loss = np.maximum(eta, 0.0) - y * eta
+    known = ~np.isnan(y)  # a row without a label counts for the curvature only
+    if not known.all():
+        r, loss = np.where(known, r, 0.0), np.where(known, loss, 0.0)
     if c is None:
-        return np.array([r.sum(), r @ t, h.sum(), h @ t, h @ (t * t), loss.sum() + log_of_sums(e), len(s)])
-    each = (r, r * t, h, h * t, h * t * t, loss + np.log1p(e))
-    return np.column_stack([*[np.bincount(c, weights=v, minlength=n) for v in each], np.bincount(c, minlength=n)])
+        return np.array([r.sum(), r @ t, h.sum(), h @ t, h @ (t * t), loss.sum() + log_of_sums(e[known]), known.sum()])
+    each = (r, r * t, h, h * t, h * t * t, loss + np.log1p(e) * known, known)
+    return np.column_stack([np.bincount(c, weights=v, minlength=n) for v in each])
 
 
 def _newton_sums(blocks: DataFrame, uses: np.ndarray, params: np.ndarray) -> dict:

@@ -113,3 +113,15 @@ def test_reports_are_written_without_a_join(spark):
     cells = "sample_id string, prob double, completeness double, quality string, ood_risk string, disagreement double, top_signals array<struct<f:string>>, dominant array<string>, extra boolean"
     told = R.sample_report(spark.createDataFrame([("a", 0.9, 1.0, "none", "low", 0.0, [], [], True)], cells), ("extra",)).first()
     assert told.status == "Reliable" and told.extra is True
+
+
+def test_rows_without_a_label_count_for_the_curvature_only():
+    rng = np.random.default_rng(10)
+    s, y = rng.normal(size=90), (rng.random(90) < 0.4).astype(float)
+    y[::9] = np.nan
+    known = ~np.isnan(y)
+    for c in (None, np.zeros(90, dtype=int)):
+        got = np.ravel(K._block_sums(s, y, 1.5, -0.2, 0.1, 2.0, c, 1))
+        own = np.ravel(K._block_sums(s[known], y[known], 1.5, -0.2, 0.1, 2.0))
+        p = 1 / (1 + np.exp(-(1.5 * (s - 0.1) / 2.0 - 0.2)))
+        assert np.allclose(got[[0, 1, 5, 6]], own[[0, 1, 5, 6]]) and np.isclose(got[2], (p * (1 - p)).sum())
